@@ -390,3 +390,29 @@ def write_report(lines: DataFrame, path: str, scope: Sequence[str] = ("event",))
     ordered = [*scope, "row_no", "line_no"]
     (lines.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
      .select(*scope, F.col("line").alias("value")).write.mode("overwrite").partitionBy(*scope).text(path))
+
+
+# ---- flat tables -----------------------------------------------------------------------
+
+def explode_sub_matches(matches: DataFrame, keep: Sequence[str] = ("event", "seq")) -> DataFrame:
+    """M3: one row per (match, rubber, side, player); outer at every level, so nothing is lost."""
+    rubbers = matches.select(*keep, F.posexplode_outer("singles").alias("rubber_no", "rubber"))
+    sides = rubbers.select(*keep, "rubber_no", "rubber.overallScore", "rubber.gameScores", "rubber.winnerOrg",
+                           F.posexplode_outer("rubber.competitors").alias("side_no", "side"))
+    return sides.select(*keep, "rubber_no", "overallScore", "gameScores", "winnerOrg", "side_no", "side.name", "side.org",
+                        F.posexplode_outer("side.players").alias("player_no", "player"))
+
+
+def nested_counts(matches: DataFrame) -> DataFrame:
+    """M2 on matches: numbers of rubbers, sides, players and games; an absent list counts 0."""
+    def size(c):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+
+    sides = F.flatten(F.transform("singles", lambda s: F.coalesce(s["competitors"], F.array())))
+    return matches.withColumns({
+        "rubbers": size(F.col("singles")), "sides": size(F.col("competitors")) + size(sides),
+        "players": F.aggregate(F.concat(F.coalesce("competitors", F.array()), F.coalesce(sides, F.array())),
+                               F.lit(0).cast("bigint"), lambda a, c: a + size(c["players"])),
+        "games": size(F.col("gameScores")) + F.aggregate(F.coalesce("singles", F.array()), F.lit(0).cast("bigint"),
+                                                         lambda a, s: a + size(s["gameScores"])),
+    })
