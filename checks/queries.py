@@ -105,14 +105,14 @@ def q_runs(spark, sf_dir):
 
 @query("""
 WITH RECURSIVE ordered AS (
-  SELECT event_id, user_id, epoch_us(ts) AS at, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  SELECT event_id, user_id, epoch_us(ts) AS t_us, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
   FROM events),
 walk AS (
-  SELECT event_id, user_id, at, rn, at AS window_start, CAST(1 AS BIGINT) AS window_count FROM ordered WHERE rn = 1
+  SELECT event_id, user_id, t_us, rn, t_us AS window_start, CAST(1 AS BIGINT) AS window_count FROM ordered WHERE rn = 1
   UNION ALL
-  SELECT o.event_id, o.user_id, o.at, o.rn,
-         CASE WHEN o.at - w.window_start >= 21600000000 THEN o.at ELSE w.window_start END,
-         CASE WHEN o.at - w.window_start >= 21600000000 THEN 1 ELSE w.window_count + 1 END
+  SELECT o.event_id, o.user_id, o.t_us, o.rn,
+         CASE WHEN o.t_us - w.window_start >= 21600000000 THEN o.t_us ELSE w.window_start END,
+         CASE WHEN o.t_us - w.window_start >= 21600000000 THEN 1 ELSE w.window_count + 1 END
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
 SELECT event_id, user_id, window_start, window_count, window_count > 3 AS over_limit FROM walk""")
 def q_anchored_window(spark, sf_dir):
@@ -881,3 +881,401 @@ def q_choose_snapshot(spark, sf_dir):
     chosen = files.choose_snapshot(snapshots, "event", F.col("ended"), F.lit(False), F.lit("2002-01-01 00:00:00").cast("timestamp"))
     return chosen.select("event", "answer", F.coalesce(day("answered_at"), F.lit("")).alias("answered_at"),
                          F.coalesce("stale_minutes", F.lit(-1)).alias("stale_minutes"))
+
+
+# ---- scores ----------------------------------------------------------------------------
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) % 4 AS a, CAST(round(l_tax * 100) AS BIGINT) % 4 AS b,
+  CAST(l_quantity AS BIGINT) AS h1, CAST(round(l_discount * 100) AS BIGINT) AS w1, CAST(round(l_tax * 100) AS BIGINT) AS h2, l_linenumber AS w2,
+  l_returnflag = 'R' AND l_linestatus = 'F' AS special, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS l FROM lineitem),
+g AS (SELECT *, CASE WHEN l = 0 THEN h1 ELSE w1 END AS l1, CASE WHEN l = 0 THEN w1 ELSE h1 END AS r1,
+        CASE WHEN l = 0 THEN h2 ELSE w2 END AS l2, CASE WHEN l = 0 THEN w2 ELSE h2 END AS r2 FROM r)
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS line_no,
+  CASE WHEN special THEN 'RET' ELSE CASE WHEN l = 0 THEN a ELSE b END || '(' || CASE WHEN l1 > r1 THEN '' || r1 ELSE '-' || l1 END || ','
+       || CASE WHEN l2 > r2 THEN '' || r2 ELSE '-' || l2 END || ')' || CASE WHEN l = 0 THEN b ELSE a END END AS score,
+  CASE WHEN a > b THEN 'A' WHEN b > a THEN 'B' ELSE '-' END AS winner, a = 0 AND b = 0 AS zero FROM g""")
+def q_score_text(spark, sf_dir):
+    q, tax, disc = F.col("l_quantity").cast("bigint"), cents("l_tax"), cents("l_discount")
+    score = F.concat_ws("-", (q % 4).cast("string"), (tax % 4).cast("string"))
+    listed = F.concat(F.concat_ws("-", q.cast("string"), disc.cast("string")), F.lit(", 0-0 ,"),
+                      F.concat_ws("-", tax.cast("string"), F.col("l_linenumber").cast("string")))
+    status = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Retired (ret.)")
+    # both points zero is a game that is not listed; the SQL side always lists two, so give it a home point
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint").alias("line_no"), score.alias("s"),
+        scores.split_games(listed).alias("g"), status.alias("st"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("left"))
+    shown = scores.score_text(F.col("s"), F.col("g"), F.col("st"), F.col("left"), "en")
+    org = scores.winner_org(F.col("s"), F.array(F.lit("A"), F.lit("B")))
+    index = F.when(scores.score_winner(F.col("s")) == 0, "A").when(scores.score_winner(F.col("s")) == 1, "B")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "line_no", shown.alias("score"),
+                       F.when(org.eqNullSafe(index), F.coalesce(org, F.lit("-"))).otherwise("?").alias("winner"),
+                       scores.is_zero_score(F.col("s")).alias("zero"))
+
+
+@query("""
+SELECT l_orderkey, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lefts, CAST(SUM(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS rights
+FROM (SELECT l_orderkey, l_quantity, l_tax FROM lineitem WHERE l_returnflag <> 'R' UNION ALL
+      SELECT l_orderkey, l_quantity, l_tax FROM lineitem) GROUP BY l_orderkey""")
+def q_team_totals(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    straight = F.concat_ws("-", F.col("l_quantity").cast("bigint").cast("string"), cents("l_tax").cast("string"))
+    turned = F.concat_ws("-", cents("l_tax").cast("string"), F.col("l_quantity").cast("bigint").cast("string"))
+
+    def rubber(score, first, second):
+        return F.struct(score.alias("overallScore"), F.array(F.struct(F.lit(first).alias("org")), F.struct(F.lit(second).alias("org"))).alias("competitors"))
+
+    singles = F.when(F.col("l_returnflag") == "R", F.array(rubber(turned, "B", "A"))).otherwise(
+        F.array(rubber(straight, "A", "B"), rubber(turned, "B", "A")))
+    totals = scores.team_game_totals(singles, F.lit("A"), F.lit("B"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", totals.alias("t"), none.alias("x")).groupBy("l_orderkey").agg(
+        F.sum("t.left").alias("lefts"), F.sum("t.right").alias("rights"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'H' || (l_partkey % 4) AS h1, 'A' || (l_suppkey % 4) AS a1, 'H' || (l_linenumber % 4) AS h2,
+  'A' || (CAST(l_quantity AS BIGINT) % 4) AS a2, 'H' || (l_orderkey % 5) AS h3, 'A' || (l_partkey % 5) AS a3,
+  'H' || (l_partkey % 4) AS h4, 'A' || (CAST(l_quantity AS BIGINT) % 3) AS a4, l_returnflag = 'R' AS turned FROM lineitem),
+v AS (SELECT *, h1 <> h2 AND a1 <> a2 AND h3 NOT IN (h1, h2) AND a3 NOT IN (a1, a2) AS valid,
+  NOT ((h1 = h1 AND a1 = a2) OR (h2 = h1 AND a2 = a2 AND h2 = h1) OR (h3 = h1 AND a3 = a2) OR (h4 = h1 AND a4 = a2)) AS p1,
+  NOT ((h1 = h2 AND a1 = a1) OR (h3 = h2 AND a3 = a1) OR (h4 = h2 AND a4 = a1)) AS p2 FROM n)
+SELECT l_orderkey, l_linenumber::BIGINT AS line_no, l_partkey, l_suppkey, CASE WHEN NOT valid THEN 'none' ELSE concat_ws(';',
+  CASE WHEN p1 THEN CASE WHEN turned THEN a2 || ':' || h1 ELSE h1 || ':' || a2 END END,
+  CASE WHEN p2 THEN CASE WHEN turned THEN a1 || ':' || h2 ELSE h2 || ':' || a1 END END) END AS pending FROM v""")
+def q_pending_pairs(spark, sf_dir):
+    none = F.lit(None).cast("string")
+
+    def name(prefix, value):
+        return F.concat(F.lit(prefix), value.cast("string"))
+
+    def side(n, kind):
+        return F.struct(F.lit(kind).alias("type"), none.alias("id"), n.alias("name"),
+                        F.array(F.struct(none.alias("id"), n.alias("name"))).alias("players"))
+
+    def rubber(h, a, swap=False):
+        sides = [side(name("H", h), "H"), side(name("A", a), "A")]
+        return F.struct(F.array(*(reversed(sides) if swap else sides)).alias("competitors"))
+
+    quantity, part = F.col("l_quantity").cast("bigint"), F.col("l_partkey")
+    singles = F.array(rubber(part % 4, F.col("l_suppkey") % 4), rubber(F.col("l_linenumber") % 4, quantity % 4, True),
+                      rubber(F.col("l_orderkey") % 5, part % 5), rubber(part % 4, quantity % 3))
+    left = F.when(F.col("l_returnflag") == "R", "AW").otherwise("HO")
+    right = F.when(F.col("l_returnflag") == "R", "HO").otherwise("AW")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("line_no"), "l_partkey", "l_suppkey", singles.alias("singles"),
+        left.alias("lo"), right.alias("ro"))
+    pairs = report.pending_pairs(F.col("singles"), F.col("lo"), F.col("ro"), F.lit("HO"), F.lit("AW"), F.lit(0))
+    shown = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["left"], p["right"])), ";")
+    return rows.select("l_orderkey", "line_no", "l_partkey", "l_suppkey", F.coalesce(shown, F.lit("none")).alias("pending"))
+
+
+@query("""
+WITH words AS (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations),
+lines AS (SELECT conv_id, turn, unnest(range(len(ls))) AS rubber_no, ls FROM words),
+w AS (SELECT conv_id, turn, rubber_no, string_split(ls[rubber_no + 1], ' ') AS ws FROM lines)
+SELECT conv_id, turn, CAST(rubber_no AS BIGINT) AS rubber_no, CAST(n AS BIGINT) AS player_no, ws[n + 1] AS name FROM
+  (SELECT *, unnest(range(len(ws))) AS n FROM w)""")
+def q_nested_explode(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations")
+
+    def side(line):
+        return F.struct(F.lit("side").alias("name"), F.lit("org").alias("org"),
+                        F.transform(F.split(line, " "), lambda w: F.struct(w.alias("name"))).alias("players"))
+
+    nested = talk.select("conv_id", "turn", F.transform(F.split("text", "\n"), lambda line: F.struct(
+        F.lit("0-0").alias("overallScore"), F.array().cast("array<string>").alias("gameScores"), F.lit("").alias("winnerOrg"),
+        F.array(side(line)).alias("competitors"))).alias("singles"))
+    flat = report.explode_sub_matches(nested, ["conv_id", "turn"])
+    return flat.select("conv_id", "turn", F.col("rubber_no").cast("bigint").alias("rubber_no"),
+                       F.col("player_no").cast("bigint").alias("player_no"), F.col("player.name").alias("name"))
+
+
+@query(f"""
+WITH {ORDER_MATCHES_SQL}
+SELECT seq, CASE WHEN st = 'P' THEN 2 ELSE 0 END::BIGINT AS rubbers, CASE WHEN st = 'P' THEN 4 ELSE 2 END::BIGINT AS sides,
+  CASE WHEN st = 'F' THEN 2 ELSE 4 END::BIGINT AS players, CASE WHEN st = 'P' THEN 4 ELSE 2 END::BIGINT AS games FROM m""")
+def q_nested_counts(spark, sf_dir):
+    return report.nested_counts(order_matches(spark, sf_dir)).select("seq", "rubbers", "sides", "players", "games")
+
+
+# ---- pages -----------------------------------------------------------------------------
+
+@query("""
+WITH t AS (SELECT regexp_extract(html, '<html lang="([a-z]+)"', 1) AS event, page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS ts FROM pages),
+u AS (SELECT event, page_id, unnest(range(len(ts))) AS n, ts FROM t)
+SELECT event, ts[n + 1] AS token, MIN(page_id) AS page_id, CAST(arg_min(n, (page_id, n)) AS BIGINT) AS place FROM u GROUP BY 1, 2""")
+def q_html_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("event"), "page_id", "html")
+    links = [F.regexp_extract_all(F.col("html"), F.lit('href="(/[^"]*)"'), 1)]
+    return html_pages.harvest(pages, ["event"], "page_id", links).select(
+        "event", "token", F.col("position.page_id").alias("page_id"), F.col("position.__at").cast("bigint").alias("place"))
+
+
+@query("""
+WITH s AS (SELECT page_id, '[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+' AS sp, html FROM pages)
+SELECT page_id, trim(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<h3>.*?</h3>')
+  THEN regexp_replace(regexp_extract(html, '(?is)<h3>(.*?)</h3>', 1), '<[^>]+>', ' ', 'g')
+  ELSE regexp_extract(html, '(?is)<title>(.*?)</title>', 1) END, sp, ' ', 'g')) AS title FROM s""")
+def q_html_title(spark, sf_dir):
+    return html_pages.page_title(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+_STRIP = """trim(regexp_replace(regexp_replace(regexp_replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace({0}, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+  '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), 'zzzz', 'zzzz'),
+  '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'),
+  chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(12288) || chr(65279))"""
+
+
+@query(f"SELECT page_id, md5({_STRIP.format('html')}) AS hash, length({_STRIP.format('html')}) AS n FROM pages")
+def q_strip_html(spark, sf_dir):
+    stripped = table(spark, sf_dir, "pages").select("page_id", html.strip_html(F.col("html")).alias("t"))
+    return stripped.select("page_id", F.md5("t").alias("hash"), F.length("t").cast("bigint").alias("n"))
+
+
+@query("""
+WITH f AS (SELECT page_id, regexp_extract_all(html, '(?s)<li><a href="[^"]*">.*?</a></li>') AS ts FROM pages),
+u AS (SELECT page_id, unnest(range(len(ts))) AS position, ts FROM f)
+SELECT page_id, CAST(position AS BIGINT) AS position, regexp_extract(ts[position + 1], 'href="([^"]*)"', 1) AS link,
+       regexp_extract(ts[position + 1], '(?s)>([^<]*)</a>', 1) AS label FROM u""")
+def q_html_tables(spark, sf_dir):
+    parts = html_pages.explode_fragments(table(spark, sf_dir, "pages"), "html", '(?s)<li><a href="[^"]*">.*?</a></li>', ["page_id"])
+    return parts.select("page_id", F.col("position").cast("bigint").alias("position"),
+                        F.regexp_extract("fragment", 'href="([^"]*)"', 1).alias("link"),
+                        F.regexp_extract("fragment", "(?s)>([^<]*)</a>", 1).alias("label"))
+
+
+@query("""
+SELECT doc_id, md5(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(12288) || chr(65279))) AS compact
+FROM documents""")
+def q_compact_name(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(names.compact_name(F.col("text"))).alias("compact"))
+
+
+# ---- labels ----------------------------------------------------------------------------
+
+# text, gender, discipline, canonical category, para category, comparable label
+_CATEGORY_CASES = [
+    ("Men's Singles", "men", "singles", "Men Singles", None, "men singles"),
+    ("WOMENS DOUBLES", "women", "doubles", "Women Doubles", None, "women doubles"),
+    ("U19 Girls' Singles", "women", "singles", "U19 Girls Singles", None, "u19 girls singles"),
+    ("Mixed Mixed", "mixed", "mixed mixed", "Mixed Doubles", None, "mixed doubles"),
+    ("Men's Singles Class 3 - 5", "men", "singles", "Men Singles Class 3-5", "Men Singles Class 3-5", "men singles class 3 5"),
+    ("Junior Boys Singles", "men", "singles", "Junior Boys Singles", None, "junior boys singles"),
+    ("u 15 mixed Doubles", "mixed", "doubles", "U15 Mixed Doubles", None, "u 15 mixed doubles"),
+    ("Mixed Team", "mixed", "teams", "Mixed Teams", None, "mixed team"),
+]
+
+
+def _case(values, number, index):
+    whens = " ".join(f"WHEN {i} THEN " + ("NULL" if v[index] is None else "'" + str(v[index]).replace("'", "''") + "'")
+                     for i, v in enumerate(values))
+    return f"CASE {number} {whens} END"
+
+
+@query(f"""
+SELECT p_partkey, {_case(_CATEGORY_CASES, f'p_partkey % {len(_CATEGORY_CASES)}', 1)} AS gender,
+  {_case(_CATEGORY_CASES, f'p_partkey % {len(_CATEGORY_CASES)}', 2)} AS discipline, {_case(_CATEGORY_CASES, f'p_partkey % {len(_CATEGORY_CASES)}', 3)} AS category,
+  {_case(_CATEGORY_CASES, f'p_partkey % {len(_CATEGORY_CASES)}', 4)} AS para, {_case(_CATEGORY_CASES, f'p_partkey % {len(_CATEGORY_CASES)}', 5)} AS label,
+  'Stage of ' || p_name AS round, p_partkey AS number, trim(p_brand) AS code FROM part""")
+def q_normalise_labels(spark, sf_dir):
+    picked = F.element_at(F.lit([c[0] for c in _CATEGORY_CASES]), (F.col("p_partkey") % len(_CATEGORY_CASES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", picked.alias("raw"), F.concat(F.lit("X - Stage of "), F.col("p_name"), F.lit(" - Match "), F.col("p_partkey").cast("string")).alias("d"),
+        F.concat(F.lit(" "), F.col("p_brand"), F.lit("--")).alias("c"))
+    rows = rows.withColumn("t", text.norm_text(F.col("raw")))
+    rows = rows.withColumns({"gender": labels.infer_gender(F.col("raw"), F.col("t")), "discipline": labels.norm_discipline(F.col("raw"), F.col("t"))})
+    return rows.select("p_partkey", "gender", "discipline",
+                       labels.canonical_category(F.col("raw"), F.col("d"), F.col("gender"), F.col("discipline")).alias("category"),
+                       labels.para_category(F.col("raw"), F.col("d")).alias("para"), labels.category_label(F.col("raw"), F.col("t")).alias("label"),
+                       labels.round_label(F.col("d")).alias("round"), labels.match_number(F.col("d")).alias("number"), text.norm_code(F.col("c")).alias("code"))
+
+
+# label, key, sort value without a stage number, English label, native label
+_ROUND_CASES = [
+    ("第２回戦", "knockout_round_2", 2, "Round 2", "2回戦"),
+    ("Group 7", "group 7", 7, "Group 7", "グループ7"),
+    ("Stage 1B - Group 4", "stage_1b_group", 104, "Stage 1B - Group 4", "Stage1Bグループ4"),
+    ("Quarter-Finals", "quarterfinal", 103, "Quarterfinals", "決勝トーナメント準々決勝"),
+    ("準決勝", "semifinal", 104, "Semifinals", "決勝トーナメント準決勝"),
+    ("Gold Medal Match", "final", 105, "Final", "決勝トーナメント決勝"),
+    ("Qualifying Round 3", "qualifying_round_3", 3, "Qualifying Round 3", "予選トーナメント3回戦"),
+    ("Preliminary Round", "preliminary_round", 99, "Preliminary Round", "予備ラウンド"),
+    ("Round of 64", "round_of_64", 999, "Round of 64", "決勝トーナメント2回戦"),
+    ("Bronze Medal Match", "bronze_medal_match", 999, "Bronze Medal Match", "3位決定戦"),
+    ("予選リーグ", "qualifying", 999, "予選リーグ", "予選リーグ"),
+]
+_ROUND_NO = f"o_orderkey % {len(_ROUND_CASES)}"
+
+
+@query(f"""
+SELECT o_orderkey, {_case(_ROUND_CASES, _ROUND_NO, 1)} AS k, CAST({_case(_ROUND_CASES, _ROUND_NO, 2)} AS BIGINT) AS v,
+  {_case(_ROUND_CASES, _ROUND_NO, 3)} AS en, {_case(_ROUND_CASES, _ROUND_NO, 4)} AS ja FROM orders""")
+def q_round_sort(spark, sf_dir):
+    picked = F.element_at(F.lit([c[0] for c in _ROUND_CASES]), (F.col("o_orderkey") % len(_ROUND_CASES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", picked.alias("raw"))
+    rows = rows.withColumn("k", labels.norm_round(F.col("raw")))
+    no = F.lit(None).cast("int")
+    return rows.select("o_orderkey", "k", labels.round_sort_value(F.col("k"), F.col("raw"), no).alias("v"),
+                       labels.round_en(F.col("k"), F.col("raw")).alias("en"),
+                       labels.round_ja(F.col("k"), F.col("raw"), no, F.lit(None).cast("string"), LabelRules()).alias("ja"))
+
+
+_DAILY_CASES = [("MS.1.R64.001", "Round of 64"), ("MS.1.8FNL.001", "Round of 16"), ("WT.2.GP04.001", "Group 4"), ("XD.3.509-.001", "Pos. 5-9"),
+                ("XD.3.FNL-.001", "Finals"), ("XD.3", ""), ("XD.3.ABC.1", "")]
+
+
+@query(f"SELECT p_partkey, {_case(_DAILY_CASES, f'p_partkey % {len(_DAILY_CASES)}', 1)} AS label FROM part")
+def q_daily_round_label(spark, sf_dir):
+    picked = F.element_at(F.lit([c[0] for c in _DAILY_CASES]), (F.col("p_partkey") % len(_DAILY_CASES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", labels.daily_round_label(picked).alias("label"))
+
+
+# ---- reports ---------------------------------------------------------------------------
+
+_SHOWN = f"""
+{ORDER_MATCHES_SQL},
+ranked AS (SELECT *, CASE WHEN step < 5 THEN DENSE_RANK() OVER (PARTITION BY event, step < 5 ORDER BY step) END AS no FROM m),
+side AS (SELECT *, CASE WHEN b > a THEN 1 ELSE 0 END AS l FROM ranked),
+games AS (SELECT *, CASE WHEN l = 0 THEN mo ELSE da END AS x, CASE WHEN l = 0 THEN da ELSE mo END AS y,
+            CASE WHEN l = 0 THEN da ELSE mo END AS x2, CASE WHEN l = 0 THEN mo ELSE da END AS y2,
+            CASE WHEN l = 0 THEN a ELSE b END AS sl, CASE WHEN l = 0 THEN b ELSE a END AS sr FROM side),
+txt AS (SELECT *, CASE WHEN x > y THEN '' || y ELSE '-' || x END || ',' || CASE WHEN x2 > y2 THEN '' || y2 ELSE '-' || x2 END AS g,
+          CASE WHEN mo > da THEN '' || da ELSE '-' || mo END || ',' || CASE WHEN da > mo THEN '' || mo ELSE '-' || da END AS g0,
+          CASE WHEN da > mo THEN '' || mo ELSE '-' || da END || ',' || CASE WHEN mo > da THEN '' || da ELSE '-' || mo END AS g1 FROM games),
+placed AS (SELECT *, sl || '(' || g || ')' || sr AS sc, a || '(' || g0 || ')' || b AS s0, b || '(' || g1 || ')' || a AS s1,
+             ROW_NUMBER() OVER o AS row_no,
+             LAG(CASE WHEN st = 'P' THEN 'tie' || seq ELSE cat || rkey END) OVER o AS before,
+             CASE WHEN st = 'P' THEN 'tie' || seq ELSE cat || rkey END AS run
+           FROM txt WINDOW o AS (PARTITION BY event ORDER BY cat_no, CASE WHEN step < 5 THEN 100 + no ELSE 3 END, seq)),
+runs AS (SELECT *, before IS DISTINCT FROM run AS opens, SUM(CASE WHEN before IS DISTINCT FROM run THEN 1 ELSE 0 END)
+           OVER (PARTITION BY event ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block_no FROM placed)"""
+
+_SPREAD = """,
+spread AS (SELECT event, block_no, row_no, CASE WHEN opens THEN list_concat(CASE WHEN block_no > 1 THEN [''] ELSE [] END, list_concat([header], body))
+           ELSE body END AS ls FROM content),
+numbered AS (SELECT event, block_no, row_no, unnest(range(len(ls))) AS line_no, ls FROM spread)
+SELECT event, CAST(block_no AS BIGINT) AS block_no, CAST(row_no AS BIGINT) AS row_no, CAST(line_no AS BIGINT) AS line_no, ls[line_no + 1] AS line FROM numbered"""
+
+
+def _lines(df):
+    return df.select("event", *[F.col(c).cast("bigint").alias(c) for c in ("block_no", "row_no", "line_no")], "line")
+
+
+@query(f"""
+WITH {_SHOWN},
+content AS (SELECT event, block_no, row_no, opens,
+  '▼' || CASE st WHEN 'F' THEN '男子シングルス' WHEN 'O' THEN '女子ダブルス' ELSE '男子団体' END
+      || CASE WHEN step < 5 THEN '決勝トーナメント' || no || '回戦' ELSE 'グループ3' END AS header,
+  CASE st
+    WHEN 'F' THEN [CASE WHEN l = 0 THEN own || '（' || seg || '）　' || sc || '　Rival（ORG）' ELSE 'Rival（ORG）　' || sc || '　' || own || '（' || seg || '）' END]
+    WHEN 'O' THEN [CASE WHEN l = 0 THEN own || '／Partner（' || seg || '）' || chr(10) || '　' || sc || chr(10) || '　　Rival／Friend（AAA／BBB）'
+                        ELSE 'Rival／Friend（AAA／BBB）' || chr(10) || '　' || sc || chr(10) || '　　' || own || '／Partner（' || seg || '）' END]
+    ELSE [
+      CASE WHEN l = 0 THEN '　Team ' || seg || '　' || a || '-' || b || '　Rivals' ELSE '　Rivals　' || b || '-' || a || '　Team ' || seg END,
+      CASE WHEN a = b THEN '　' || own || '　' || s0 || '　Rival' WHEN l = 0 THEN '○' || own || '　' || s0 || '　Rival' ELSE '○Rival　' || s1 || '　' || own END,
+      CASE WHEN l = 0 THEN CASE WHEN a = b THEN '　' || own || '　' || s1 || '　Rival' ELSE '　' || own || '　' || s1 || '　Rival○' END
+           ELSE '　Rival　' || s0 || '　' || own || '○' END] END AS body FROM runs){_SPREAD}""")
+def q_report_ja(spark, sf_dir):
+    return _lines(jobs.match_query(order_matches(spark, sf_dir), filters.MatchArgs(mode="ja")))
+
+
+@query(f"""
+WITH {_SHOWN},
+content AS (SELECT event, block_no, row_no, opens,
+  '▼' || CASE st WHEN 'F' THEN 'Men''s Singles' WHEN 'O' THEN 'Women''s Doubles' ELSE 'Men''s Teams' END || ' '
+      || CASE rlabel WHEN 'Finals' THEN 'Final' ELSE rlabel END AS header,
+  CASE st
+    WHEN 'F' THEN [CASE WHEN a = b THEN own || ' (' || seg || ') ' || sc || ' Rival (ORG)'
+                        WHEN l = 0 THEN own || ' (' || seg || ') d. Rival (ORG) ' || sc ELSE 'Rival (ORG) d. ' || own || ' (' || seg || ') ' || sc END]
+    WHEN 'O' THEN [CASE WHEN a = b THEN own || ' / Partner (' || seg || ') ' || sc || ' Rival (AAA) / Friend (BBB)'
+                        WHEN l = 0 THEN own || ' / Partner (' || seg || ') d. Rival (AAA) / Friend (BBB) ' || sc
+                        ELSE 'Rival (AAA) / Friend (BBB) d. ' || own || ' / Partner (' || seg || ') ' || sc END]
+    ELSE [
+      CASE WHEN l = 0 THEN '  ' || seg || ' ' || a || '-' || b || ' ORG' ELSE '  ORG ' || b || '-' || a || ' ' || seg END,
+      CASE WHEN a = b THEN '  ' || own || ' ' || s0 || ' Rival' WHEN a > b THEN '  ' || own || ' d. Rival ' || s0 ELSE '  Rival d. ' || own || ' ' || s1 END,
+      CASE WHEN a = b THEN '  ' || own || ' ' || s1 || ' Rival' WHEN a > b THEN '  Rival d. ' || own || ' ' || s0 ELSE '  ' || own || ' d. Rival ' || s1 END] END AS body FROM runs){_SPREAD}""")
+def q_report_en(spark, sf_dir):
+    return _lines(jobs.match_query(order_matches(spark, sf_dir), filters.MatchArgs(mode="en")))
+
+
+@query(f"""
+WITH {ORDER_MATCHES_SQL}
+SELECT event, ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) AS row_no, ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) || '. D' || seq || ' | ' ||
+  CASE st WHEN 'F' THEN own || '（' || seg || '） ' || a || '-' || b || ' Rival（ORG）' WHEN 'O' THEN own || '／Partner（' || seg || '） ' || a || '-' || b || ' Rival／Friend（AAA／BBB）'
+    ELSE 'Team ' || seg || ' (' || seg || ') ' || a || '-' || b || ' Rivals (ORG)' END AS line FROM m""")
+def q_report_list(spark, sf_dir):
+    lines = jobs.match_query(order_matches(spark, sf_dir), filters.MatchArgs(mode="list"))
+    return lines.select("event", F.col("row_no").cast("bigint").alias("row_no"), "line")
+
+
+@query(f"""
+WITH {ORDER_MATCHES_SQL},
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) AS row_no, mo || '-' || da || ', ' || da || '-' || mo AS g FROM m),
+t AS (SELECT event, row_no, list_concat(CASE WHEN row_no > 1 THEN [''] ELSE [] END, CASE WHEN st = 'P' THEN
+  ['[' || row_no || '] D' || seq, 'Team ' || seg || ' (' || seg || ') ' || a || '-' || b || ' Rivals (ORG)',
+   '1. ' || own || ' (' || seg || ') vs Rival (ORG) | ' || a || '-' || b || ' | ' || g, '2. Rival (ORG) vs ' || own || ' (' || seg || ') | ' || a || '-' || b || ' | ' || g]
+  ELSE ['[' || row_no || '] D' || seq, own || ' (' || seg || ') ' || a || '-' || b || CASE st WHEN 'F' THEN ' Rival (ORG)' ELSE ' Rival (AAA)' END, 'games: ' || g] END) AS ls FROM n),
+u AS (SELECT event, row_no, unnest(range(len(ls))) AS line_no, ls FROM t)
+SELECT event, row_no, CAST(line_no AS BIGINT) AS line_no, ls[line_no + 1] AS line FROM u""")
+def q_report_text(spark, sf_dir):
+    lines = jobs.match_query(order_matches(spark, sf_dir), filters.MatchArgs(mode="text"))
+    return lines.select("event", *[F.col(c).cast("bigint").alias(c) for c in ("row_no", "line_no")], "line")
+
+
+@query(f"""
+WITH {ORDER_MATCHES_SQL},
+k AS (SELECT *, DENSE_RANK() OVER (PARTITION BY event ORDER BY step) AS nth FROM m WHERE st = 'F' AND step < 5),
+f AS (SELECT event, seq, own, seg, a, b FROM k WHERE nth = 2 AND contains(lower(own), '1'))
+SELECT event, ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) AS row_no,
+  ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) || '. D' || seq || ' | ' || own || '（' || seg || '） ' || a || '-' || b || ' Rival（ORG）' AS line
+FROM f QUALIFY row_no <= 5""")
+def q_match_query_filtered(spark, sf_dir):
+    args = filters.MatchArgs(category="men singles", rounds=("第2回戦",), contains="1", limit=5, mode="list")
+    lines = jobs.match_query(order_matches(spark, sf_dir), args)
+    return lines.select("event", F.col("row_no").cast("bigint").alias("row_no"), "line")
+
+
+@query(f"""
+WITH {ORDER_MATCHES_SQL},
+s AS (SELECT event, 'summary' AS facet, CAST(COUNT(*) AS VARCHAR) AS value, CAST(COUNT(*) FILTER (st = 'F') AS VARCHAR) AS label, CAST(0 AS BIGINT) AS first_seq FROM m GROUP BY 1),
+r AS (SELECT event, 'rounds', rlabel, rlabel, MIN(seq) FROM m GROUP BY event, rlabel),
+c AS (SELECT event, 'categories', cat, '男子シングルス', MIN(seq) FROM m WHERE st = 'F' GROUP BY event, cat),
+o AS (SELECT event, rlabel, step, MIN(seq) AS fs FROM m WHERE st = 'F' GROUP BY 1, 2, 3),
+ol AS (SELECT event, 'round_options', rlabel, CASE WHEN step = 5 THEN 'グループ3' ELSE '決勝トーナメント' || DENSE_RANK() OVER (PARTITION BY event, step < 5 ORDER BY step) || '回戦' END, fs FROM o)
+SELECT * FROM s UNION ALL SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM ol""")
+def q_query_facets(spark, sf_dir):
+    found = jobs.match_facets(order_matches(spark, sf_dir), filters.MatchArgs(category="Men Singles", gender="men", discipline="singles"))
+    parts = [
+        found["summary"].select("event", F.lit("summary").alias("facet"), F.col("fetched").cast("string").alias("value"),
+                                F.col("returned").cast("string").alias("label"), F.lit(0).cast("bigint").alias("first_seq")),
+        found["rounds"].select("event", F.lit("rounds").alias("facet"), F.col("round").alias("value"), F.col("round").alias("label"), "first_seq"),
+        found["categories"].select("event", F.lit("categories").alias("facet"), "value", "label", "first_seq"),
+        found["round_options"].select("event", F.lit("round_options").alias("facet"), "value", "label", "first_seq")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""
+SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_brand":"' || p_brand || '","size":' || p_size || ',"none":null}' AS line FROM part""")
+def q_json_rows(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.col("p_size").alias("size"), F.lit(None).cast("string").alias("none"))
+    return part.select("p_partkey", report.to_json_rows(part, ["p_partkey", "p_name", "p_brand", "size", "none"]))
+
+
+@query()
+def q_manifest(spark, sf_dir):
+    found = files.file_manifest(spark, [f"{sf_dir}/*.parquet"], sha256=False, wanted=["orders.parquet", "missing.parquet"])
+    return found.select("name", "kind", "exists", "size")
+
+
+@query()
+def q_files_to_refresh(spark, sf_dir):
+    source = files.file_manifest(spark, [f"{sf_dir}/*.parquet"], sha256=False)
+    target = source.filter(F.col("name") > "m").withColumn("mtime", F.when(F.col("name") < "p", F.col("mtime") - F.expr("interval 1 hour"))
+                                                           .otherwise(F.col("mtime")))
+    return files.files_to_refresh(source, target).select("name", "size")
