@@ -901,7 +901,6 @@ def q_score_text(spark, sf_dir):
     listed = F.concat(F.concat_ws("-", q.cast("string"), disc.cast("string")), F.lit(", 0-0 ,"),
                       F.concat_ws("-", tax.cast("string"), F.col("l_linenumber").cast("string")))
     status = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Retired (ret.)")
-    # both points zero is a game that is not listed; the SQL side always lists two, so give it a home point
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint").alias("line_no"), score.alias("s"),
         scores.split_games(listed).alias("g"), status.alias("st"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("left"))
@@ -1228,7 +1227,7 @@ def q_report_text(spark, sf_dir):
 @query(f"""
 WITH {ORDER_MATCHES_SQL},
 k AS (SELECT *, DENSE_RANK() OVER (PARTITION BY event ORDER BY step) AS nth FROM m WHERE st = 'F' AND step < 5),
-f AS (SELECT event, seq, own, seg, a, b FROM k WHERE nth = 2 AND contains(lower(own), '1'))
+f AS (SELECT event, seq, own, seg, a, b FROM k WHERE nth = 2 AND contains(seq || rlabel || rkey || own || seg, '1'))
 SELECT event, ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) AS row_no,
   ROW_NUMBER() OVER (PARTITION BY event ORDER BY seq) || '. D' || seq || ' | ' || own || '（' || seg || '） ' || a || '-' || b || ' Rival（ORG）' AS line
 FROM f QUALIFY row_no <= 5""")

@@ -76,8 +76,5 @@ class Names:
         if self._teams is None:
             return raw
         parts = F.array_join(F.transform(F.split(raw, "/"), lambda p: F.coalesce(self.team_hit(p), p)), "/")
-        return (F.when(self.team_hit(trim(code)).isNotNull(), self.team_hit(trim(code)))
-                .when(raw == "", "")
-                .when(self.team_hit(raw).isNotNull(), self.team_hit(raw))
-                .when(raw.contains("/"), parts)
-                .otherwise(raw))
+        return F.coalesce(self.team_hit(trim(code)), F.when(raw == "", ""), self.team_hit(raw),
+                          F.when(raw.contains("/"), parts), raw)

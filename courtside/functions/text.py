@@ -73,6 +73,11 @@ def knockout_code(c: Column) -> Column:
     return norm_code(c).rlike("R32|R16|QF|SF|FN")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, for use inside lambdas where no column can be staged."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

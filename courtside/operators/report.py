@@ -16,10 +16,9 @@ from courtside.functions.labels import (
 )
 from courtside.functions.names import Names, player_identity
 from courtside.functions.scores import (
-    is_mixed_team, score_text, score_winner, side_value, sub_match_left_index, sub_match_right_index,
-    team_game_totals, tie_left_index,
+    is_mixed_team, score_text, score_winner, side_values, sub_match_sides, team_game_totals, tie_left_index,
 )
-from courtside.functions.text import blank_to_null, first_text, text, trim
+from courtside.functions.text import blank_to_null, first_text, let, text, trim
 from courtside.operators.ordered import Scope, number_rows, run_ids
 from courtside.operators.stages import NO_NUMBER
 
@@ -44,45 +43,54 @@ def sort_matches(matches: DataFrame, scope: Sequence[str] = ("event",), width: i
 
 # ---- list and text ---------------------------------------------------------------------
 
-def competitor_label(c: Column, names: Names) -> Column:
-    """Players joined, their distinct organisations in brackets."""
-    players = F.filter(F.transform(F.coalesce(c["players"], F.array()), lambda p: F.struct(
-        names.player(p["name"]).alias("name"),
-        names.org(first_text(p["org"], c["org"]), first_text(p["orgCode"], c["orgCode"])).alias("org"))),
-        lambda p: p["name"] != "")
-    shown = F.array_join(F.transform(players, lambda p: p["name"]), "／")
-    orgs = F.array_join(F.array_distinct(F.filter(F.transform(players, lambda p: p["org"]), lambda o: o != "")), "／")
-    own, own_org = names.player(c["name"]), names.org(c["org"], c["orgCode"])
+def _brackets(name: Column, org: Column, opening: str, closing: str) -> Column:
+    return F.when(org != "", F.concat(name, F.lit(opening), org, F.lit(closing))).otherwise(name)
+
+
+def _listed(c: Column, name, org) -> Column:
+    """(name, org) of the named players of a side."""
+    return F.filter(F.transform(F.coalesce(c["players"], F.array()), lambda p: F.struct(
+        name(p["name"]).alias("name"), org(p).alias("org"))), lambda p: p["name"] != "")
 
-    def bracketed(name, org):
-        return F.when(org != "", F.concat(name, F.lit("（"), org, F.lit("）"))).otherwise(name)
 
-    return F.when(c.isNull(), "").when(F.size(players) > 0, bracketed(shown, orgs)).otherwise(bracketed(own, own_org))
+def _orgs(players: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(players, lambda p: p["org"]), lambda o: o != ""))
+
+
+def _joined(players: Column, joiner: str) -> Column:
+    return F.array_join(F.transform(players, lambda p: p["name"]), joiner)
+
+
+def competitor_label(c: Column, names: Names) -> Column:
+    """Players joined, their distinct organisations in brackets."""
+    players = _listed(c, names.player, lambda p: names.org(first_text(p["org"], c["org"]),
+                                                           first_text(p["orgCode"], c["orgCode"])))
+    own = _brackets(names.player(c["name"]), names.org(c["org"], c["orgCode"]), "（", "）")
+    return F.when(c.isNull(), "").otherwise(let(players, lambda ps: F.when(
+        F.size(ps) > 0, _brackets(_joined(ps, "／"), F.array_join(_orgs(ps), "／"), "（", "）")).otherwise(own)))
 
 
 def competitor_label_en(c: Column) -> Column:
     """Pairs of two organisations label each player."""
-    players = F.filter(F.transform(F.coalesce(c["players"], F.array()), lambda p: F.struct(
-        trim(p["name"]).alias("name"),
-        trim(first_text(p["org"], c["org"], p["orgCode"], c["orgCode"])).alias("org"))), lambda p: p["name"] != "")
-    orgs = F.array_distinct(F.filter(F.transform(players, lambda p: p["org"]), lambda o: o != ""))
+    players = _listed(c, trim, lambda p: trim(first_text(p["org"], c["org"], p["orgCode"], c["orgCode"])))
+    own = trim(c["name"])
+    alone = F.when(own == "", "").otherwise(_brackets(own, trim(first_text(c["org"], c["orgCode"])), " (", ")"))
 
-    def bracketed(name, org):
-        return F.when(name == "", "").when(org != "", F.concat(name, F.lit(" ("), org, F.lit(")"))).otherwise(name)
+    def show(ps):
+        each = F.array_join(F.transform(ps, lambda p: _brackets(p["name"], p["org"], " (", ")")), " / ")
+        return let(_orgs(ps), lambda orgs: F.when((F.size(ps) >= 2) & (F.size(orgs) > 1), each)
+                   .when(F.size(ps) >= 1, _brackets(_joined(ps, " / "), F.array_join(orgs, ""), " (", ")"))
+                   .otherwise(alone))
 
-    joined = F.array_join(F.transform(players, lambda p: p["name"]), " / ")
-    each = F.array_join(F.transform(players, lambda p: bracketed(p["name"], p["org"])), " / ")
-    return (F.when(c.isNull(), "")
-            .when((F.size(players) >= 2) & (F.size(orgs) > 1), each)
-            .when(F.size(players) >= 1, bracketed(joined, F.coalesce(F.get(orgs, F.lit(0)), F.lit(""))))
-            .otherwise(bracketed(trim(c["name"]), trim(first_text(c["org"], c["orgCode"])))))
+    return F.when(c.isNull(), "").otherwise(let(players, show))
 
 
 def sub_match_label(c: Column, names: Names | None, joiner: str) -> Column:
     """A rubber's side without organisations; ``names`` None is the English form."""
     show = trim if names is None else names.player
     players = F.filter(F.transform(F.coalesce(c["players"], F.array()), lambda p: show(p["name"])), lambda n: n != "")
-    return F.when(c.isNull(), "").when(F.size(players) > 0, F.array_join(players, joiner)).otherwise(show(c["name"]))
+    return F.when(c.isNull(), "").otherwise(let(players, lambda ps: F.when(
+        F.size(ps) > 0, F.array_join(ps, joiner)).otherwise(show(c["name"]))))
 
 
 def _team_side(i: int) -> Column:
@@ -195,7 +203,7 @@ def pending_pairs(singles: Column, left_org: Column, right_org: Column, home_org
     keyed = F.transform(typed, lambda p: F.struct(
         text(p["home"]["name"]).alias("h"), text(p["away"]["name"]).alias("a"),
         player_identity(p["home"]).alias("hk"), player_identity(p["away"]).alias("ak")))
-    standard = F.transform(F.array(keyed), lambda t: _standard(t, left_org, right_org, home_org, away_org))[0]
+    standard = let(keyed, lambda t: _standard(t, left_org, right_org, home_org, away_org))
     olympic = _doubles_first(singles, left_index)
     return F.when(F.size(singles) >= 3, F.coalesce(standard, olympic))
 
@@ -219,46 +227,53 @@ def _standard(t: Column, left_org: Column, right_org: Column, home_org: Column,
 
 def _doubles_first(singles: Column, left_index: Column) -> Column:
     def side(rubber, left):
-        at = left_index if left else 1 - left_index
-        return F.get(F.get(singles, F.lit(rubber))["competitors"], at)
+        return F.get(F.get(singles, F.lit(rubber))["competitors"], left_index if left else 1 - left_index)
+
+    def partners(left):
+        return F.filter(F.coalesce(side(0, left)["players"], F.array()), lambda p: p.isNotNull())
+
+    known = F.struct(*[_side_player(side(r, x)).alias(f"{'lr'[not x]}{r}") for r in (1, 2) for x in (True, False)],
+                     partners(True).alias("pl"), partners(False).alias("pr"))
+
+    def show(k):
+        def rest(players, third):
+            other = F.filter(players, lambda p: player_identity(p) != player_identity(third))
+            return F.when((F.size(players) >= 2) & third.isNotNull(), F.get(other, F.lit(0)))
 
-    def partner(left):
-        third = player_identity(_side_player(side(2, left)))
-        players = F.filter(F.coalesce(side(0, left)["players"], F.array()), lambda p: p.isNotNull())
-        rest = F.get(F.filter(players, lambda p: player_identity(p) != third), F.lit(0))
-        return F.when(F.size(players) >= 2, rest)
+        two = F.struct(rest(k["pl"], k["l2"]).alias("l"), rest(k["pr"], k["r2"]).alias("r"))
+        return let(two, lambda t: F.when(
+            t["l"].isNotNull() & t["r"].isNotNull() & k["l1"].isNotNull() & k["r1"].isNotNull(),
+            F.array(_pair(text(t["l"]["name"]), text(k["r1"]["name"])), _pair(text(k["l1"]["name"]), text(t["r"]["name"])))))
 
-    left, right = partner(True), partner(False)
-    second = [_side_player(side(1, x)) for x in (True, False)]
-    known = (left.isNotNull() & right.isNotNull() & second[0].isNotNull() & second[1].isNotNull()
-             & _side_player(side(2, True)).isNotNull() & _side_player(side(2, False)).isNotNull())
-    return F.when(known, F.array(_pair(text(left["name"]), text(second[1]["name"])),
-                                 _pair(text(second[0]["name"]), text(right["name"]))))
+    return let(known, show)
 
 
 # ---- native and English reports --------------------------------------------------------
 
 def with_display(matches: DataFrame) -> DataFrame:
-    """Side shown left and the organisations of both shown sides."""
-    left = tie_left_index(F.col("overallScore"))
-    return matches.withColumn("left_index", left).withColumns({
-        "left_org": F.get("teams", F.col("left_index"))["org"],
-        "right_org": F.get("teams", 1 - F.col("left_index"))["org"],
-        "mixed_team": is_mixed_team(F.col("matchType"), F.col("discipline"), F.col("gender")),
-    })
+    """Winner and side shown left, organisations of both shown sides, and the same for every rubber."""
+    shown = matches.withColumn("winner", score_winner(F.col("overallScore"))).withColumn(
+        "left_index", F.when(F.col("winner") == 1, 1).otherwise(0)).withColumns({
+            "left_org": F.get("teams", F.col("left_index"))["org"],
+            "right_org": F.get("teams", 1 - F.col("left_index"))["org"],
+            "mixed_team": is_mixed_team(F.col("matchType"), F.col("discipline"), F.col("gender")),
+        })
+    return shown.withColumn("shown", F.transform("singles", lambda s: F.struct(
+        s.alias("s"), score_winner(s["overallScore"]).alias("winner"),
+        sub_match_sides(s["competitors"], F.col("left_org"), F.col("right_org")).alias("sides"))))
 
 
 def _team_score() -> Column:
     score = F.coalesce(first_text(F.col("overallScore")), F.lit("-"))
-    parts = F.split(score, "-")
-    second = F.coalesce(F.get(parts, F.lit(1)), F.lit("undefined"))
-    turned = F.concat(second, F.lit("-"), F.get(parts, F.lit(0)))
-    return F.when(F.col("left_index") == 1, turned).otherwise(score)
+    return let(F.split(score, "-"), lambda parts: F.when(F.col("left_index") == 1, F.concat(
+        F.coalesce(F.get(parts, F.lit(1)), F.lit("undefined")), F.lit("-"), F.get(parts, F.lit(0)))).otherwise(score))
 
 
-def _totals() -> Column:
-    t = team_game_totals(F.col("singles"), F.col("left_org"), F.col("right_org"))
-    return F.concat(t["left"].cast("string"), F.lit("-"), t["right"].cast("string"))
+def _middle(opening: str, closing: str) -> Column:
+    totals = let(team_game_totals(F.col("singles"), F.col("left_org"), F.col("right_org")),
+                 lambda t: F.concat(F.lit(opening), t["left"].cast("string"), F.lit("-"), t["right"].cast("string"),
+                                    F.lit(closing)))
+    return F.when(F.col("mixed_team"), totals).otherwise(_team_score())
 
 
 def _pending() -> Column:
@@ -268,71 +283,83 @@ def _pending() -> Column:
     return F.coalesce(F.when(wanted, pairs), F.array().cast("array<struct<left:string,right:string>>"))
 
 
-def ja_match_lines(names: Names, omit_sets: bool) -> Column:
-    """Lines of one match without its header."""
-    left, right = F.col("left_index"), 1 - F.col("left_index")
-    shown = [competitor_label(F.get("competitors", at), names) for at in (left, right)]
-    score = score_text(F.col("overallScore"), F.col("gameScores"), F.col("resultStatus"), left, "ja", omit_sets)
-    pair = F.concat(shown[0], F.lit(f"\n{_WIDE}"), score, F.lit(f"\n{_WIDE}{_WIDE}"), shown[1])
-    single = F.array(F.when(F.col("discipline").isin("doubles", "mixed"), pair)
-                     .otherwise(F.concat_ws(_WIDE, shown[0], score, shown[1])))
+def _sides(label) -> list[Column]:
+    return [label(F.get("competitors", at)) for at in (F.col("left_index"), 1 - F.col("left_index"))]
 
-    def rubber(s):
-        at = sub_match_left_index(s["competitors"], F.col("left_org"), F.col("right_org"))
-        to = sub_match_right_index(s["competitors"], F.col("left_org"), F.col("right_org"))
-        a, b = (sub_match_label(F.get(s["competitors"], x), names, "／") for x in (at, to))
+
+def _score(lang: str, omit_sets: bool) -> Column:
+    return score_text(F.col("overallScore"), F.col("gameScores"), F.col("resultStatus"), F.col("left_index"), lang,
+                      omit_sets)
+
+
+def _rubber_parts(at: Column, to: Column, r: Column, label, lang: str, omit_sets: bool) -> Column:
+    s = r["s"]
+    return F.struct(
+        label(F.get(s["competitors"], at)).alias("a"), label(F.get(s["competitors"], to)).alias("b"),
+        score_text(s["overallScore"], s["gameScores"], s["resultStatus"], at, lang,
+                   F.lit(True) if omit_sets else F.col("mixed_team")).alias("score"),
+        (r["winner"] == at).alias("left_won"), (r["winner"] == to).alias("right_won"),
+        side_values(s["overallScore"], at).alias("sets"))
+
+
+def with_ja_lines(matches: DataFrame, names: Names, omit_sets: bool) -> DataFrame:
+    """``lines`` of every match without its header. Built column by column, so no expression nests another."""
+    sides = _sides(lambda c: competitor_label(c, names))
+    rows = with_display(matches).withColumns({
+        "a": sides[0], "b": sides[1], "score": _score("ja", omit_sets),
+        "rubbers": F.transform("shown", lambda r: _rubber_parts(
+            r["sides"]["at"], r["sides"]["to"], r, lambda c: sub_match_label(c, names, "／"), "ja", omit_sets)),
+        "home": names.team(F.get("teams", F.col("left_index"))), "away": names.team(F.get("teams", 1 - F.col("left_index"))),
+        "middle": _middle("【", "】"), "pending": _pending(),
+    })
+    pair = F.concat(F.col("a"), F.lit(f"\n{_WIDE}"), F.col("score"), F.lit(f"\n{_WIDE}{_WIDE}"), F.col("b"))
+    single = F.when(F.col("discipline").isin("doubles", "mixed"), pair).otherwise(F.concat_ws(_WIDE, "a", "score", "b"))
+
+    def rubber(r):
         mixed = F.col("mixed_team")
-        body = F.concat_ws(_WIDE, a, score_text(s["overallScore"], s["gameScores"], s["resultStatus"], at, "ja",
-                                                mixed | F.lit(omit_sets)), b)
-        winner = score_winner(s["overallScore"])
-        sets = [side_value(s["overallScore"], at, x).cast("string") for x in (True, False)]
-        return (F.when(mixed, F.concat(F.lit("【"), sets[0], F.lit("】"), body, F.lit("【"), sets[1], F.lit("】")))
-                .when(winner == at, F.concat(F.lit("○"), body))
-                .when(winner == to, F.concat(F.lit(_WIDE), body, F.lit("○")))
-                .otherwise(F.concat(F.lit(_WIDE), body)))
-
-    teams = [names.team(F.get("teams", at)) for at in (left, right)]
-    middle = F.when(F.col("mixed_team"), F.concat(F.lit("【"), _totals(), F.lit("】"))).otherwise(_team_score())
+        return F.concat(
+            F.when(mixed, F.concat(F.lit("【"), r["sets"]["left"].cast("string"), F.lit("】")))
+             .when(r["left_won"], "○").otherwise(_WIDE),
+            F.concat_ws(_WIDE, r["a"], r["score"], r["b"]),
+            F.when(mixed, F.concat(F.lit("【"), r["sets"]["right"].cast("string"), F.lit("】")))
+             .when(r["right_won"], "○").otherwise(""))
+
     tie = F.concat(
-        F.array(F.concat(F.lit(_WIDE), F.concat_ws(_WIDE, teams[0], middle, teams[1]))),
-        F.transform("singles", rubber),
-        F.transform(_pending(), lambda p: F.concat(F.lit(_WIDE), names.player(p["left"]), F.lit(f"{_WIDE}-{_WIDE}"),
-                                                   names.player(p["right"]))))
-    return F.when(F.col("matchType") == "individual", single).otherwise(tie)
+        F.array(F.concat(F.lit(_WIDE), F.concat_ws(_WIDE, "home", "middle", "away"))),
+        F.transform("rubbers", rubber),
+        F.transform("pending", lambda p: F.concat(F.lit(_WIDE), names.player(p["left"]), F.lit(f"{_WIDE}-{_WIDE}"),
+                                                  names.player(p["right"]))))
+    return rows.withColumn("lines", F.when(F.col("matchType") == "individual", F.array(single)).otherwise(tie))
 
 
-def _team_en(t: Column) -> Column:
-    return trim(first_text(t["org"], t["orgCode"], t["name"]))
+def _decided(a: Column, score: Column, b: Column, decided: Column) -> Column:
+    return F.when(decided, F.concat(a, F.lit(" d. "), b, F.lit(" "), score)).otherwise(
+        F.concat(a, F.lit(" "), score, F.lit(" "), b))
 
 
-def en_match_lines(omit_sets: bool) -> Column:
-    """Lines of one match without its header; a decided rubber shows its winner left."""
-    left, right = F.col("left_index"), 1 - F.col("left_index")
-    shown = [competitor_label_en(F.get("competitors", at)) for at in (left, right)]
-    score = score_text(F.col("overallScore"), F.col("gameScores"), F.col("resultStatus"), left, "en", omit_sets)
+def with_en_lines(matches: DataFrame, omit_sets: bool) -> DataFrame:
+    """``lines`` of every match without its header; a decided rubber shows its winner left."""
+    sides = _sides(competitor_label_en)
 
-    def line(a, score, b, decided):
-        return F.when(decided, F.concat(a, F.lit(" d. "), b, F.lit(" "), score)).otherwise(
-            F.concat(a, F.lit(" "), score, F.lit(" "), b))
+    def parts(r):
+        return let(F.coalesce(r["winner"], r["sides"]["at"]), lambda at: _rubber_parts(
+            at, F.when(at == 0, 1).otherwise(0), r, lambda c: sub_match_label(c, None, " / "), "en", omit_sets))
 
-    single = F.array(line(shown[0], score, shown[1], score_winner(F.col("overallScore")).isNotNull()))
+    def team(at):
+        return let(F.get("teams", at), lambda t: text(trim(first_text(t["org"], t["orgCode"], t["name"]))))
 
-    def rubber(s):
-        winner = score_winner(s["overallScore"])
-        at = F.coalesce(winner, sub_match_left_index(s["competitors"], F.col("left_org"), F.col("right_org")))
-        to = F.when(at == 0, 1).otherwise(0)
-        a, b = (sub_match_label(F.get(s["competitors"], x), None, " / ") for x in (at, to))
-        value = score_text(s["overallScore"], s["gameScores"], s["resultStatus"], at, "en",
-                           F.col("mixed_team") | F.lit(omit_sets))
-        return F.concat(F.lit("  "), line(a, value, b, winner.isNotNull()))
-
-    teams = [_team_en(F.get("teams", at)) for at in (left, right)]
-    middle = F.when(F.col("mixed_team"), _totals()).otherwise(_team_score())
+    rows = with_display(matches).withColumns({
+        "a": sides[0], "b": sides[1], "score": _score("en", omit_sets), "rubbers": F.transform("shown", parts),
+        "home": team(F.col("left_index")), "away": team(1 - F.col("left_index")), "middle": _middle("", ""),
+        "pending": _pending(),
+    })
+    single = _decided(F.col("a"), F.col("score"), F.col("b"), F.col("winner").isNotNull())
     tie = F.concat(
-        F.array(F.concat(F.lit("  "), F.concat_ws(" ", text(teams[0]), middle, text(teams[1])))),
-        F.transform("singles", rubber),
-        F.transform(_pending(), lambda p: F.concat(F.lit("  "), p["left"], F.lit(" - "), p["right"])))
-    return F.when(F.col("matchType") == "individual", single).otherwise(tie)
+        F.array(F.concat(F.lit("  "), F.concat_ws(" ", "home", "middle", "away"))),
+        F.transform("rubbers", lambda r: F.concat(F.lit("  "), _decided(
+            r["a"], r["score"], r["b"], r["left_won"].isNotNull()))),
+        F.transform("pending", lambda p: F.concat(F.lit("  "), p["left"], F.lit(" - "), p["right"])))
+    return rows.withColumn("lines", F.when(F.col("matchType") == "individual", F.array(single)).otherwise(tie))
 
 
 def header_ja(rules) -> Column:
@@ -347,36 +374,40 @@ def header_en() -> Column:
     return F.concat(F.lit("▼"), F.array_join(F.filter(parts, lambda p: p != ""), " "))
 
 
-def block_report(rows: DataFrame, scope: Scope, block: Column, header: Column, lines: Column,
+def block_report(rows: DataFrame, scope: Scope, block: Column, header: str, lines: str,
                  keep: Sequence[str]) -> DataFrame:
     """Header line at the start of each run of equal ``block``, blank line between runs, lines of every row.
 
-    Rows come out as (keep, row_no, line_no, line).
+    Rows come out as (keep, block_no, row_no, line_no, line).
     """
-    marked = run_ids(rows, scope, block, "block_no", starts="__starts")
-    numbered = number_rows(marked, scope, "row_no")
-    blank = F.when(F.col("block_no") > 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    content = F.when(F.col("__starts"), F.concat(blank, F.array(header), lines)).otherwise(lines)
-    return numbered.select(*keep, "block_no", "row_no", F.posexplode(content).alias("line_no", "line"))
+    numbered = run_ids(rows, scope, block, "block_no", starts="__starts", rows="row_no")
+    none = F.array().cast("array<string>")
+    blank = F.when(F.col("block_no") > 1, F.array(F.lit(""))).otherwise(none)
+    opening = F.when(F.col("__starts"), F.concat(blank, F.array(header))).otherwise(none)
+    return numbered.select(*keep, "block_no", "row_no", F.posexplode(F.concat(opening, F.col(lines))).alias(
+        "line_no", "line"))
 
 
-def _blocks(matches: DataFrame, header: Column, lines: Column) -> DataFrame:
-    keyed, scope = sort_matches(with_display(matches))
+def _blocks(rows: DataFrame, header: Column) -> DataFrame:
+    keyed, scope = sort_matches(rows.withColumn("header", header))
     # a tie is a block of its own; individual matches run on while category and round stay the same
     block = F.struct("categoryName", "roundKey", "roundLabel",
                      F.when(F.col("matchType") != "individual", F.col("seq")).alias("tie"))
-    return block_report(keyed, scope, block, header, lines, ["event"])
+    # only texts and sort columns travel: the nested match stays behind
+    slim = keyed.select(*dict.fromkeys([*scope.parts, *scope.order]), block.alias("block"), "header", "lines")
+    return block_report(slim, scope, F.col("block"), "header", "lines", ["event"])
 
 
-def report_ja(matches: DataFrame, rules, omit_sets: bool = False) -> DataFrame:
-    """R3. ``matches`` carry ``stage_number`` and the columns of ``translate_matches``."""
-    names = Names(F.col("player_names"), F.col("team_names"))
-    return _blocks(matches, header_ja(rules), ja_match_lines(names, omit_sets))
+def report_ja(matches: DataFrame, rules, omit_sets: bool = False, translated: bool = True) -> DataFrame:
+    """R3. ``matches`` carry ``stage_number`` and the columns of ``translate_matches``, which are read only when
+    ``translated``."""
+    names = Names(F.col("player_names"), F.col("team_names")) if translated else Names()
+    return _blocks(with_ja_lines(matches, names, omit_sets), header_ja(rules))
 
 
 def report_en(matches: DataFrame, omit_sets: bool = False) -> DataFrame:
     """R4. ``matches`` carry ``stage_number``."""
-    return _blocks(matches, header_en(), en_match_lines(omit_sets))
+    return _blocks(with_en_lines(matches, omit_sets), header_en())
 
 
 def to_json_rows(df: DataFrame, columns: Sequence[str], pretty: bool = False, out: str = "line") -> Column:

@@ -25,8 +25,8 @@ from courtside.sources.index import LabelRules, write_sorted_index
 EVENT = ["event"]
 
 
-def apply_filters(matches: DataFrame, args: MatchArgs) -> DataFrame:
-    """F1-F7 and O6 in their fixed order. ``matches`` carry the columns of ``translate_matches``."""
+def apply_filters(matches: DataFrame, args: MatchArgs, translated: bool) -> DataFrame:
+    """F1-F7 and O6 in their fixed order. ``translated`` matches carry the columns of ``translate_matches``."""
     out = filters.drop_excluded(matches)
     if args.category:
         out = filters.filter_category(out, EVENT, args.category)
@@ -37,7 +37,7 @@ def apply_filters(matches: DataFrame, args: MatchArgs) -> DataFrame:
     if args.rounds:
         out = filters.filter_rounds(out, EVENT, args.rounds)
     if args.contains:
-        names = Names(F.col("player_names"), F.col("team_names"))
+        names = Names(F.col("player_names"), F.col("team_names")) if translated else Names()
         out = filters.filter_contains(out, args.contains, search.match_search_text(names))
     if args.code:
         out = filters.filter_code(out, args.code)
@@ -59,7 +59,7 @@ def match_rows(matches: DataFrame, args: MatchArgs, dictionary: DataFrame | None
     """Q1 without rendering: filtered matches with stage numbers and translations."""
     args = args.with_generic_category()
     named = without_dictionary(matches) if dictionary is None else translate_matches(matches, dictionary)
-    filtered = apply_filters(named, args)
+    filtered = apply_filters(named, args, dictionary is not None)
     return stages.number_knockout_rounds(filtered, EVENT, context=render_context(matches, args))
 
 
@@ -76,14 +76,14 @@ def match_query(matches: DataFrame, args: MatchArgs, dictionary: DataFrame | Non
         return report.report_en(rows, args.omit_sets)
     if args.mode == "text":
         return report.report_text(rows)
-    return report.report_ja(rows, rules or LabelRules(), args.omit_sets)
+    return report.report_ja(rows, rules or LabelRules(), args.omit_sets, translated=dictionary is not None)
 
 
 def match_facets(matches: DataFrame, args: MatchArgs, rules: LabelRules | None = None,
                  dictionary: DataFrame | None = None) -> dict[str, DataFrame]:
     """Q2: counts, available rounds, category options (without the category argument) and round options (with it)."""
     named = without_dictionary(matches) if dictionary is None else translate_matches(matches, dictionary)
-    filtered = apply_filters(named, args.with_generic_category())
+    filtered = apply_filters(named, args.with_generic_category(), dictionary is not None)
     for_categories = filters.facet_scope(matches, None, args.gender, args.discipline)
     for_rounds = filters.facet_scope(matches, args.category, args.gender, args.discipline)
     return {
