@@ -640,7 +640,8 @@ _TOKENS = ("list_transform(string_split({0}, ' '), lambda w: CASE WHEN regexp_fu
 
 @query(f"""
 WITH d AS (SELECT doc_id, {_TOKENS.format(_ASCII.format('text'))} AS w FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS event FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'whst') ORDER BY doc_id LIMIT 50""")
+SELECT CAST(doc_id AS VARCHAR) AS event FROM d
+WHERE (list_contains(w, 'the') AND list_contains(w, 'whst')) OR contains(array_to_string(w, ' '), 'whst the') ORDER BY doc_id LIMIT 50""")
 def q_event_search(spark, sf_dir):
     none = F.lit(None).cast("string")
     events = table(spark, sf_dir, "documents").select(
