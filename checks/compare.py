@@ -19,7 +19,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session(cores: str = "8") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("checks").config("spark.sql.shuffle.partitions", cores)
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 
@@ -18,11 +20,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for streaming checkpoints: the one the cluster names, else the caller's own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if fallback is None:
+def checkpoint_location(spark: SparkSession, sink: str, fallback: str | None = None) -> str:
+    """Checkpoint folder of the stream that writes to ``sink``, stable across restarts.
+
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, else in the caller's own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not root:
         raise ValueError("spark.checkpoint.dir is unset and no folder was given")
-    return fallback.rstrip("/")
+    return f"{root.rstrip('/')}/streams/{hashlib.sha256(sink.encode()).hexdigest()[:24]}"

@@ -68,10 +68,14 @@ def read_dictionary(spark: SparkSession, path: str, strict: bool = False) -> Dat
                                for k in ("teams", "players")])
         tops = tops.withColumn("d", F.when(counted > 0, F.col("d")).otherwise(
             F.raise_error(F.lit("dictionary holds neither teams nor players"))))
-    pairs = F.concat(*[F.coalesce(F.transform(
-        F.map_entries(F.from_json(f"d.{k}", "map<string,string>")),
-        lambda e, k=k: F.struct(F.lit(k).alias("kind"), e["key"].alias("key"), e["value"].alias("value"))),
-        F.array().cast("array<struct<kind:string,key:string,value:string>>")) for k in kinds])
+
+    def of_kind(kind):
+        found = F.map_entries(F.from_json(f"d.{kind}", "map<string,string>"))
+        rows = F.transform(found, lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"),
+                                                     e["value"].alias("value")))
+        return F.coalesce(rows, F.array().cast("array<struct<kind:string,key:string,value:string>>"))
+
+    pairs = F.concat(*[of_kind(k) for k in kinds])
     return tops.select(F.inline(pairs))
 
 

@@ -14,7 +14,7 @@ from courtside.functions.text import trim
 from courtside.operators.keys import join_on, pick_first
 from courtside.operators.merge import merge_versions
 from courtside.operators.stages import final_ok
-from courtside.session import checkpoint_root
+from courtside.session import checkpoint_location
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -57,8 +57,8 @@ def stream_latest_best(snapshots: DataFrame, path: str, key: Column, better: Seq
         (merged.withColumn("version", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("version", "event").parquet(path))
 
-    return (snapshots.writeStream.foreachBatch(merge).option(
-        "checkpointLocation", f"{checkpoint_root(spark, checkpoint)}/latest_best"))
+    return snapshots.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", checkpoint_location(spark, path, checkpoint))
 
 
 def stream_dedupe(items: DataFrame, code: Sequence[str], event_time: str, delay: str) -> DataFrame:
@@ -143,7 +143,7 @@ def stream_finished_events(matches: DataFrame, path: str, category: Column, ok:
          .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
 
     return (stream_category_finals(matches, category, ok).writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", f"{checkpoint_root(spark, checkpoint)}/finished"))
+            .option("checkpointLocation", checkpoint_location(spark, path, checkpoint)))
 
 
 def finished_events(spark: SparkSession, path: str) -> DataFrame:

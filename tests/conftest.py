@@ -13,7 +13,8 @@ from courtside.session import tune  # noqa: E402
 def spark():
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
     session.stop()
