@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.tables import LADDER, ORDER_MATCHES_SQL, cents, day, nation_orders, order_matches, table
+from checks.tables import LADDER, ORDER_MATCHES_SQL, cents, day, nation_orders, order_matches, spread_table, table
 from courtside.functions import dates, html, labels, names, scores, text
 from courtside.functions.names import Names
 from courtside.operators import facets, filters, html_pages, lookup, merge, report, search, stages
@@ -552,7 +552,7 @@ FROM f LEFT JOIN n ON n.event = f.event AND n.value = f.value""")
 def q_round_options(spark, sf_dir):
     step = F.substring("o_orderpriority", 1, 1)
     label = text.look_up({"1": "Round of 16", "2": "Finals", "3": "Group B", "4": "Round 2", "5": "Stage 1A"}, step)
-    rows = nation_orders(spark, sf_dir, "o_orderkey", "o_orderpriority").select(
+    rows = nation_orders(spark, sf_dir, "o_orderkey", "o_orderpriority", light=False).select(
         F.col("event").cast("string").alias("event"), F.col("o_orderkey").alias("seq"), label.alias("roundLabel"),
         F.lit(None).cast("string").alias("source"))
     rows = rows.withColumn("roundKey", labels.norm_round(F.col("roundLabel")))
@@ -644,7 +644,7 @@ SELECT CAST(doc_id AS VARCHAR) AS event FROM d
 WHERE (list_contains(w, 'the') AND list_contains(w, 'whst')) OR contains(array_to_string(w, ' '), 'whst the') ORDER BY doc_id LIMIT 50""")
 def q_event_search(spark, sf_dir):
     none = F.lit(None).cast("string")
-    events = table(spark, sf_dir, "documents").select(
+    events = spread_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("event"), F.col("text").alias("eventName"), none.alias("startDate"),
         none.alias("endDate"), F.lit("").alias("dateLabel"))
     return jobs.event_search(events, "Whst, the").select("event")
@@ -656,7 +656,7 @@ WHERE strftime(o_orderdate, '%Y %-m') = '1997 3' OR strftime(o_orderdate + INTER
 ORDER BY o_orderdate, o_orderkey LIMIT 50""")
 def q_event_search_dates(spark, sf_dir):
     start, end = day("o_orderdate"), F.date_format(F.date_add("o_orderdate", 5), "yyyy-MM-dd")
-    events = table(spark, sf_dir, "orders").select(
+    events = spread_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("event"), F.lit("Open").alias("eventName"), start.alias("startDate"),
         end.alias("endDate"), dates.date_range_label(start, end).alias("dateLabel"))
     return jobs.event_search(events, "1997-03").select("event", "startDate")
@@ -722,7 +722,7 @@ def q_lifecycle(spark, sf_dir):
     start = F.when(F.col("o_orderstatus") != "P", day("o_orderdate"))
     end = F.when(F.col("o_orderstatus") == "F", F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"))
     name = F.concat(F.col("o_orderpriority"), F.lit(" 20"), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(" cup"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", start.alias("s"), end.alias("e"), name.alias("n"))
+    orders = spread_table(spark, sf_dir, "orders").select("o_orderkey", start.alias("s"), end.alias("e"), name.alias("n"))
     s, e = F.col("s"), F.col("e")
     now = F.lit("1997-06-15").cast("date")
     return orders.select("o_orderkey", dates.lifecycle_status(s, e, F.lit("unknown"), F.col("n"), now).alias("status"),
@@ -787,7 +787,7 @@ SELECT o_orderkey, array_to_string(list_distinct_ordered, '|') AS tokens FROM (
 def q_date_tokens(spark, sf_dir):
     local = F.date_format("o_orderdate", "MM/dd/yyyy HH:mm:ss")
     utc = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(dates.date_tokens(local, utc), "|").alias("tokens"))
+    return spread_table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(dates.date_tokens(local, utc), "|").alias("tokens"))
 
 
 @query("""
@@ -796,7 +796,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS event, o_orderpriority AS "eventName",
 FROM orders WHERE o_orderkey > 0""")
 def q_calendar_rows(spark, sf_dir):
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    rows = table(spark, sf_dir, "orders").select(
+    rows = spread_table(spark, sf_dir, "orders").select(
         F.when(F.col("o_orderstatus") == "O", "0").otherwise(F.col("o_orderkey").cast("string")).alias("EventCode"),
         F.when(F.col("o_orderkey") > 0, F.col("o_orderkey").cast("string")).alias("EventId"),
         F.concat(F.lit("  "), F.regexp_replace("o_orderpriority", " ", "   ")).alias("EventName"),
@@ -902,7 +902,7 @@ def q_score_text(spark, sf_dir):
     listed = F.concat(F.concat_ws("-", q.cast("string"), disc.cast("string")), F.lit(", 0-0 ,"),
                       F.concat_ws("-", tax.cast("string"), F.col("l_linenumber").cast("string")))
     status = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Retired (ret.)")
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint").alias("line_no"), score.alias("s"),
         scores.split_games(listed).alias("g"), status.alias("st"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("left"))
     shown = scores.score_text(F.col("s"), F.col("g"), F.col("st"), F.col("left"), "en")
@@ -928,7 +928,7 @@ def q_team_totals(spark, sf_dir):
     singles = F.when(F.col("l_returnflag") == "R", F.array(rubber(turned, "B", "A"))).otherwise(
         F.array(rubber(straight, "A", "B"), rubber(turned, "B", "A")))
     totals = scores.team_game_totals(singles, F.lit("A"), F.lit("B"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", totals.alias("t"), none.alias("x")).groupBy("l_orderkey").agg(
+    return spread_table(spark, sf_dir, "lineitem").select("l_orderkey", totals.alias("t"), none.alias("x")).groupBy("l_orderkey").agg(
         F.sum("t.left").alias("lefts"), F.sum("t.right").alias("rights"))
 
 
@@ -961,12 +961,14 @@ def q_pending_pairs(spark, sf_dir):
                       rubber(F.col("l_orderkey") % 5, part % 5), rubber(part % 4, quantity % 3))
     left = F.when(F.col("l_returnflag") == "R", "AW").otherwise("HO")
     right = F.when(F.col("l_returnflag") == "R", "HO").otherwise("AW")
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("line_no"), "l_partkey", "l_suppkey", singles.alias("singles"),
         left.alias("lo"), right.alias("ro"))
-    pairs = report.pending_pairs(F.col("singles"), F.col("lo"), F.col("ro"), F.lit("HO"), F.lit("AW"), F.lit(0))
-    shown = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["left"], p["right"])), ";")
-    return rows.select("l_orderkey", "line_no", "l_partkey", "l_suppkey", F.coalesce(shown, F.lit("none")).alias("pending"))
+    sides = rows.withColumns({"left_org": F.col("lo"), "right_org": F.col("ro"), "home_org": F.lit("HO"), "away_org": F.lit("AW"),
+                              "left_index": F.lit(0)})
+    shown = F.array_join(F.transform("pending", lambda p: F.concat_ws(":", p["left"], p["right"])), ";")
+    return report.with_pending(sides).select("l_orderkey", "line_no", "l_partkey", "l_suppkey",
+                                             F.coalesce(shown, F.lit("none")).alias("pending"))
 
 
 @query("""
@@ -1031,7 +1033,7 @@ _STRIP = """trim(regexp_replace(regexp_replace(regexp_replace(replace(
 
 @query(f"SELECT page_id, md5({_STRIP.format('html')}) AS hash, length({_STRIP.format('html')}) AS n FROM pages")
 def q_strip_html(spark, sf_dir):
-    stripped = table(spark, sf_dir, "pages").select("page_id", html.strip_html(F.col("html")).alias("t"))
+    stripped = spread_table(spark, sf_dir, "pages").select("page_id", html.strip_html(F.col("html")).alias("t"))
     return stripped.select("page_id", F.md5("t").alias("hash"), F.length("t").cast("bigint").alias("n"))
 
 
@@ -1115,7 +1117,7 @@ SELECT o_orderkey, {_case(_ROUND_CASES, _ROUND_NO, 1)} AS k, CAST({_case(_ROUND_
   {_case(_ROUND_CASES, _ROUND_NO, 3)} AS en, {_case(_ROUND_CASES, _ROUND_NO, 4)} AS ja FROM orders""")
 def q_round_sort(spark, sf_dir):
     picked = F.element_at(F.lit([c[0] for c in _ROUND_CASES]), (F.col("o_orderkey") % len(_ROUND_CASES) + 1).cast("int"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", picked.alias("raw"))
+    rows = spread_table(spark, sf_dir, "orders").select("o_orderkey", picked.alias("raw"))
     rows = rows.withColumn("k", labels.norm_round(F.col("raw")))
     no = F.lit(None).cast("int")
     return rows.select("o_orderkey", "k", labels.round_sort_value(F.col("k"), F.col("raw"), no).alias("v"),

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.session import spread
+
 LADDER = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -10,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table for queries that compute much per row."""
+    rows = table(spark, sf_dir, name)
+    return spread(rows.select(*columns) if columns else rows)
+
+
 def cents(c) -> F.Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -18,9 +26,9 @@ def day(c):
     return F.date_format(F.col(c), "yyyy-MM-dd")
 
 
-def nation_orders(spark, sf_dir, *columns) -> DataFrame:
+def nation_orders(spark, sf_dir, *columns, light=True) -> DataFrame:
     """orders with the nation of their customer as ``event``."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders") if light else spread_table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("bigint").alias("event"))
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select("event", *columns)
 
@@ -30,7 +38,7 @@ def order_matches(spark, sf_dir) -> DataFrame:
     from courtside import schema
 
     rows = nation_orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate",
-                         "c_name").join(table(spark, sf_dir, "customer").select(
+                         "c_name", light=False).join(table(spark, sf_dir, "customer").select(
                              F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("seg")), "o_custkey")
     status, step = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
     month, dom = (F.date_format("o_orderdate", f) for f in ("M", "d"))

@@ -3,11 +3,14 @@
 Whether an event opens a window depends on all events before it. Here time is cut into chunks. Inside a chunk the last
 window opened is a function of the first event that opens one, and equal outcomes are merged, so a chunk is summed up
 by a few (last entry, outcome) steps. Following the steps from chunk to chunk gives every chunk the window it starts
-in, and the chunks are then counted side by side. A task holds one chunk of a key, or the steps of a key.
+in, and the chunks are then counted side by side. Spark sorts and spreads the rows by (key, chunk); a task reads its
+sorted rows as a stream and holds whole chunks, or one step of a key, at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,54 +21,124 @@ from courtside.operators.keys import join_on
 _STEP = "__key string, __chunk bigint, entry bigint, outcome bigint"
 
 
+def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in pieces that end at the end of a (key, chunk), with the group number of every row."""
+    def starts(pdf):
+        key, chunk = pdf["__key"].to_numpy(), pdf["__chunk"].to_numpy()
+        return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])))
+
+    held = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        first = starts(pdf)
+        if held and len(first) == 1 and (pdf["__key"].iloc[0], pdf["__chunk"].iloc[0]) == (
+                held[0]["__key"].iloc[-1], held[0]["__chunk"].iloc[-1]):
+            held.append(pdf)
+            continue
+        # the last group may go on in the next piece
+        ready = pd.concat([*held, pdf.iloc[:first[-1]]], ignore_index=True)
+        held = [pdf.iloc[first[-1]:]]
+        if len(ready):
+            yield ready, _numbers(ready, starts)
+    if held:
+        ready = pd.concat(held, ignore_index=True)
+        yield ready, _numbers(ready, starts)
+
+
+def _numbers(pdf: pd.DataFrame, starts) -> np.ndarray:
+    marks = np.zeros(len(pdf), dtype=np.int64)
+    marks[starts(pdf)] = 1
+    return np.cumsum(marks) - 1
+
+
+def _following(at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Row of the same group that opens the next window if this row opens one, else the number of rows."""
+    base = at.min()
+    span = np.int64(at.max() - base + 2 * length + 2)
+    # one sorted axis for all groups of the piece: each group has its own stretch of it
+    if span > (np.iinfo(np.int64).max - 1) // (int(group[-1]) + 1):
+        out = np.empty(len(at), dtype=np.int64)
+        for g in np.split(np.arange(len(at)), np.flatnonzero(np.diff(group)) + 1):
+            out[g] = g[0] + np.searchsorted(at[g], at[g] + length, side="left")
+            out[g[out[g] > g[-1]]] = len(at)
+        return out
+    axis = group * span + (at - base)
+    out = np.searchsorted(axis, axis + length, side="left")
+    inside = out < len(at)
+    inside[inside] = group[out[inside]] == group[inside]
+    out[~inside] = len(at)
+    return out
+
+
 def _steps(length: int):
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["__at"].to_numpy())
-        following = np.searchsorted(at, at + length, side="left")
-        outcome = at.copy()
-        for i in range(len(at) - 1, -1, -1):
-            if following[i] < len(at):
-                outcome[i] = outcome[following[i]]
-        # events that share their outcome share one step, named by its last event
-        last = np.append(outcome[1:] != outcome[:-1], True)
-        return pd.DataFrame({"__key": key[0], "__chunk": key[1], "entry": at[last], "outcome": outcome[last]})
+    def summarise(frames):
+        for pdf, group in _whole_groups(frames):
+            at = pdf["__at"].to_numpy()
+            n = len(at)
+            last = np.append(_following(at, group, length), n)
+            last = np.where(last == n, np.arange(n + 1), last)
+            # doubling the stride reaches the last window of the chunk from every row
+            while True:
+                further = last[last]
+                if np.array_equal(further, last):
+                    break
+                last = further
+            outcome = at[last[:-1]]
+            # rows that share their outcome share one step, named by its last row
+            ends = np.append((outcome[1:] != outcome[:-1]) | (group[1:] != group[:-1]), True)
+            yield pd.DataFrame({"__key": pdf["__key"][ends], "__chunk": pdf["__chunk"][ends], "entry": at[ends],
+                                "outcome": outcome[ends]})
 
     return summarise
 
 
 def _follow(length: int):
-    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunks, opened, anchor = [], [], None
-        for chunk, steps in pdf.sort_values(["__chunk", "entry"]).groupby("__chunk", sort=True):
-            chunks.append(chunk)
-            opened.append(anchor)
-            free = np.iinfo(np.int64).min if anchor is None else anchor + length
-            # the first event at or after ``free`` lies in the first step whose last event is not before it
-            i = np.searchsorted(steps["entry"].to_numpy(), free, side="left")
-            if i < len(steps):
-                anchor = int(steps["outcome"].iloc[i])
-        return pd.DataFrame({"__key": key[0], "__chunk": chunks, "opened": pd.array(opened, dtype="Int64")})
+    def follow(frames):
+        key = chunk = anchor = None
+        opened_here = False
+        for pdf in frames:
+            out = []
+            for k, c, entry, outcome in zip(pdf["__key"], pdf["__chunk"], pdf["entry"], pdf["outcome"]):
+                if k != key:
+                    key, chunk, anchor = k, None, None
+                if c != chunk:
+                    chunk, opened_here = c, False
+                    out.append((k, c, anchor))
+                # the first event at or after the end of the window lies in the first step that ends at or after it
+                if not opened_here and (anchor is None or entry >= anchor + length):
+                    anchor, opened_here = outcome, True
+            yield pd.DataFrame({"__key": [o[0] for o in out], "__chunk": [o[1] for o in out],
+                                "opened": pd.array([o[2] for o in out], dtype="Int64")})
 
     return follow
 
 
 def _count(length: int, columns: list[str]):
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__at", "__tie"], kind="stable")
-        at = pdf["__at"].to_numpy()
-        anchor = pdf["opened"].iloc[0]
-        start, position = np.empty(len(at), dtype=np.int64), 0
-        counts = np.empty(len(at), dtype=np.int64)
-        if not pd.isna(anchor):
-            position = int(np.searchsorted(at, int(anchor) + length, side="left"))
-            start[:position] = int(anchor)
-            counts[:position] = int(pdf["carried"].iloc[0]) + np.arange(1, position + 1)
-        while position < len(at):
-            end = int(np.searchsorted(at, at[position] + length, side="left"))
-            start[position:end] = at[position]
-            counts[position:end] = np.arange(1, end - position + 1)
-            position = end
-        return pdf.assign(window_start=start, window_count=counts)[[*columns, "window_start", "window_count"]]
+    def count(frames):
+        for pdf, group in _whole_groups(frames):
+            at = pdf["__at"].to_numpy()
+            n = len(at)
+            opened = pdf["opened"].to_numpy(dtype="float64", na_value=np.nan)
+            entered = ~np.isnan(opened)
+            opened = np.where(entered, pdf["opened"].fillna(0).to_numpy(dtype=np.int64), 0)
+            carried = entered & (at < opened + length)
+            following = _following(at, group, length)
+            # windows open at the first row of each group that the carried window does not hold, then at each end
+            free = ~carried
+            first = free & np.append(True, (group[1:] != group[:-1]) | carried[:-1])
+            opens = np.zeros(n + 1, dtype=bool)
+            front = np.flatnonzero(first)
+            while len(front):
+                opens[front] = True
+                front = following[front]
+                front = front[front < n]
+            start_row = np.maximum.accumulate(np.where(opens[:-1], np.arange(n), -1))
+            group_row = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), np.arange(n), -1))
+            start = np.where(carried, opened, at[np.maximum(start_row, 0)])
+            counts = np.where(carried, pdf["carried"].to_numpy() + np.arange(n) - group_row + 1,
+                              np.arange(n) - start_row + 1)
+            yield pdf.assign(window_start=start, window_count=counts)[[*columns, "window_start", "window_count"]]
 
     return count
 
@@ -78,9 +151,10 @@ def anchored_window_count(df: DataFrame, key: str, ts: str, tie: str, length_sec
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     slim = df.select(F.col(key).cast("string").alias("__key"), at.alias("__at")).withColumn(
         "__chunk", F.floor(F.col("__at") / F.lit(width)).cast("bigint"))
-    distinct = slim.distinct()
-    steps = distinct.groupBy("__key", "__chunk").applyInPandas(_steps(length), _STEP)
-    entered = steps.groupBy("__key").applyInPandas(_follow(length), "__key string, __chunk bigint, opened bigint")
+    distinct = slim.distinct().repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__at")
+    steps = distinct.mapInPandas(_steps(length), _STEP)
+    entered = (steps.repartition("__key").sortWithinPartitions("__key", "__chunk", "entry")
+               .mapInPandas(_follow(length), "__key string, __chunk bigint, opened bigint"))
     # events that the carried window already counted lie between its start and the chunk
     open_windows = entered.filter("opened is not null").select(
         "__key", "opened", F.col("__chunk").alias("__entered"))
@@ -94,7 +168,8 @@ def anchored_window_count(df: DataFrame, key: str, ts: str, tie: str, length_sec
         "carried", F.coalesce("carried", F.lit(0)).cast("bigint"))
     rows = df.withColumns({"__key": F.col(key).cast("string"), "__at": at, "__tie": F.col(tie)}).withColumn(
         "__chunk", F.floor(F.col("__at") / F.lit(width)).cast("bigint"))
-    joined = join_on(rows, state, ["__key", "__chunk"], "inner", null_safe=False)
+    joined = (join_on(rows, state, ["__key", "__chunk"], "inner", null_safe=False)
+              .repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__at", "__tie"))
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", window_start bigint, window_count bigint"
-    counted = joined.groupBy("__key", "__chunk").applyInPandas(_count(length, df.columns), schema)
+    counted = joined.mapInPandas(_count(length, df.columns), schema)
     return counted.withColumn("over_limit", F.col("window_count") > F.lit(maximum))

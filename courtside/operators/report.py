@@ -187,42 +187,47 @@ def _typed_side(sides: Column, kind: str, fallback: int) -> Column:
     return F.coalesce(marked, F.get(sides, F.lit(fallback)))
 
 
-def pending_pairs(singles: Column, left_org: Column, right_org: Column, home_org: Column, away_org: Column,
-                  left_index: Column) -> Column:
+def with_pending(rows: DataFrame, out: str = "pending") -> DataFrame:
     """U4: pairs still to come in a tie, shown from its left side; null when none can be told.
 
     Standard order: rubbers four and five cross the first two, less what is played; an empty rest stays empty.
     Otherwise the doubles-first order: each doubles partner not used in rubber three meets the other rubber's opponent.
+    Reads ``singles``, ``left_org``, ``right_org``, ``home_org``, ``away_org`` and ``left_index``.
     """
-    def pair_of(s):
+    def keyed(s):
         sides = s["competitors"]
-        return F.struct(_side_player(_typed_side(sides, "H", 0)).alias("home"),
-                        _side_player(_typed_side(sides, "A", 1)).alias("away"))
+        two = F.struct(_side_player(_typed_side(sides, "H", 0)).alias("h"), _side_player(_typed_side(sides, "A", 1)).alias("a"))
+        return let(two, lambda p: F.when(p["h"].isNotNull() & p["a"].isNotNull(), F.struct(
+            text(p["h"]["name"]).alias("h"), text(p["a"]["name"]).alias("a"),
+            player_identity(p["h"]).alias("hk"), player_identity(p["a"]).alias("ak"))))
+
+    played = F.filter(F.transform("singles", keyed), lambda p: p.isNotNull())
+    staged = rows.withColumn("__played", F.when(F.size("singles") >= 3, played))
+    staged = staged.withColumns({"__keys": F.transform("__played", lambda p: F.struct(p["hk"].alias("hk"), p["ak"].alias("ak"))),
+                                 **{f"__r{i}": F.get("__played", F.lit(i)) for i in range(3)}})
+    r1, r2, r3 = (F.col(f"__r{i}") for i in range(3))
+    valid = ((F.size("__played") >= 3) & (r1["hk"] != r2["hk"]) & (r1["ak"] != r2["ak"])
+             & (r3["hk"] != r1["hk"]) & (r3["hk"] != r2["hk"]) & (r3["ak"] != r1["ak"]) & (r3["ak"] != r2["ak"]))
+    turned = F.coalesce((F.col("left_org") != "") & (F.col("left_org") == F.col("away_org"))
+                        & (F.col("right_org") == F.col("home_org"))
+                        & ~((F.col("left_org") == F.col("home_org")) & (F.col("right_org") == F.col("away_org"))), F.lit(False))
 
-    typed = F.filter(F.transform(singles, pair_of), lambda p: p["home"].isNotNull() & p["away"].isNotNull())
-    keyed = F.transform(typed, lambda p: F.struct(
-        text(p["home"]["name"]).alias("h"), text(p["away"]["name"]).alias("a"),
-        player_identity(p["home"]).alias("hk"), player_identity(p["away"]).alias("ak")))
-    standard = let(keyed, lambda t: _standard(t, left_org, right_org, home_org, away_org))
-    olympic = _doubles_first(singles, left_index)
-    return F.when(F.size(singles) >= 3, F.coalesce(standard, olympic))
+    def crossed(x, y):
+        key = F.struct(x["hk"].alias("hk"), y["ak"].alias("ak"))
+        pair = F.when(F.col("__turned"), _pair(y["a"], x["h"])).otherwise(_pair(x["h"], y["a"]))
+        return F.when(F.array_contains("__keys", key), F.array().cast(PAIRS)).otherwise(F.array(pair))
 
+    staged = staged.withColumn("__turned", turned).withColumn("__valid", F.coalesce(valid, F.lit(False)))
+    standard = F.concat(crossed(r1, r2), crossed(r2, r1))
+    pairs = F.when(F.col("__valid"), standard).when(F.size("singles") >= 3, _doubles_first(F.col("singles"), F.col("left_index")))
+    return staged.withColumn(out, pairs).drop("__played", "__keys", "__r0", "__r1", "__r2", "__turned", "__valid")
 
-def _pair(left: Column, right: Column) -> Column:
-    return F.struct(left.alias("left"), right.alias("right"))
 
+PAIRS = "array<struct<left:string,right:string>>"
 
-def _standard(t: Column, left_org: Column, right_org: Column, home_org: Column, away_org: Column) -> Column:
-    r1, r2, r3 = (F.get(t, F.lit(i)) for i in range(3))
-    valid = ((F.size(t) >= 3) & (r1["hk"] != r2["hk"]) & (r1["ak"] != r2["ak"])
-             & (r3["hk"] != r1["hk"]) & (r3["hk"] != r2["hk"]) & (r3["ak"] != r1["ak"]) & (r3["ak"] != r2["ak"]))
-    crossed = F.array(*[F.struct(x["h"].alias("h"), y["a"].alias("a"), x["hk"].alias("hk"), y["ak"].alias("ak"))
-                        for x, y in ((r1, r2), (r2, r1))])
-    open_pairs = F.filter(crossed, lambda p: ~F.exists(t, lambda q: (q["hk"] == p["hk"]) & (q["ak"] == p["ak"])))
-    turned = F.coalesce((left_org != "") & (left_org == away_org) & (right_org == home_org)
-                        & ~((left_org == home_org) & (right_org == away_org)), F.lit(False))
-    return F.when(valid, F.transform(open_pairs, lambda p: _pair(
-        F.when(turned, p["a"]).otherwise(p["h"]), F.when(turned, p["h"]).otherwise(p["a"]))))
+
+def _pair(left: Column, right: Column) -> Column:
+    return F.struct(left.alias("left"), right.alias("right"))
 
 
 def _doubles_first(singles: Column, left_index: Column) -> Column:
@@ -276,11 +281,13 @@ def _middle(opening: str, closing: str) -> Column:
     return F.when(F.col("mixed_team"), totals).otherwise(_team_score())
 
 
-def _pending() -> Column:
+def _with_pending(rows: DataFrame) -> DataFrame:
+    """Pending pairs of team ties, none for mixed teams."""
     wanted = (F.col("discipline") == "teams") & ~F.coalesce(F.col("gender") == "mixed", F.lit(False))
-    pairs = pending_pairs(F.col("singles"), F.col("left_org"), F.col("right_org"), F.get("teams", F.lit(0))["org"],
-                          F.get("teams", F.lit(1))["org"], F.col("left_index"))
-    return F.coalesce(F.when(wanted, pairs), F.array().cast("array<struct<left:string,right:string>>"))
+    staged = rows.withColumns({"home_org": F.get("teams", F.lit(0))["org"], "away_org": F.get("teams", F.lit(1))["org"],
+                               "__all": F.col("singles"), "singles": F.when(wanted, F.col("singles"))})
+    return with_pending(staged).withColumns({
+        "pending": F.coalesce("pending", F.array().cast(PAIRS)), "singles": F.col("__all")}).drop("__all")
 
 
 def _sides(label) -> list[Column]:
@@ -305,12 +312,12 @@ def _rubber_parts(at: Column, to: Column, r: Column, label, lang: str, omit_sets
 def with_ja_lines(matches: DataFrame, names: Names, omit_sets: bool) -> DataFrame:
     """``lines`` of every match without its header. Built column by column, so no expression nests another."""
     sides = _sides(lambda c: competitor_label(c, names))
-    rows = with_display(matches).withColumns({
+    rows = _with_pending(with_display(matches)).withColumns({
         "a": sides[0], "b": sides[1], "score": _score("ja", omit_sets),
         "rubbers": F.transform("shown", lambda r: _rubber_parts(
             r["sides"]["at"], r["sides"]["to"], r, lambda c: sub_match_label(c, names, "／"), "ja", omit_sets)),
         "home": names.team(F.get("teams", F.col("left_index"))), "away": names.team(F.get("teams", 1 - F.col("left_index"))),
-        "middle": _middle("【", "】"), "pending": _pending(),
+        "middle": _middle("【", "】"),
     })
     pair = F.concat(F.col("a"), F.lit(f"\n{_WIDE}"), F.col("score"), F.lit(f"\n{_WIDE}{_WIDE}"), F.col("b"))
     single = F.when(F.col("discipline").isin("doubles", "mixed"), pair).otherwise(F.concat_ws(_WIDE, "a", "score", "b"))
@@ -348,10 +355,9 @@ def with_en_lines(matches: DataFrame, omit_sets: bool) -> DataFrame:
     def team(at):
         return let(F.get("teams", at), lambda t: text(trim(first_text(t["org"], t["orgCode"], t["name"]))))
 
-    rows = with_display(matches).withColumns({
+    rows = _with_pending(with_display(matches)).withColumns({
         "a": sides[0], "b": sides[1], "score": _score("en", omit_sets), "rubbers": F.transform("shown", parts),
         "home": team(F.col("left_index")), "away": team(1 - F.col("left_index")), "middle": _middle("", ""),
-        "pending": _pending(),
     })
     single = _decided(F.col("a"), F.col("score"), F.col("b"), F.col("winner").isNotNull())
     tie = F.concat(

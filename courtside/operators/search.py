@@ -43,9 +43,12 @@ def match_search_text(names: Names) -> Column:
 
 
 def event_haystack(event: Column, name: Column, extras: Column) -> Column:
-    """Id, normalised name and normalised extra values of an event."""
-    more = F.array_join(F.filter(F.transform(extras, norm_search_ascii), lambda v: v != ""), " ")
-    return F.trim(F.concat_ws(" ", F.lower(trim(event)), norm_search_ascii(name), more))
+    """Id, normalised name and normalised extra values of an event.
+
+    Normalising the joined texts gives the joined normalised texts, because it ends every word at a space.
+    """
+    return F.trim(F.concat_ws(" ", F.lower(trim(event)), norm_search_ascii(
+        F.concat_ws(" ", text(name), F.array_join(extras, " ")))))
 
 
 def matches_query(haystack: Column, event: Column, query: str) -> Column:

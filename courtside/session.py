@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -20,6 +20,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many tasks as there are cores.
+
+    A scan of a few small files gives a few tasks; costly expressions on it would leave the other cores idle. A scan
+    that already has enough tasks, as any large one does, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_location(spark: SparkSession, sink: str, fallback: str | None = None) -> str:
     """Checkpoint folder of the stream that writes to ``sink``, stable across restarts.
 

@@ -120,7 +120,7 @@ def test_facets(rows):
 
 def pending(spark, rubbers, **fields):
     shown = report.with_display(fx.matches(spark, [tie(0, rubbers, **fields)]))
-    return [(p["left"], p["right"]) for p in shown.select(report._pending().alias("p")).first()["p"]]
+    return [(p["left"], p["right"]) for p in report._with_pending(shown).first()["pending"]]
 
 
 def test_pending_pairs(spark):
@@ -138,7 +138,7 @@ def test_pending_pairs_doubles_first(spark):
     row = tie(0, [])
     row["singles"] = singles
     shown = report.with_display(fx.matches(spark, [row]))
-    got = [(p["left"], p["right"]) for p in shown.select(report._pending().alias("p")).first()["p"]]
+    got = [(p["left"], p["right"]) for p in report._with_pending(shown).first()["pending"]]
     assert got == [("Cy Ray", "Gil"), ("Ed", "Bo Kim")]
 
 
