@@ -149,7 +149,9 @@ def anchored_window_count(df: DataFrame, key: str, ts: str, tie: str, length_sec
     length = length_seconds * 1_000_000
     width = length * lengths_per_chunk
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    slim = df.select(F.col(key).cast("string").alias("__key"), at.alias("__at")).withColumn(
+    # rows without a key are one key of their own
+    own = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+    slim = df.select(own.alias("__key"), at.alias("__at")).withColumn(
         "__chunk", F.floor(F.col("__at") / F.lit(width)).cast("bigint"))
     distinct = slim.distinct().repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__at")
     steps = distinct.mapInPandas(_steps(length), _STEP)
@@ -166,7 +168,7 @@ def anchored_window_count(df: DataFrame, key: str, ts: str, tie: str, length_sec
                .groupBy("__key", F.col("__entered").alias("__chunk")).agg(F.count(F.lit(1)).alias("carried")))
     state = join_on(entered, earlier, ["__key", "__chunk"], "left", null_safe=False).withColumn(
         "carried", F.coalesce("carried", F.lit(0)).cast("bigint"))
-    rows = df.withColumns({"__key": F.col(key).cast("string"), "__at": at, "__tie": F.col(tie)}).withColumn(
+    rows = df.withColumns({"__key": own, "__at": at, "__tie": F.col(tie)}).withColumn(
         "__chunk", F.floor(F.col("__at") / F.lit(width)).cast("bigint"))
     joined = (join_on(rows, state, ["__key", "__chunk"], "inner", null_safe=False)
               .repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__at", "__tie"))

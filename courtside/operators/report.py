@@ -19,7 +19,7 @@ from courtside.functions.scores import (
     is_mixed_team, score_text, score_winner, side_values, sub_match_sides, team_game_totals, tie_left_index,
 )
 from courtside.functions.text import blank_to_null, first_text, let, text, trim
-from courtside.operators.ordered import Scope, number_rows, run_ids
+from courtside.operators.ordered import Scope, number_rows, range_chunks, run_ids
 from courtside.operators.stages import NO_NUMBER
 
 _WIDE = "　"
@@ -28,8 +28,13 @@ _WIDE = "　"
 SORT_ORDER = ["sort_category", "sort_round", "sort_number", "sort_text", "seq"]
 
 
-def sort_matches(matches: DataFrame, scope: Sequence[str] = ("event",), width: int = 4096) -> tuple[DataFrame, Scope]:
-    """O1: sort columns and the scope that orders matches by them. ``stage_number`` must be present."""
+def sort_matches(matches: DataFrame, scope: Sequence[str] = ("event",), width: int = 4096,
+                 ranged: bool = False) -> tuple[DataFrame, Scope]:
+    """O1: sort columns and the scope that orders matches by them. ``stage_number`` must be present.
+
+    Chunks are category, round and ``width`` consecutive match numbers. Where one round may hold very many matches
+    without a number, ``ranged`` cuts by sampled ranges instead.
+    """
     number = F.coalesce(F.col("matchNumber"), F.lit(NO_NUMBER))
     keyed = matches.withColumns({
         "sort_category": category_sort_key(F.col("categoryName")),
@@ -38,6 +43,8 @@ def sort_matches(matches: DataFrame, scope: Sequence[str] = ("event",), width: i
         "sort_text": F.collate(text(F.col("description")), "UNICODE"),
         "sort_chunk": F.floor(number / F.lit(width)).cast("bigint"),
     })
+    if ranged:
+        return range_chunks(keyed, scope, SORT_ORDER), Scope(list(scope), ["range_chunk"], SORT_ORDER)
     return keyed, Scope(list(scope), ["sort_category", "sort_round", "sort_chunk"], SORT_ORDER)
 
 
@@ -394,8 +401,8 @@ def block_report(rows: DataFrame, scope: Scope, block: Column, header: str, line
         "line_no", "line"))
 
 
-def _blocks(rows: DataFrame, header: Column) -> DataFrame:
-    keyed, scope = sort_matches(rows.withColumn("header", header))
+def _blocks(rows: DataFrame, header: Column, ranged: bool) -> DataFrame:
+    keyed, scope = sort_matches(rows.withColumn("header", header), ranged=ranged)
     # a tie is a block of its own; individual matches run on while category and round stay the same
     block = F.struct("categoryName", "roundKey", "roundLabel",
                      F.when(F.col("matchType") != "individual", F.col("seq")).alias("tie"))
@@ -404,16 +411,17 @@ def _blocks(rows: DataFrame, header: Column) -> DataFrame:
     return block_report(slim, scope, F.col("block"), "header", "lines", ["event"])
 
 
-def report_ja(matches: DataFrame, rules, omit_sets: bool = False, translated: bool = True) -> DataFrame:
+def report_ja(matches: DataFrame, rules, omit_sets: bool = False, translated: bool = True,
+              ranged: bool = False) -> DataFrame:
     """R3. ``matches`` carry ``stage_number`` and the columns of ``translate_matches``, which are read only when
     ``translated``."""
     names = Names(F.col("player_names"), F.col("team_names")) if translated else Names()
-    return _blocks(with_ja_lines(matches, names, omit_sets), header_ja(rules))
+    return _blocks(with_ja_lines(matches, names, omit_sets), header_ja(rules), ranged)
 
 
-def report_en(matches: DataFrame, omit_sets: bool = False) -> DataFrame:
+def report_en(matches: DataFrame, omit_sets: bool = False, ranged: bool = False) -> DataFrame:
     """R4. ``matches`` carry ``stage_number``."""
-    return _blocks(with_en_lines(matches, omit_sets), header_en())
+    return _blocks(with_en_lines(matches, omit_sets), header_en(), ranged)
 
 
 def to_json_rows(df: DataFrame, columns: Sequence[str], pretty: bool = False, out: str = "line") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.dates import comparable_date
 from courtside.functions.names import Names, name_candidates
-from courtside.functions.text import norm_search, norm_search_ascii, text, trim
+from courtside.functions.text import let, norm_search, norm_search_ascii, text, trim
 
 _NO_TEXT = "array<string>"
 
@@ -55,13 +55,15 @@ def matches_query(haystack: Column, event: Column, query: str) -> Column:
     """The haystack holds the query, or holds all its words unless the query looks like a date. A blank query
     matches everything; a number also matches as part of the id."""
     q = norm_search_ascii(F.lit(query))
-    inside = F.contains(haystack, q)
-    words = F.array_distinct(F.split(haystack, r"\s+"))
-    asked = F.filter(F.split(q, " "), lambda w: w != "")
-    by_words = F.forall(asked, lambda w: F.array_contains(words, w))
-    if re.match(r"^\d{4}\s*[/-]\s*\d{1,2}(?:\s*[/-]\s*\d{1,2})?$", query.strip()):
-        return (q == "") | inside
-    return (q == "") | inside | by_words | (q.rlike(r"^\d+$") & F.contains(F.lower(trim(event)), q))
+    date_like = re.match(r"^\d{4}\s*[/-]\s*\d{1,2}(?:\s*[/-]\s*\d{1,2})?$", query.strip())
+
+    def found(hay):
+        asked = F.filter(F.split(q, " "), lambda w: w != "")
+        by_words = let(F.split(hay, " "), lambda words: F.forall(asked, lambda w: F.array_contains(words, w)))
+        return F.contains(hay, q) if date_like else F.contains(hay, q) | by_words
+
+    in_id = F.lit(False) if date_like else q.rlike(r"^\d+$") & F.contains(F.lower(trim(event)), q)
+    return (q == "") | in_id | let(haystack, found)
 
 
 def order_events(start: Column, end: Column, event: Column) -> list[Column]:

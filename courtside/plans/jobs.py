@@ -64,8 +64,8 @@ def match_rows(matches: DataFrame, args: MatchArgs, dictionary: DataFrame | None
 
 
 def match_query(matches: DataFrame, args: MatchArgs, dictionary: DataFrame | None = None,
-                rules: LabelRules | None = None) -> DataFrame:
-    """Q1: report lines of every event. Unknown modes are the native report."""
+                rules: LabelRules | None = None, ranged: bool = False) -> DataFrame:
+    """Q1: report lines of every event. Unknown modes are the native report (R5). ``ranged``: see ``sort_matches``."""
     rows = match_rows(matches, args, dictionary)
     if args.mode == "json":
         return rows.select("event", F.col("seq").alias("row_no"), F.lit(0).alias("line_no"),
@@ -73,10 +73,10 @@ def match_query(matches: DataFrame, args: MatchArgs, dictionary: DataFrame | Non
     if args.mode == "list":
         return report.report_list(rows)
     if args.mode == "en":
-        return report.report_en(rows, args.omit_sets)
+        return report.report_en(rows, args.omit_sets, ranged)
     if args.mode == "text":
         return report.report_text(rows)
-    return report.report_ja(rows, rules or LabelRules(), args.omit_sets, translated=dictionary is not None)
+    return report.report_ja(rows, rules or LabelRules(), args.omit_sets, translated=dictionary is not None, ranged=ranged)
 
 
 def match_facets(matches: DataFrame, args: MatchArgs, rules: LabelRules | None = None,
@@ -121,22 +121,41 @@ def searchable_events(archive: DataFrame, search_index: DataFrame, dates: DataFr
         governing_body(name).alias("governingBody"))
 
 
-def event_search(events: DataFrame, query: str, discovered: DataFrame | None = None, n: int = 50) -> DataFrame:
+def event_search(events: DataFrame, query: str, discovered: DataFrame | None = None, meta: DataFrame | None = None,
+                 n: int = 50) -> DataFrame:
     """Q3: events that match the query, earliest first, at most ``n``.
 
-    For a numeric query that finds no event of that id, the event resolved from its own matches (``discovered``, same
-    columns) comes first.
+    A numeric query also gives the event of that id dates and status from ``meta`` (event, startDate, endDate,
+    dateLabel, status) when it has no date, and, when it finds no event of that id, puts the one resolved from its own
+    matches (``discovered``, same columns as ``events``) first.
     """
     hay = search.event_haystack(F.col("event"), F.col("eventName"), date_search_values(
         F.col("startDate"), F.col("endDate"), F.col("dateLabel")))
-    hits = events.withColumn("__hay", hay).filter(search.matches_query(F.col("__hay"), F.col("event"), query)).drop("__hay")
+    hits = events.filter(search.matches_query(hay, F.col("event"), query))
     order = search.order_events(F.col("startDate"), F.col("endDate"), F.col("event"))
-    if discovered is None or not re.match(r"^\d+$", query.strip()):
+    wanted = query.strip()
+    if not re.match(r"^\d+$", wanted) or (discovered is None and meta is None):
         return hits.orderBy(*order).limit(n)
-    own = discovered.filter(F.col("event") == query.strip()).join(
-        events.select("event").filter(F.col("event") == query.strip()), "event", "left_anti")
-    ranked = own.withColumn("__first", F.lit(0)).unionByName(hits.withColumn("__first", F.lit(1)))
-    return ranked.orderBy("__first", *order).limit(n).drop("__first")
+    top = hits.orderBy(*order).limit(n).withColumn("__first", F.lit(1))
+    if meta is not None:
+        dated = meta.filter(F.col("event") == wanted).select("event", F.struct(
+            "startDate", "endDate", "dateLabel", "status").alias("__m"))
+        use = (F.col("event") == wanted) & (text(F.col("dateLabel")) == "") & F.col("__m").isNotNull()
+        top = lookup(top, dated, ["event"])
+        top = top.withColumns({c: F.when(use, first_text(F.col("__m")[c], F.col(c))).otherwise(F.col(c))
+                               for c in ("startDate", "endDate", "dateLabel", "status")}).drop("__m")
+    if discovered is not None:
+        own = discovered.filter(F.col("event") == wanted).withColumn("__first", F.lit(0))
+        top = join_on(own, top.filter(F.col("event") == wanted).select("event"), EVENT, "left_anti").unionByName(top)
+    return top.orderBy("__first", *order).limit(n).drop("__first")
+
+
+def discovered_events(verified: DataFrame, bases: ix.UrlBases) -> DataFrame:
+    """Q3: search rows of events resolved from their own matches (``verified_entries``)."""
+    return verified.select(
+        F.lit(fixed.DEFAULT_SOURCE).alias("source"), "event", "eventName",
+        ix.event_url(F.col("event"), F.col("source"), F.col("eventName"), bases).alias("eventUrl"), "startDate", "endDate",
+        "dateLabel", "archived", "status", "series", governing_body(F.col("eventName")).alias("governingBody"))
 
 
 def domestic_search(names: DataFrame, query: str, page_base: str) -> DataFrame:

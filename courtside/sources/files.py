@@ -40,6 +40,17 @@ def latest_files(manifest: DataFrame, n: int | None = 20, suffix: str = ".json")
             .withColumn("event", F.regexp_replace("name", r"(?i)\.json$", "")))
 
 
+def file_counts(manifest: DataFrame, suffix: str = ".json") -> DataFrame:
+    """Number and size of the files."""
+    return manifest.filter(F.col("exists") & F.col("name").endswith(suffix)).agg(
+        F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+
+
+def find_file(manifest: DataFrame, event: str) -> DataFrame:
+    """The file of one event."""
+    return manifest.filter(F.col("name") == F.lit(f"{event.strip()}.json"))
+
+
 def files_to_refresh(source: DataFrame, target: DataFrame, only_missing: bool = False) -> DataFrame:
     """Source files that the target lacks or, unless ``only_missing``, holds in an older version."""
     have = target.filter("exists").select("name", F.col("mtime").alias("__target"))

@@ -29,16 +29,20 @@ def latest_best(spark: SparkSession, path: str, before: int | None = None) -> Da
     rows = spark.read.parquet(path)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
+    # a full version holds every event, so nothing older is read
+    (base,) = rows.filter(F.col("full") == 1).agg(F.max("version")).first()
+    rows = rows.filter(F.col("version") >= (base or 0)).drop("full", "bucket")
     newest = rows.groupBy("event").agg(F.max("version").alias("__newest"))
     return join_on(rows, newest, ["event"], "inner").filter(F.col("version") == F.col("__newest")).drop("__newest")
 
 
 def stream_latest_best(snapshots: DataFrame, path: str, key: Column, better: Sequence[Column],
-                       checkpoint: str | None = None):
+                       checkpoint: str | None = None, full_every: int = 100, buckets: int = 64):
     """ST1: keeps, per event and code, the best version seen so far; a later, weaker version never replaces it.
 
     A batch writes the events it touches under its own batch id and reads only earlier ids, so a batch that runs again
-    after a failure writes the same rows to the same place.
+    after a failure writes the same rows to the same place. Every ``full_every``-th batch writes all events. Events
+    share ``buckets`` folders per batch.
     """
     spark = snapshots.sparkSession
 
@@ -48,14 +52,19 @@ def stream_latest_best(snapshots: DataFrame, path: str, key: Column, better: Seq
                                                                           F.col("seq"))],
                           [*better, F.col("seq").desc()])
         stored = latest_best(spark, path, before=batch_id)
+        full = stored is not None and batch_id % full_every == full_every - 1
         if stored is None:
             merged = best
         else:
             touched = batch.select("event").distinct()
-            current = join_on(stored.drop("version"), touched, ["event"], "left_semi")
+            current = stored.drop("version")
+            if not full:
+                current = join_on(current, touched, ["event"], "left_semi")
             merged = merge_versions(best, current, ["event"], key, "seq", better).drop("merged_seq")
-        (merged.withColumn("version", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("version", "event").parquet(path))
+        (merged.withColumns({"version": F.lit(batch_id), "full": F.lit(int(full)),
+                             "bucket": F.pmod(F.xxhash64("event"), F.lit(buckets))})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("version", "full", "bucket").parquet(path))
 
     return snapshots.writeStream.foreachBatch(merge).option(
         "checkpointLocation", checkpoint_location(spark, path, checkpoint))

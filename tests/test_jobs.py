@@ -153,6 +153,15 @@ def test_order_of_input_does_not_matter(rows, dictionary):
     assert a == b
 
 
+def test_ranged_order_and_large_limit(spark, rows, dictionary):
+    from courtside.operators.filters import limit_rows
+
+    assert lines(jobs.match_query(rows, MatchArgs(), dictionary, ranged=True)) == lines(jobs.match_query(rows, MatchArgs(), dictionary))
+    many = spark.range(0, 150000).select((F.col("id") % 3).alias("e"), F.col("id").alias("seq"))
+    got = limit_rows(many, ["e"], ["seq"], 30000).groupBy("e").agg(F.count("*").alias("n"), F.max("seq").alias("m")).orderBy("e").collect()
+    assert [tuple(r) for r in got] == [(0, 30000, 89997), (1, 30000, 89998), (2, 30000, 89999)]
+
+
 # ---- indexes ---------------------------------------------------------------------------
 
 def now():
@@ -192,6 +201,10 @@ def test_search(spark, indexes):
     assert found("open alpha") == ["3001"] and found("2026/5") == ["3004"] and found("2026/1") == [] and found("300") == ["3001", "3004", "3003"]
     extra = events.limit(1).withColumn("event", F.lit("77"))
     assert [r["event"] for r in jobs.event_search(events, "77", extra).collect()] == ["77"]
+    meta = spark.createDataFrame([("2600", "2020-01-01", "2020-01-02", "2020/1/1-2", "finished"), ("3003", "2027-01-01", None, "2027/1/1", "upcoming")],
+                                 "event string, startDate string, endDate string, dateLabel string, status string")
+    assert [(r["event"], r["dateLabel"]) for r in jobs.event_search(events, "3003", meta=meta).collect()] == [("3003", "2027/1/1")]
+    assert [(r["event"], r["dateLabel"]) for r in jobs.event_search(events, "2600", meta=meta).collect()] == [("2600", "2020/1/1")]
     own = jobs.domestic_search(names, "", "d/")
     assert [r["event"] for r in own.collect()] == ["2020", "2019"] and own.first()["status"] == "finished"
 
@@ -203,6 +216,8 @@ def test_build_index(spark, indexes, tmp_path):
                                  "event string, title string, startDate string, endDate string, isFinished boolean, archived boolean, source string")
     entries = jobs.verified_entries(matches, meta, spark.createDataFrame([], "event string, name string"), now(), "now")
     probed = spark.createDataFrame([("3001",), ("3003",), ("3009",)], "event string")
+    shown = jobs.discovered_events(entries, BASES).first()
+    assert (shown["event"], shown["eventUrl"], shown["status"]) == ("3003", "t?3003", "finished")
     built = jobs.build_event_index(probed, entries, archive, dates, search, now(), "now", str(tmp_path / "out"))
     got = {r["event"]: r for r in built.collect()}
     assert set(got) == {"3003", "3001", "2600"} and got["3003"]["status"] == "finished" and got["3003"]["series"] == "Smash"
@@ -280,6 +295,7 @@ def test_manifest(spark, tmp_path):
     assert got["a.json"]["sha256"] == hashlib.sha256(b"a.json" * 3).hexdigest() and got["a.json"]["size"] == 18
     assert got["z.json"]["exists"] is False and got["z.json"]["size"] == 0
     assert {r["event"] for r in files.latest_files(found.filter("exists"), 0).collect()} == {"a", "b"}
+    assert tuple(files.file_counts(found).first()) == (2, 36) and files.find_file(found, " a ").count() == 1
     target = found.filter("name = 'a.json'").withColumn("mtime", F.col("mtime") - F.expr("interval 1 minute")).unionByName(found.filter("name = 'c.txt'"))
     source = found.filter("exists")
     assert {r["name"] for r in files.files_to_refresh(source, target).collect()} == {"a.json", "b.json"}
@@ -310,6 +326,15 @@ def test_generic_category_keeps_a_scope_without_it(spark):
     assert filters.filter_category(rows, ["event"], "U19 Boys Singles").count() == 0
 
 
+def test_missing_details_come_from_the_archive(spark):
+    from courtside.operators.merge import enrich_missing_details
+
+    bare = fx.matches(spark, [tie(0, [], documentCode="A--", venue="", table="T9"), tie(1, THREE[:1], documentCode="B"), tie(2, [], documentCode=None)])
+    old = fx.matches(spark, [tie(0, THREE, documentCode="A", venue="Hall", table="T1"), tie(1, THREE, documentCode="B", venue="Hall")])
+    got = {r["seq"]: (r["venue"], r["table"], len(r["singles"])) for r in enrich_missing_details(bare, old).collect()}
+    assert got == {0: ("Hall", "T9", 3), 1: (None, None, 1), 2: (None, None, 0)}
+
+
 def test_translated_maps(rows, dictionary):
     got = {r["documentCode"]: r for r in translate_matches(rows, dictionary).collect()}
     assert got["B"]["player_names"] == {"Ann Lee": "山田花子", "Bo Kim": "金"} and got["T"]["team_names"] == {"AAA": "アルファ", "Betas": "ベータ"}

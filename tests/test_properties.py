@@ -72,7 +72,7 @@ def test_fold_keeps_what_a_loop_keeps(spark, seed):
 @pytest.mark.parametrize("per_chunk", [2, 5, 64])
 def test_anchored_windows(spark, per_chunk):
     r = random.Random(per_chunk)
-    rows = [(r.choice(["hot", "hot", "a", "b"]), i, r.randrange(0, 6000)) for i in range(500)]
+    rows = [(r.choice(["hot", "hot", "a", "b", None]), i, r.randrange(0, 6000)) for i in range(500)]
     length, maximum = 100, 3
     want, state = {}, {}
     for k, i, t in sorted(rows, key=lambda x: (x[2], x[1])):

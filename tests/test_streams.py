@@ -53,7 +53,8 @@ def test_expire_equals_batch(spark, parts, tmp_path):
     assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, batch.select("event", "ts").collect()))
 
 
-def test_latest_best_equals_batch_and_survives_a_rerun(spark, parts, tmp_path):
+@pytest.mark.parametrize("full_every", [2, 100])
+def test_latest_best_equals_batch_and_survives_a_rerun(spark, parts, tmp_path, full_every):
     events, stream = parts
 
     def snapshot(df):
@@ -61,7 +62,7 @@ def test_latest_best_equals_batch_and_survives_a_rerun(spark, parts, tmp_path):
                          (F.col("event_id") % 11).alias("rank"))
 
     better, path = [F.col("rank").desc()], str(tmp_path / "best")
-    streams.available_now(streams.stream_latest_best(snapshot(stream), path, F.col("code"), better, str(tmp_path / "cp")))
+    streams.available_now(streams.stream_latest_best(snapshot(stream), path, F.col("code"), better, str(tmp_path / "cp"), full_every))
     best = merge.pick_first(snapshot(events), ["event", "code"], [*better, F.col("seq").desc()])
     columns = ["event", "code", "rank"]
 
@@ -76,7 +77,7 @@ def test_latest_best_equals_batch_and_survives_a_rerun(spark, parts, tmp_path):
     for name in (last, f".{last}.crc"):
         if (commits / name).exists():
             os.remove(commits / name)
-    streams.available_now(streams.stream_latest_best(snapshot(stream), path, F.col("code"), better, str(tmp_path / "cp")))
+    streams.available_now(streams.stream_latest_best(snapshot(stream), path, F.col("code"), better, str(tmp_path / "cp"), full_every))
     assert stored() == want
 
 
