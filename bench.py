@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from checks.queries import QUERIES
+from checks import QUERIES
 from courtside.session import tune
 
 

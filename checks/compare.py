@@ -9,7 +9,7 @@ import traceback
 import duckdb
 from pyspark.sql import SparkSession
 
-from checks.queries import ORACLES, QUERIES
+from checks import ORACLES, QUERIES
 from courtside.session import tune
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
