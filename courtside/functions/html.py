@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from courtside.functions.text import SPACE, blank_to_null, collapse, rx, text, trim
+from courtside.functions.text import collapse, let, rx, text, trim
 
 _TAG = r"<[^>]+>"
 _BREAK = rx(r"(?i)<br\s*/?>")
@@ -17,9 +17,8 @@ def _numeric(c: Column, pattern: str, to_hex) -> Column:
     found = F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)
 
     def decoded(entity):
-        point = to_hex(entity)
-        return F.when(entity.isNull(), "").when(
-            F.length(point) <= 6, F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")).otherwise(entity)
+        return F.when(entity.isNull(), "").otherwise(let(to_hex(entity), lambda point: F.when(
+            F.length(point) <= 6, F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")).otherwise(entity)))
 
     return F.when(c.rlike(pattern), F.array_join(
         F.zip_with(parts, found, lambda p, e: F.concat(p, decoded(e))), "")).otherwise(c)
@@ -27,11 +26,14 @@ def _numeric(c: Column, pattern: str, to_hex) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Hexadecimal, decimal and the five named entities of the result pages."""
-    out = _numeric(text(c), "(?i)&#x[0-9a-f]+;",
-                   lambda e: F.regexp_replace(F.substr(e, F.lit(4), F.length(e) - 4), "^0+(?=.)", ""))
-    out = _numeric(out, r"&#\d+;",
-                   lambda e: F.coalesce(F.hex(F.substr(e, F.lit(3), F.length(e) - 3).try_cast("bigint")),
-                                        F.lit("0000000")))
+    def numeric(t):
+        hexadecimal = _numeric(t, "(?i)&#x[0-9a-f]+;",
+                               lambda e: F.regexp_replace(F.substr(e, F.lit(4), F.length(e) - 4), "^0+(?=.)", ""))
+        return let(hexadecimal, lambda h: _numeric(
+            h, r"&#\d+;", lambda e: F.coalesce(F.hex(F.substr(e, F.lit(3), F.length(e) - 3).try_cast("bigint")),
+                                               F.lit("0000000"))))
+
+    out = let(text(c), lambda t: F.when(t.contains("&#"), numeric(t)).otherwise(t))
     for entity, char in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
         out = F.regexp_replace(out, f"(?i)&{entity};", char)
     return out
@@ -66,12 +68,7 @@ def joined_names(c: Column) -> Column:
 
 def affiliation(c: Column) -> Column:
     """Struct of affiliation and prefecture from ``club(prefecture)``."""
-    t = strip_html(c)
     pattern = r"^(.*?)(?:\(([^()]*)\))?$"
-    return F.struct(
+    return let(strip_html(c), lambda t: F.struct(
         F.when(t.rlike(pattern), trim(F.regexp_extract(t, pattern, 1))).otherwise(t).alias("affiliation"),
-        trim(F.regexp_extract(t, pattern, 2)).alias("prefecture"))
-
-
-__all__ = ["SPACE", "affiliation", "blank_to_null", "decode_entities", "html_lines", "html_title", "joined_names",
-           "strip_html"]
+        trim(F.regexp_extract(t, pattern, 2)).alias("prefecture")))

@@ -94,17 +94,6 @@ def merge_versions(preferred: DataFrame, fallback: DataFrame, scope: Sequence[st
     return placed.unionByName(alone).drop("__key", "__origin")
 
 
-def feed_item_rank() -> list[Column]:
-    """More rubbers, more sides, a score that is not 0-0, a start time."""
-    card = F.col("match_card")
-    nested = F.coalesce(F.size(card["teamParentData"]["extended_info"]["matches"]), F.lit(0))
-    sides = F.coalesce(F.size(card["competitiors"]), F.lit(0))
-    score = trim(F.coalesce(card["overallScores"], F.col("overallScore")))
-    start = trim(F.coalesce(card["matchDateTime"]["startDateLocal"], F.col("startDateLocal")))
-    return [F.greatest(nested, F.lit(0)).desc(), F.greatest(sides, F.lit(0)).desc(), (score == "0-0").asc(),
-            (start != "").desc()]
-
-
 def feed_code() -> Column:
     """Normalised code of a feed item, its own or its card's."""
     return norm_code(F.coalesce(F.col("documentCode"), F.col("match_card")["documentCode"]))
@@ -119,9 +108,51 @@ def missing_codes(minimal: DataFrame, primary: DataFrame, scope: Sequence[str],
     return join_on(listed, known, [*scope, "code"], "left_anti")
 
 
+def merge_facts() -> dict[str, Column]:
+    """Flat columns by which feed items and matches are compared (J9, J10, M2), so that merging carries no card.
+
+    ``m_rule`` says whether a supplement replaces the row: always, never, or by start time and score.
+    """
+    card = F.col("match_card")
+    nested, sides = card["teamParentData"]["extended_info"]["matches"], card["competitiors"]
+
+    def size(c):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+
+    def has(c):
+        return trim(c) != ""
+
+    ready = F.col("matchType").isNotNull() & F.col("categoryName").isNotNull() & F.col("competitors").isNotNull()
+    as_match = (F.when(size(F.col("singles")) > 0, "never")
+                .when(~F.col("matchType").eqNullSafe("team") | ~F.col("discipline").eqNullSafe("teams"), "always")
+                .when(size(F.col("teams")) < 2, "always").otherwise("compare"))
+    as_item = (F.when(card["teamParentData"].isNull(), "always").when(size(nested) > 0, "never")
+               .when(size(sides) < 2, "always").otherwise("compare"))
+    start = card["matchDateTime"]["startDateLocal"]
+    return {
+        "m_code": feed_code(),
+        "m_nested": size(nested), "m_sides": size(sides),
+        "m_zero": trim(F.coalesce(card["overallScores"], F.col("overallScore"))) == "0-0",
+        "m_started": has(F.coalesce(start, F.col("startDateLocal"))),
+        "m_rule": F.when(ready, as_match).otherwise(as_item),
+        "m_rule_started": F.when(ready, has(F.col("startDateLocal"))).otherwise(has(start)),
+        "m_rule_zero": F.when(ready, trim(F.col("overallScore"))).otherwise(trim(card["overallScores"])) == "0-0",
+    }
+
+
+FACTS = ["m_code", "m_nested", "m_sides", "m_zero", "m_started", "m_rule", "m_rule_started", "m_rule_zero"]
+
+
+def recover(primary: DataFrame, recovered: DataFrame) -> DataFrame:
+    """J6/J9 on rows with merge facts: more rubbers, more sides, a score that is not 0-0, a start time; on a tie the
+    recovered row."""
+    better = [F.col("m_nested").desc(), F.col("m_sides").desc(), F.col("m_zero").asc(), F.col("m_started").desc()]
+    return merge_versions(recovered, primary, ["event"], F.col("m_code"), "seq", better)
+
+
 def merge_recovered(primary: DataFrame, recovered: DataFrame) -> DataFrame:
     """Recovered items merged into the primary set of their event, recovered ones preferred."""
-    return merge_versions(recovered, primary, ["event"], feed_code(), "seq", feed_item_rank())
+    return recover(primary.withColumns(merge_facts()), recovered.withColumns(merge_facts())).drop(*FACTS)
 
 
 def merge_by_rule(primary: DataFrame, supplement: DataFrame, scope: Sequence[str], key: str, seq: str,
@@ -153,42 +184,24 @@ def merge_by_rule(primary: DataFrame, supplement: DataFrame, scope: Sequence[str
 
 
 def supplement_replaces(p: Column, s: Column) -> Column:
-    """J10 rule list for match rows (feed items or normalised matches), tried in order."""
-    normalised = p["matchType"].isNotNull() & p["categoryName"].isNotNull() & p["competitors"].isNotNull()
-    card = p["match_card"]
+    """J10 rule list, tried in order; ``p`` has merge facts."""
+    return (F.when(p["m_rule"] == "never", False).when(p["m_rule"] == "always", True)
+            .when(~p["m_rule_started"] & (trim(s["startDateLocal"]) != ""), True)
+            .otherwise(p["m_rule_zero"] & (trim(s["overallScore"]) != "0-0")))
 
-    def has(c):
-        return trim(c) != ""
 
-    def scored(c):
-        return trim(c) != "0-0"
+def supplement(primary: DataFrame, added: DataFrame) -> DataFrame:
+    """J10 on rows with merge facts; ``added`` are matches."""
+    filled = added.withColumn("m_code", norm_code(F.col("documentCode")))
+    for c, t in primary.dtypes:
+        if c not in filled.columns:
+            filled = filled.withColumn(c, F.lit(None).cast(t))
+    return merge_by_rule(primary, filled, ["event"], "m_code", "seq", supplement_replaces)
 
-    def size(c):
-        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
 
-    as_match = (F.when(size(p["singles"]) > 0, False)
-                .when(~p["matchType"].eqNullSafe("team") | ~p["discipline"].eqNullSafe("teams"), True)
-                .when(size(p["teams"]) < 2, True)
-                .when(~has(p["startDateLocal"]) & has(s["startDateLocal"]), True)
-                .otherwise(~scored(p["overallScore"]) & scored(s["overallScore"])))
-    start = card["matchDateTime"]["startDateLocal"]
-    as_item = (F.when(card["teamParentData"].isNull(), True)
-               .when(size(card["teamParentData"]["extended_info"]["matches"]) > 0, False)
-               .when(size(card["competitiors"]) < 2, True)
-               .when(~has(start) & has(s["startDateLocal"]), True)
-               .otherwise(~scored(card["overallScores"]) & scored(s["overallScore"])))
-    return F.when(normalised, as_match).otherwise(as_item)
-
-
-def merge_supplemental(primary: DataFrame, supplement: DataFrame) -> DataFrame:
-    """J10 on match rows of many events."""
-    keyed = primary.withColumn("__code", feed_code())
-    added = supplement
-    for c, t in primary.dtypes:
-        if c not in supplement.columns:
-            added = added.withColumn(c, F.lit(None).cast(t))
-    added = added.withColumn("__code", norm_code(F.col("documentCode")))
-    return merge_by_rule(keyed, added, ["event"], "__code", "seq", supplement_replaces).drop("__code")
+def merge_supplemental(primary: DataFrame, supplemental: DataFrame) -> DataFrame:
+    """J10 on feed items or matches of many events."""
+    return supplement(primary.withColumns(merge_facts()), supplemental).drop(*FACTS)
 
 
 def enrich_missing(matches: DataFrame, archived: DataFrame, keys: Sequence[str], lacks: Column,

@@ -16,7 +16,7 @@ from courtside.operators import facets, filters, index as ix, report, search, st
 from courtside.operators.filters import MatchArgs
 from courtside.operators.keys import join_on, lookup
 from courtside.operators.lookup import entries, translate_matches, without_dictionary
-from courtside.operators.merge import feed_code, merge_recovered, merge_supplemental, missing_codes, upsert
+from courtside.operators.merge import feed_code, missing_codes, recover, supplement, upsert
 from courtside.operators.normalize import normalize_feed
 from courtside.schema import MATCH_COLUMNS
 from courtside.sources.archive import write_match_archive
@@ -237,17 +237,20 @@ def choose_feed(primary: DataFrame, minimal: DataFrame, recovered: DataFrame, st
     that has no known source date.
     """
     missing = missing_codes(minimal, primary, EVENT, feed_code(), knockout_code(F.col("code")), "seq")
-    wanted = join_on(recovered.withColumn("code", feed_code()), missing.select("event", "code"), ["event", "code"],
-                     "left_semi").drop("code")
     live = primary.select("event").distinct()
-    complete = merge_recovered(primary, join_on(wanted, live, EVENT, "left_semi")).withColumn(
+    # normalised before any shuffle: what travels are matches and flat facts, not cards
+    found = join_on(normalize_feed(recovered, for_merge=True), missing.select("event", F.col("code").alias("m_code")),
+                    ["event", "m_code"], "left_semi")
+    complete = recover(normalize_feed(primary, for_merge=True), join_on(found, live, EVENT, "left_semi")).withColumn(
         "seq", F.col("merged_seq.origin").cast("bigint") * F.lit(1 << 40) + F.col("merged_seq.seq")).drop("merged_seq")
-    full = merge_supplemental(complete, join_on(standings, live, EVENT, "left_semi"))
-    full = full.withColumn("seq", F.col("merged_seq.origin").cast("bigint") * F.lit(1 << 50) + F.col("merged_seq.seq"))
+    ties = join_on(standings, live, EVENT, "left_semi").withColumn("m_match", F.lit(True))
+    full = supplement(complete, ties).filter("m_match").withColumn(
+        "seq", F.col("merged_seq.origin").cast("bigint") * F.lit(1 << 50) + F.col("merged_seq.seq"))
     source = F.lower(trim(F.col("source")))
     dated = (text(F.col("startDate")) != "") | (text(F.col("endDate")) != "")
     allowed = meta.filter(F.col("event").rlike(r"^\d+$") & (
         source.isin(fixed.LEGACY_FEED_SOURCES) | results_preferred_name(first_text(F.col("title")))
         | ~((source == fixed.CALENDAR_SOURCE) | dated)))
     fallback = join_on(join_on(daily, live, EVENT, "left_anti"), allowed.select("event"), EVENT, "left_semi")
-    return normalize_feed(full.drop("merged_seq")).unionByName(fallback.select("event", "seq", *MATCH_COLUMNS))
+    columns = ["event", "seq", *MATCH_COLUMNS]
+    return full.select(*columns).unionByName(fallback.select(*columns))
