@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside import schema
 from courtside.operators.normalize import normalize_feed
+from courtside.sources.paths import present
+
+
+def _event() -> Column:
+    """The event a file is named after, file names being URL-encoded."""
+    return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -17,14 +21,13 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     Each file is parsed as a stream of array elements, so an archive of any length stays out of memory.
     """
     rows = (spark.read.schema(schema.ARCHIVE_ROW).option("multiLine", True).option("mode", "FAILFAST").json(path))
-    event = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    return rows.select(F.url_decode(event).alias("event"), F.monotonically_increasing_id().alias("seq"),
+    return rows.select(_event().alias("event"), F.monotonically_increasing_id().alias("seq"),
                        *rows.columns)
 
 
 def read_match_archive(spark: SparkSession, path: str) -> DataFrame:
-    """S1 then P6: matches of every event under ``path``; an event without a file simply has no rows."""
-    if "://" not in path and not os.path.exists(path.split("*")[0]):
+    """S1 then P6: matches of every event under ``path``, a file, folder or pattern. A path that names nothing has no rows."""
+    if not present(spark, path):
         return normalize_feed(spark.createDataFrame([], f"event string, seq bigint, {schema.ARCHIVE_ROW}"))
     return normalize_feed(read_items(spark, path))
 
@@ -32,7 +35,7 @@ def read_match_archive(spark: SparkSession, path: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Rows of JSON files named after their event (daily feed, standings blocks, event descriptions)."""
     rows = spark.read.schema(ddl).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("event"),
+    return rows.select(_event().alias("event"),
                        F.monotonically_increasing_id().alias("seq"), *rows.columns)
 
 

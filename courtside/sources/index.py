@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtside import fixed
+from courtside.sources.paths import present
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame | None:
-    if "://" not in path and not os.path.exists(path):
-        return None
-    return spark.read.text(path, wholetext=True)
+    return spark.read.text(path, wholetext=True) if present(spark, path) else None
 
 
 def read_keyed_index(spark: SparkSession, path: str, value_ddl: str, corrupt: str = "empty") -> DataFrame:
@@ -23,19 +22,18 @@ def read_keyed_index(spark: SparkSession, path: str, value_ddl: str, corrupt: st
     ``present`` lists the fields a row carries, null ones included. A missing file is empty; a corrupt one is empty or,
     with ``corrupt="raise"``, an error.
     """
-    names = [part.strip().split(" ")[0] for part in value_ddl.split(",")]
-    if any(n in ("event",) for n in names):
-        value_ddl = ", ".join(p for p in value_ddl.split(",") if p.strip().split(" ")[0] != "event").strip()
-        names = [n for n in names if n != "event"]
+    fields = [f for f in T.StructType.fromDDL(value_ddl).fields if f.name != "event"]
+    value, names = T.StructType(fields), [f.name for f in fields]
     text = _whole(spark, path)
     if text is None:
-        return spark.createDataFrame([], f"event string, {value_ddl}, present array<string>")
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("event", T.StringType()), *fields, T.StructField("present", T.ArrayType(T.StringType()))]))
     mode = {"mode": "FAILFAST"} if corrupt == "raise" else {}
     entries = text.select(F.explode(F.from_json("value", "map<string,string>", mode)).alias("event", "entry"))
     parsed = entries.select(
-        "event", F.from_json("entry", value_ddl).alias("v"),
+        "event", F.from_json("entry", value).alias("v"),
         F.map_keys(F.from_json("entry", "map<string,string>")).alias("present"))
-    return parsed.select("event", *[F.col(f"v.{n}").alias(n) for n in names], "present")
+    return parsed.select("event", *[F.col("v")[n].alias(n) for n in names], "present")
 
 
 def read_event_names(spark: SparkSession, path: str) -> DataFrame:

@@ -15,16 +15,12 @@ from courtside.operators.keys import join_on, pick_first
 from courtside.operators.merge import merge_versions
 from courtside.operators.stages import final_ok
 from courtside.session import checkpoint_location
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+from courtside.sources.paths import present
 
 
 def latest_best(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Rows of the newest version of each event in a ``stream_latest_best`` table; None while it is empty."""
-    if not _exists(spark, path):
+    if not present(spark, path):
         return None
     rows = spark.read.parquet(path)
     if before is not None:
