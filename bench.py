@@ -1,6 +1,6 @@
-"""Times the headline queries, or those named: ``BENCH_SF_DIR=... BENCH_CPUS=8 python bench.py [name ...]``.
+"""Times all queries, or those named: ``BENCH_SF_DIR=... BENCH_CPUS=8 python bench.py [name ...]``.
 
-Prints one JSON line. Two long jobs over built-up feeds and pages run only when named.
+Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from checks import QUERIES
 from courtside.session import tune
 
 
-LONG = {"q_choose_feed", "q_domestic_pages"}
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -29,7 +26,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     tune(spark)
     times = {}
-    for name in sys.argv[1:] or [q for q in QUERIES if q not in LONG]:
+    for name in sys.argv[1:] or QUERIES:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

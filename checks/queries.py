@@ -455,29 +455,31 @@ def q_event_name(spark, sf_dir):
 # ---- facets and filters ----------------------------------------------------------------
 
 @query("""
-WITH listed AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 30),
-ours AS (SELECT DISTINCT p_brand, p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size < 25)
-SELECT p_brand, p_type, 'left' AS side FROM listed EXCEPT SELECT p_brand, p_type, 'left' FROM ours
-UNION ALL (SELECT p_brand, p_type, 'right' FROM ours EXCEPT SELECT p_brand, p_type, 'right' FROM listed)""")
+WITH listed AS (SELECT DISTINCT p_brand, p_name FROM part),
+ours AS (SELECT DISTINCT p_brand, l_linestatus || ' ' || l_linenumber || ' ' || p_type AS p_name FROM part JOIN lineitem ON l_partkey = p_partkey
+         UNION SELECT p_brand, p_name FROM part WHERE p_partkey % 2 = 0)
+SELECT p_brand, p_name, 'left' AS side FROM listed EXCEPT SELECT p_brand, p_name, 'left' FROM ours
+UNION ALL (SELECT p_brand, p_name, 'right' FROM ours EXCEPT SELECT p_brand, p_name, 'right' FROM listed)""")
 def q_category_align(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    shipped = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_partkey")
-    ours = part.filter("p_size < 25").join(shipped, part.p_partkey == shipped.l_partkey)
-    return facets.set_diff(part.filter("p_size > 30"), ours, ["p_brand", "p_type"])
+    shipped = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linestatus", F.col("l_linenumber").cast("string").alias("l"))
+    shipped = part.join(shipped, part.p_partkey == shipped.l_partkey).select("p_brand", F.concat_ws(" ", "l_linestatus", "l", "p_type").alias("p_name"))
+    even = part.withColumn("p_name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))).select("p_brand", "p_name").na.drop()
+    return facets.set_diff(part, shipped.unionByName(even), ["p_brand", "p_name"])
 
 
 @query("""
 WITH rep AS (
   SELECT p_brand, p_type, COUNT(*) AS matches, COUNT(DISTINCT p_name) AS rounds, BOOL_OR(p_size <= 12) AS k,
          BOOL_OR(p_size BETWEEN 13 AND 25) AS g, BOOL_OR(p_size BETWEEN 26 AND 48) AS q, BOOL_OR(p_size > 48) AS o
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1, 2)
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT l.p_brand, l.p_type, COALESCE(matches, 0) AS matches, COALESCE(rounds, 0) AS rounds,
        concat_ws(',', CASE WHEN g AND k THEN 'group_and_knockout_mixed' END, CASE WHEN o THEN 'unknown_round_bucket' END,
                  CASE WHEN matches IS NULL THEN 'listed_but_no_matches' END) AS suspicious
 FROM (SELECT DISTINCT p_brand, p_type FROM part) l LEFT JOIN rep ON rep.p_brand = l.p_brand AND rep.p_type = l.p_type""")
 def q_category_report(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size")
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select("l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey")
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     size = F.col("p_size")
     bucket = F.when(size <= 12, "knockout").when(size <= 25, "group").when(size <= 48, "qualifying").otherwise("other")
@@ -730,20 +732,25 @@ def q_lifecycle(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS event, strftime(o_orderdate, '%Y-%m-%d') AS d, o_totalprice > 100000 AS archived,
-                  o_totalprice > 400000 AS forced FROM orders WHERE o_orderstatus IN ('F', 'O')),
+WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS event, o_totalprice > 100000 AS archived, o_totalprice > 400000 AS forced,
+                  CASE WHEN o_orderpriority = '1-URGENT' THEN NULL WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' THEN '1990-01-01'
+                       WHEN o_orderpriority <> '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders WHERE o_orderstatus IN ('F', 'O')),
 f AS (SELECT CAST(o_orderkey AS VARCHAR) AS event, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderpriority AS t, o_totalprice > 300000 AS fin
       FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW')
 SELECT CAST(o_orderkey AS VARCHAR) AS event,
   CASE WHEN f.event IS NOT NULL THEN 'feed' ELSE 'wtt' END AS source, COALESCE(f.t, '') AS title,
   CASE WHEN a.archived AND NOT a.forced AND a.d < '1998-01-01' THEN 'archived' WHEN a.d < '1998-01-01' OR f.fin OR f.d < '1998-01-01' THEN 'finished'
-       ELSE 'live' END AS mode
+       ELSE 'live' END AS mode,
+  COALESCE(CASE WHEN f.event IS NOT NULL THEN '1990-01-01' ELSE a.d END, '') AS "startDate"
 FROM orders LEFT JOIN a ON a.event = CAST(o_orderkey AS VARCHAR) LEFT JOIN f ON f.event = CAST(o_orderkey AS VARCHAR)""")
 def q_lifecycle_meta(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("event", F.col("o_orderkey").cast("string"))
     none = F.lit(None).cast("string")
+    # urgent ones carry explicit nulls, high ones lack the dates
+    own_date = F.when(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), day("o_orderdate"))
+    carried = F.when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("archived"))).otherwise(F.array(F.lit("startDate"), F.lit("endDate")))
     indexed = orders.filter("o_orderstatus in ('F', 'O')").select(
-        "event", none.alias("source"), none.alias("title"), day("o_orderdate").alias("startDate"), day("o_orderdate").alias("endDate"),
+        "event", none.alias("source"), none.alias("title"), own_date.alias("startDate"), own_date.alias("endDate"), carried.alias("present"),
         (F.col("o_totalprice") > 100000).alias("archived"), (F.col("o_totalprice") > 400000).alias("forced"),
         F.lit(False).alias("canAutoArchive"), none.alias("eventName"))
     dated = orders.filter("o_orderstatus = 'F'").select("event", none.alias("source"), none.alias("title"), none.alias("eventName"),
@@ -752,7 +759,8 @@ def q_lifecycle_meta(spark, sf_dir):
         "event", none.alias("champDesc"), F.col("o_orderpriority").alias("champ"), (F.col("o_totalprice") > 300000).alias("isFinished"),
         F.array(F.struct(F.lit("").alias("raw")), F.struct(F.lit("1990-01-01").alias("raw")),
                 F.struct(day("o_orderdate").alias("raw"))).alias("dates"), F.lit("feed").alias("feed_source")))
-    return ix.lifecycle_meta(orders, dated, indexed, feed, "1998-01-01").select("event", "source", "title", "mode")
+    return ix.lifecycle_meta(orders, dated, indexed, feed, "1998-01-01").select(
+        "event", "source", "title", "mode", F.coalesce("startDate", F.lit("")).alias("startDate"))
 
 
 @query("""
@@ -793,7 +801,7 @@ def q_date_tokens(spark, sf_dir):
 @query("""
 SELECT CAST(o_orderkey AS VARCHAR) AS event, o_orderpriority AS "eventName",
        CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS "startDate"
-FROM orders WHERE o_orderkey > 0""")
+FROM orders WHERE o_orderkey > 0  -- an id of zero is none""")
 def q_calendar_rows(spark, sf_dir):
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     rows = spread_table(spark, sf_dir, "orders").select(
@@ -803,7 +811,7 @@ def q_calendar_rows(spark, sf_dir):
         F.when(F.col("o_orderstatus") == "F", "9").alias("EventDateChangeId"), F.lit(True).alias("ShowInCalendar"),
         stamp.alias("StartDateTime"), F.lit("").alias("EndDateTime"),
         F.date_format(F.date_add("o_orderdate", 7), "yyyy-MM-dd").alias("FromStartDate"), F.lit(None).cast("string").alias("FromEndDate"))
-    return ix.normalize_calendar_row(rows).filter("event <> '0'").select("event", "eventName", "startDate")
+    return ix.normalize_calendar_row(rows).select("event", "eventName", "startDate")
 
 
 @query("""
@@ -818,8 +826,8 @@ def q_date_entries(spark, sf_dir):
 
 @query("""
 WITH e AS (SELECT CAST(c_nationkey + 2490 AS VARCHAR) AS event, MIN(o_orderdate) AS s, MAX(o_orderdate) AS e, COUNT(*) AS n
-           FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1),
-base AS (SELECT event, strftime(s, '%Y-%m-%d') AS sd, strftime(e, '%Y-%m-%d') AS ed, 'Open ' || event AS nm FROM e WHERE n > 50),
+           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+base AS (SELECT event, strftime(s, '%Y-%m-%d') AS sd, strftime(e, '%Y-%m-%d') AS ed, 'Open ' || event AS nm FROM e),
 a AS (SELECT CAST(s_nationkey + 2490 AS VARCHAR) AS event, MIN(s_name) AS nm, COUNT(*) > 3 AS arch FROM supplier GROUP BY 1),
 j AS (SELECT COALESCE(base.event, a2.event) AS event, base.event AS be, a2.event AS ae, COALESCE(a2.nm, base.nm) AS nm, sd, ed, a2.arch
       FROM base FULL JOIN (SELECT * FROM a WHERE CAST(event AS INTEGER) >= 2500) a2 ON base.event = a2.event)
@@ -828,8 +836,8 @@ SELECT event, nm AS "eventName", sd AS "startDate", ed AS "endDate", COALESCE(ar
 FROM j""")
 def q_build_index(spark, sf_dir):
     event = F.concat((F.col("event") + 2490).cast("string"))
-    matches = nation_orders(spark, sf_dir, "o_orderstatus", "o_orderdate").filter("o_orderstatus = 'F'").groupBy(event.alias("event")).agg(
-        F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 50")
+    matches = nation_orders(spark, sf_dir, "o_orderdate").groupBy(event.alias("event")).agg(
+        F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e"))
     name = F.concat(F.lit("Open "), F.col("event"))
     start, end = day("s"), day("e")
     now = F.lit("1998-01-01").cast("date")
@@ -1267,17 +1275,3 @@ SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '",
 def q_json_rows(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.col("p_size").alias("size"), F.lit(None).cast("string").alias("none"))
     return part.select("p_partkey", report.to_json_rows(part, ["p_partkey", "p_name", "p_brand", "size", "none"]))
-
-
-@query()
-def q_manifest(spark, sf_dir):
-    found = files.file_manifest(spark, [f"{sf_dir}/*.parquet"], sha256=False, wanted=["orders.parquet", "missing.parquet"])
-    return found.select("name", "kind", "exists", "size")
-
-
-@query()
-def q_files_to_refresh(spark, sf_dir):
-    source = files.file_manifest(spark, [f"{sf_dir}/*.parquet"], sha256=False)
-    target = source.filter(F.col("name") > "m").withColumn("mtime", F.when(F.col("name") < "p", F.col("mtime") - F.expr("interval 1 hour"))
-                                                           .otherwise(F.col("mtime")))
-    return files.files_to_refresh(source, target).select("name", "size")

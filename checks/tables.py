@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.session import spread
-
 LADDER = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -13,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table for queries that compute much per row."""
+    """A table for queries that compute much per row, dealt out to all cores whatever its files."""
     rows = table(spark, sf_dir, name)
-    return spread(rows.select(*columns) if columns else rows)
+    return (rows.select(*columns) if columns else rows).repartition(spark.sparkContext.defaultParallelism)
 
 
 def cents(c) -> F.Column:

@@ -13,7 +13,6 @@ from courtside import fixed
 from courtside.functions.labels import category_label, infer_gender, norm_discipline, norm_round
 from courtside.functions.text import collapse, norm_search, text, trim
 from courtside.operators.keys import join_on
-from courtside.operators.ordered import Scope, number_rows
 from courtside.operators.stages import is_group, number_present_stages
 
 
@@ -112,21 +111,19 @@ def filter_code(df: DataFrame, code: str, column: str = "documentCode") -> DataF
     return df.filter(F.col(column) == F.lit(code))
 
 
-def limit_rows(df: DataFrame, scope: Sequence[str], order: Sequence[str], n: int | None) -> DataFrame:
-    """First ``n`` rows of each scope; only a positive whole number limits. ``order`` starts with a number.
+def limit_rows(df: DataFrame, scope: Sequence[str], order: Sequence[str], n: int | None, salts: int = 64) -> DataFrame:
+    """First ``n`` rows of each scope; only a positive whole number limits.
 
-    Up to the planner's threshold every map task keeps ``n`` rows per scope before the shuffle; beyond it rows are
-    numbered chunk by chunk, so that a large scope is never ranked in one task.
+    Rows are ranked in ``salts`` parts of their scope first, so that a large scope is never ranked in one task; what
+    the parts keep, at most ``salts * n`` rows, is ranked again.
     """
     if not isinstance(n, int) or n <= 0:
         return df
-    if n < int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        w = Window.partitionBy(*scope).orderBy(*order)
-        numbered = df.withColumn("__n", F.row_number().over(w))
-    else:
-        chunked = df.withColumn("__chunk", F.floor(F.col(order[0]) / F.lit(65536)).cast("bigint"))
-        numbered = number_rows(chunked, Scope(scope, ["__chunk"], order), "__n").drop("__chunk")
-    return numbered.filter(F.col("__n") <= n).drop("__n")
+    parted = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    first = Window.partitionBy(*scope, "__part").orderBy(*order)
+    kept = parted.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= n)
+    last = Window.partitionBy(*scope).orderBy(*order)
+    return kept.withColumn("__n", F.row_number().over(last)).filter(F.col("__n") <= n).drop("__n", "__part")
 
 
 def comparable(c: Column) -> Column:

@@ -223,20 +223,28 @@ def daily_meta(champs: DataFrame) -> DataFrame:
 def lifecycle_meta(events: DataFrame, dates: DataFrame, archive: DataFrame, feed: DataFrame, today: str) -> DataFrame:
     """Source, title, dates, finished flag and mode of each event; archive fields win over date fields.
 
-    ``archive`` and ``dates`` carry absent fields as null; ``feed`` is ``daily_meta`` output.
+    Where ``archive`` or ``dates`` has a column ``present`` (``array<string>``, the fields a row carries) a field it
+    names wins even when it is null; without that column a null field counts as absent. ``feed`` is ``daily_meta``
+    output.
     """
     def packed(df, alias, columns):
         return df.select("event", F.struct(*[c for c in columns if c in df.columns]).alias(alias))
 
-    a_cols = ["source", "title", "startDate", "endDate", "archived", "forced", "canAutoArchive", "eventName"]
-    d_cols = ["source", "title", "eventName", "startDate", "endDate"]
+    a_cols = ["source", "title", "startDate", "endDate", "archived", "forced", "canAutoArchive", "eventName", "present"]
+    d_cols = ["source", "title", "eventName", "startDate", "endDate", "present"]
     joined = lookup(events.select("event").distinct(), packed(archive, "a", a_cols), ["event"])
     joined = lookup(joined, packed(dates, "d", d_cols), ["event"])
     joined = lookup(joined, packed(feed, "f", ["source", "title", "startDate", "endDate", "isFinished"]), ["event"])
     day = F.lit(today)
 
     def merged(c):
-        return F.coalesce(*[F.col(f"{s}.{c}") for s, df in (("a", archive), ("d", dates)) if c in df.columns])
+        sides = [(s, df) for s, df in (("a", archive), ("d", dates)) if c in df.columns]
+        value = F.lit(None).cast("string")
+        for s, df in reversed(sides):
+            carried = (F.coalesce(F.array_contains(f"{s}.present", c), F.lit(False)) if "present" in df.columns
+                       else F.col(f"{s}.{c}").isNotNull())
+            value = F.when(carried, F.col(f"{s}.{c}")).otherwise(value)
+        return value
 
     finished = ended_before(merged("endDate"), day)
     archived = F.coalesce("a.archived", F.lit(False)) & ~F.coalesce("a.forced", F.lit(False)) & finished

@@ -32,10 +32,10 @@ def union_pages(pages: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def dedupe_last(df: DataFrame, keys: Sequence[str], seq: str, keep_unkeyed: bool = False) -> DataFrame:
-    """A3: last row per key, at the position of the key's first row. Rows with a null key are dropped on request of
-    the feed rule (the default)."""
-    keyed = df if keep_unkeyed else df.na.drop(subset=list(keys))
+def dedupe_last(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """A3: last row per key, at the position of the key's first row. Rows with a null key are dropped, as
+    the feed rule asks."""
+    keyed = df.na.drop(subset=list(keys))
     places = keyed.groupBy(*keys).agg(F.min(seq).alias("__place"))
     last = pick_first(keyed, list(keys), [F.col(seq).desc()])
     return join_on(last, places, keys, "inner").withColumn(seq, F.col("__place")).drop("__place")
