@@ -68,7 +68,13 @@ def joined_names(c: Column) -> Column:
 
 def affiliation(c: Column) -> Column:
     """Struct of affiliation and prefecture from ``club(prefecture)``."""
-    pattern = r"^(.*?)(?:\(([^()]*)\))?$"
-    return let(strip_html(c), lambda t: F.struct(
-        F.when(t.rlike(pattern), trim(F.regexp_extract(t, pattern, 1))).otherwise(t).alias("affiliation"),
-        trim(F.regexp_extract(t, pattern, 2)).alias("prefecture")))
+    def read(t):
+        # the last bracket, when it ends the text and holds no other
+        opened = F.length(F.substring_index(t, "(", -1))
+        inner = F.substr(t, F.length(t) - opened + 1, opened - 1)
+        closed = t.endswith(")") & t.contains("(") & ~inner.contains(")") & ~t.contains("\n")
+        return F.struct(
+            F.when(closed, trim(F.substr(t, F.lit(1), F.length(t) - opened - 1))).otherwise(t).alias("affiliation"),
+            F.when(closed, trim(inner)).otherwise("").alias("prefecture"))
+
+    return let(strip_html(c), read)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.functions.text import first_text, norm_code, trim
@@ -82,16 +82,12 @@ def merge_versions(preferred: DataFrame, fallback: DataFrame, scope: Sequence[st
     """
     both = (preferred.withColumn("__origin", F.lit(0))
             .unionByName(fallback.withColumn("__origin", F.lit(1)), allowMissingColumns=True))
-    both = both.withColumn("__key", F.nullif(key, F.lit("")))
-    place = F.struct((1 - F.col("__origin")).alias("origin"), F.col(seq).alias("seq"))
-    unkeyed = F.col("__key").isNull()
-    groups = [*scope, F.col("__key"), F.when(unkeyed, place)]
-    kept = pick_first(both, groups, [*better, F.col("__origin").asc(), F.col(seq).desc()])
-    places = both.filter(~unkeyed).groupBy(*scope, "__key").agg(F.min(place).alias("__first_place"))
-    placed = join_on(kept.filter(~unkeyed), places, [*scope, "__key"], "inner")
-    placed = placed.withColumn("merged_seq", F.col("__first_place")).drop("__first_place")
-    alone = kept.filter(unkeyed).withColumn("merged_seq", place)
-    return placed.unionByName(alone).drop("__key", "__origin")
+    both = both.withColumn("__key", F.nullif(key, F.lit(""))).withColumn(
+        "__place", F.struct((1 - F.col("__origin")).alias("origin"), F.col(seq).alias("seq")))
+    versions = Window.partitionBy(*scope, "__key", F.when(F.col("__key").isNull(), F.col("__place")))
+    ranked = both.withColumn("__n", F.row_number().over(versions.orderBy(*better, F.col("__origin").asc(), F.col(seq).desc())))
+    ranked = ranked.withColumn("merged_seq", F.min("__place").over(versions))
+    return ranked.filter(F.col("__n") == 1).drop("__n", "__key", "__place", "__origin")
 
 
 def feed_code() -> Column:
@@ -160,27 +156,20 @@ def merge_by_rule(primary: DataFrame, supplement: DataFrame, scope: Sequence[str
     """A supplement row replaces the primary row of its key when ``replaces(primary, supplement)`` (columns of
     structs) holds; new keys are appended, rows without a key stay on both sides. ``merged_seq`` gives the order."""
     columns = primary.columns
-    have = F.col(key).isNotNull() & (F.col(key) != "")
-    first = F.struct(F.lit(0).alias("origin"), F.col(seq).alias("seq"))
-    second = F.struct(F.lit(1).alias("origin"), F.col(seq).alias("seq"))
-    keys = [*scope, key]
-    left = primary.filter(have).select(*keys, F.struct(*columns).alias("__p"), first.alias("__p_place"))
-    right = supplement.filter(have).select(*keys, F.struct(*columns).alias("__s"), second.alias("__s_place"))
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in keys], "__s", "__s_place")
-    condition = None
-    for c in scope:
-        one = left[c].eqNullSafe(renamed[f"__r_{c}"])
-        condition = one if condition is None else condition & one
-    equal = left[key] == renamed[f"__r_{key}"]
-    joined = left.join(renamed, equal if condition is None else condition & equal, "full_outer")
+    scoped = [*scope, "__key", "__alone"]
+
+    def side(df, origin, name):
+        place = F.struct(F.lit(origin).alias("origin"), F.col(seq).alias("seq"))
+        keyed = F.nullif(F.col(key), F.lit(""))
+        # a row without a key is a group of its own: the join meets it with nothing, wherever it is
+        return df.select(*scope, F.struct(*columns).alias(name), place.alias(f"{name}_place"), keyed.alias("__key"),
+                         F.when(keyed.isNull(), place).alias("__alone"))
+
+    joined = join_on(side(primary, 0, "__p"), side(supplement, 1, "__s"), scoped, "full_outer")
     p, s = F.col("__p"), F.col("__s")
     take = p.isNull() | (s.isNotNull() & F.coalesce(replaces(p, s), F.lit(False)))
-    merged = joined.select(F.when(take, s).otherwise(p).alias("__row"),
-                           F.coalesce("__p_place", "__s_place").alias("merged_seq")).select("__row.*", "merged_seq")
-    loose = (primary.filter(~F.coalesce(have, F.lit(False))).withColumn("merged_seq", first)
-             .unionByName(supplement.filter(~F.coalesce(have, F.lit(False)))
-                          .select(*columns).withColumn("merged_seq", second)))
-    return merged.unionByName(loose)
+    return joined.select(F.when(take, s).otherwise(p).alias("__row"),
+                         F.coalesce("__p_place", "__s_place").alias("merged_seq")).select("__row.*", "merged_seq")
 
 
 def supplement_replaces(p: Column, s: Column) -> Column:
@@ -190,13 +179,13 @@ def supplement_replaces(p: Column, s: Column) -> Column:
             .otherwise(p["m_rule_zero"] & (trim(s["overallScore"]) != "0-0")))
 
 
-def supplement(primary: DataFrame, added: DataFrame) -> DataFrame:
+def supplement(primary: DataFrame, added: DataFrame, seq: str = "seq") -> DataFrame:
     """J10 on rows with merge facts; ``added`` are matches."""
     filled = added.withColumn("m_code", norm_code(F.col("documentCode")))
     for c, t in primary.dtypes:
         if c not in filled.columns:
             filled = filled.withColumn(c, F.lit(None).cast(t))
-    return merge_by_rule(primary, filled, ["event"], "m_code", "seq", supplement_replaces)
+    return merge_by_rule(primary, filled, ["event"], "m_code", seq, supplement_replaces)
 
 
 def merge_supplemental(primary: DataFrame, supplemental: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +50,18 @@ def event_haystack(event: Column, name: Column, extras: Column) -> Column:
         F.concat_ws(" ", text(name), F.array_join(extras, " ")))))
 
 
+def _is_date(query: str) -> bool:
+    """A year and a month, maybe a day, parted by slashes or hyphens."""
+    parts = [p.strip() for p in query.replace("/", "-").split("-")]
+    return (2 <= len(parts) <= 3 and all(p.isascii() and p.isdigit() for p in parts) and len(parts[0]) == 4
+            and all(len(p) <= 2 for p in parts[1:]))
+
+
 def matches_query(haystack: Column, event: Column, query: str) -> Column:
     """The haystack holds the query, or holds all its words unless the query looks like a date. A blank query
     matches everything; a number also matches as part of the id."""
     q = norm_search_ascii(F.lit(query))
-    date_like = re.match(r"^\d{4}\s*[/-]\s*\d{1,2}(?:\s*[/-]\s*\d{1,2})?$", query.strip())
+    date_like = _is_date(query)
 
     def found(hay):
         asked = F.filter(F.split(q, " "), lambda w: w != "")

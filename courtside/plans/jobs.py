@@ -18,6 +18,7 @@ from courtside.operators.keys import join_on, lookup
 from courtside.operators.lookup import entries, translate_matches, without_dictionary
 from courtside.operators.merge import feed_code, missing_codes, recover, supplement, upsert
 from courtside.operators.normalize import normalize_feed
+from courtside.operators.ordered import Scope, number_rows
 from courtside.schema import MATCH_COLUMNS
 from courtside.sources.archive import write_match_archive
 from courtside.sources.index import LabelRules, write_sorted_index
@@ -241,11 +242,16 @@ def choose_feed(primary: DataFrame, minimal: DataFrame, recovered: DataFrame, st
     # normalised before any shuffle: what travels are matches and flat facts, not cards
     found = join_on(normalize_feed(recovered, for_merge=True), missing.select("event", F.col("code").alias("m_code")),
                     ["event", "m_code"], "left_semi")
-    complete = recover(normalize_feed(primary, for_merge=True), join_on(found, live, EVENT, "left_semi")).withColumn(
-        "seq", F.col("merged_seq.origin").cast("bigint") * F.lit(1 << 40) + F.col("merged_seq.seq")).drop("merged_seq")
-    ties = join_on(standings, live, EVENT, "left_semi").withColumn("m_match", F.lit(True))
-    full = supplement(complete, ties).filter("m_match").withColumn(
-        "seq", F.col("merged_seq.origin").cast("bigint") * F.lit(1 << 50) + F.col("merged_seq.seq"))
+    complete = recover(normalize_feed(primary, for_merge=True), join_on(found, live, EVENT, "left_semi"))
+    complete = complete.withColumnRenamed("merged_seq", "place")
+    ties = join_on(standings, live, EVENT, "left_semi").withColumns(
+        {"m_match": F.lit(True), "place": F.struct(F.lit(0).alias("origin"), F.col("seq").alias("seq"))})
+    full = supplement(complete, ties, "place").filter("m_match")
+    # the order is a place in each merge, whatever the positions are; in the result it is the row's number
+    order = {"__supplement": F.col("merged_seq.origin"), "__recovered": F.col("merged_seq.seq.origin"),
+             "__position": F.col("merged_seq.seq.seq")}
+    full = full.withColumns(order).withColumn("__chunk", F.floor(F.col("__position") / F.lit(65536)))
+    full = number_rows(full, Scope(EVENT, ["__supplement", "__recovered", "__chunk"], list(order)), "seq")
     source = F.lower(trim(F.col("source")))
     dated = (text(F.col("startDate")) != "") | (text(F.col("endDate")) != "")
     allowed = meta.filter(F.col("event").rlike(r"^\d+$") & (

@@ -11,7 +11,7 @@ from courtside.sources.paths import present
 
 
 def _event() -> Column:
-    """The event a file is named after, file names being URL-encoded."""
+    """The event a file is named after; Spark shows file names URL-encoded."""
     return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
 
 

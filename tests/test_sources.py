@@ -8,8 +8,8 @@ from courtside.sources.index import read_dictionary, read_event_names, read_keye
 
 @pytest.fixture
 def archive(tmp_path):
-    for event, codes in (("ev1", ["A", "B"]), ("ev2", ["C"]), ("cup%202024", ["D"])):
-        (tmp_path / f"{event}.json").write_text(json.dumps([{"documentCode": c} for c in codes]))
+    for event, codes in (("ev1", ["A", "B"]), ("ev2", ["C"]), ("cup 2024", ["D"])):
+        (tmp_path / f"{event}.json").write_text(json.dumps([{"documentCode": c, "matchType": "individual", "categoryName": "Men Singles", "competitors": []} for c in codes]))
     return tmp_path
 
 
