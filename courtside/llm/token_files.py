@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import need, width
+from courtside.llm.common import need, slices, width
 from courtside.llm.simple8b import decode_blocks, encode_blocks
 from courtside.llm.tokens import ID, encoder
 
@@ -33,9 +33,7 @@ def _encode(vocabulary: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], ID).tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             docs = batch.column("doc_id").to_pylist()
             ids = [i + end for i in encoder(vocabulary).encode(batch.column("text").to_pylist())]
             lengths = np.array([len(i) // ID.itemsize for i in ids])
@@ -73,8 +71,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows = batch.slice(at, 64)
+        for at in range(0, batch.num_rows, 32):
+            rows = batch.slice(at, 32)
             values, lengths = decode_blocks(rows.column("words").to_pylist())
             ids = values.astype(ID)
             counts = np.array([len(o) for o in rows.column("offsets").to_pylist()])
@@ -97,11 +95,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files; ``ids`` as little-endian unsigned 32-bit."""
     files = spark.read.schema(_FILE).parquet(path)
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # One row per part, however many documents there are.
+    # One row per part, however many documents there are: small enough for every task.
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start"))
     return (files.select("part", "before", "doc_ids", "offsets", "words").mapInArrow(_decode, _READ)
-            .join(starts, "part")
+            .join(F.broadcast(starts), "part")
             .select("doc_id", (F.col("part_start") + F.col("place")).alias("start"), "n_tokens", "ids"))
 
 
