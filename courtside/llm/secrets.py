@@ -32,7 +32,8 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 SHORTEST = {"assign": 6}
 COPIED_OWNERS = 3        # owners from which on a value is a copied example
-PLACEHOLDER = r"(?i:example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef)|(.)\1{5}"
+PLACEHOLDER = ("(?i:example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef)|"
+               + "|".join(f"{c}{{6}}" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -106,3 +107,33 @@ def query(docs: DataFrame) -> DataFrame:
     return found.join(classes, "row", "left").select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied", "most_owners")])
+
+
+def sql() -> str:
+    """The query for DuckDB."""
+    def kind_sql(rank: int, kind: str) -> str:
+        pattern, group, _ = KINDS[kind]
+        p = pattern.replace("'", "''")
+        return f"""
+  SELECT row, doc_id, source, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+      s := CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT),
+      n := length(m[i]), v := v[i]))) AS x, {rank} AS rank, '{kind}' AS kind
+  FROM (SELECT row, doc_id, source, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d)"""
+
+    found = " UNION ALL ".join(kind_sql(r, k) for r, k in enumerate(KINDS))
+    enough = " OR ".join(f"(kind = '{k}' AND length(x.v) >= {n})" for k, n in SHORTEST.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, COALESCE(text, '') AS t, COALESCE(source, '') AS source FROM documents),
+f AS (SELECT row, doc_id, source, x.s AS s, x.s + x.n AS e, x.v AS v, rank, kind FROM ({found}) WHERE kind NOT IN ('{"', '".join(SHORTEST)}') OR {enough}),
+o AS (SELECT v, COUNT(DISTINCT string_split(source, '/')[1]) AS owners FROM f GROUP BY v),
+c AS (SELECT f.*, owners, CASE WHEN owners >= {COPIED_OWNERS} THEN 'copied' WHEN regexp_matches(f.v, '{PLACEHOLDER}') THEN 'placeholder'
+        WHEN kind = 'pem' OR length(f.v) >= 16 AND regexp_matches(f.v, '[0-9]') AND regexp_matches(f.v, '[A-Za-z]') THEN 'live' ELSE 'weak' END AS class
+      FROM f JOIN o ON f.v = o.v),
+a AS (SELECT row, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans,
+        COUNT(*) FILTER (class = 'live') AS n_live, COUNT(*) FILTER (class = 'copied') AS n_copied, MAX(owners) AS most_owners FROM c GROUP BY row)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex,
+  sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(n_live, 0) AS n_live, COALESCE(n_copied, 0) AS n_copied,
+  COALESCE(most_owners, 0) AS most_owners
+FROM d LEFT JOIN a ON d.row = a.row"""
