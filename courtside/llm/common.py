@@ -29,6 +29,12 @@ def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ``shared_folder`` whose tables nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of the session's shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -39,10 +45,11 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, in parts of about ``most`` bytes of text: what a task holds does not follow the batch."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in parts of about ``most`` bytes of text or ``rows`` rows: what a task holds does not follow
+    the batch."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes + 64) // most
+    part = np.cumsum(sizes + most // rows) // most
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if batch.num_rows else []
     for start, end in zip(edges[:-1], edges[1:]):
         yield batch.slice(int(start), int(end - start))

@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from courtside.llm.common import need, slices
 
-DIMS = 4096
+BITS = 13
+DIMS = 1 << BITS
+ROWS = 512  # texts whose counts are held at once
 PER_LANGUAGE = 400
 MOST_LANGUAGES = 1000
 CLUSTERS = 4
-REJECT = 0.4  # share of the 1 % quantile of a cluster's own cosines below which a text is rejected
+REJECT = 0.2  # share of the 1 % quantile of a cluster's own cosines below which a text is rejected
+FULL = 200    # n-grams from which on a text is judged by that; shorter ones are less like any centroid
 CHARS = 1 << 21
 _PLANE = 0x3000  # letters up to here are looked up; rarer ones are asked one by one
 
@@ -67,9 +70,9 @@ def count_grams(texts: list[str | None]) -> np.ndarray:
         owner = np.concatenate([*owners, [0]])
         mid = np.flatnonzero(cps[1:-1]) + 1
         a, b, c = (cps[mid + k].astype(np.uint64) for k in (-1, 0, 1))
-        two = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(52)
+        two = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
         three = ((a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-                 + c * np.uint64(0x27D4EB2F165667C5)) >> np.uint64(52)
+                 + c * np.uint64(0x27D4EB2F165667C5)) >> np.uint64(64 - BITS)
         row = owner[mid] * DIMS
         low, high = int(owner[0]), int(owner[:-1].max())
         keys = np.concatenate([row + two.astype(np.int64), row + three.astype(np.int64)]) - low * DIMS
@@ -101,9 +104,9 @@ def _count_piece(cps: np.ndarray, start: int) -> np.ndarray:
     around = np.concatenate([[0], cps, [0]]).astype(np.uint32)[start:start + CHARS + 2]
     mid = np.flatnonzero(around[1:-1]) + 1
     a, b, c = (around[mid + k].astype(np.uint64) for k in (-1, 0, 1))
-    two = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(52)
+    two = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
     three = ((a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-             + c * np.uint64(0x27D4EB2F165667C5)) >> np.uint64(52)
+             + c * np.uint64(0x27D4EB2F165667C5)) >> np.uint64(64 - BITS)
     return np.bincount(np.concatenate([two, three]).astype(np.int64), minlength=DIMS)
 
 
@@ -128,16 +131,15 @@ class Model:
         cosines = unit(counts, self.idf) @ self.centroids.T
         best = cosines.argmax(axis=1)  # the first of equals; centroids are ordered by language
         score = np.where(some, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0).astype(float)
-        return ([self.languages[b] if s else "und" for b, s in zip(best, some)], score,
-                ~some | (score < self.nearest[best]))
+        near = self.nearest[best] * np.minimum(1, np.sqrt(counts.sum(axis=1) / FULL))
+        return [self.languages[b] if s else "und" for b, s in zip(best, some)], score, ~some | (score < near)
 
 
 def _kmeans(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means, started from far apart rows."""
-    chosen = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
-    while len(chosen) < min(k, len(vectors)):
-        chosen.append(int(np.argmin((vectors @ vectors[chosen].T).max(axis=1))))
-    centres = vectors[chosen]
+    """Spherical k-means, started from rows that are more and less like their mean."""
+    k = min(k, len(vectors))
+    order = np.argsort(vectors @ vectors.mean(axis=0), kind="stable")
+    centres = vectors[order[[(2 * i + 1) * len(vectors) // (2 * k) for i in range(k)]]]
     for _ in range(10):
         near = (vectors @ centres.T).argmax(axis=1)
         sums = np.stack([vectors[near == c].sum(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
@@ -148,7 +150,7 @@ def _kmeans(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, rows = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, rows=ROWS):
             texts = part.column("text").to_pylist()
             total += (count_grams(texts) > 0).sum(axis=0)
             rows += len(texts)
@@ -157,7 +159,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole)):
+    for batch in (part for whole in batches for part in slices(whole, rows=ROWS)):
         counts = count_grams(batch.column("text").to_pylist())
         places = [np.flatnonzero(c) for c in counts]
         yield pa.RecordBatch.from_arrays(
@@ -174,8 +176,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
     rows = counted.pop(-1, 0)
     df = np.array([counted.get(g, 0) for g in range(DIMS)])
     idf = np.log((1 + rows) / (1 + df)) + 0.1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.crc32("text")), "doc_id")
-    picked = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+    keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("key")
+    chosen = (keyed.select("lang", "key").withColumn("place", F.row_number().over(order))
+              .filter(F.col("place") <= per_language).select("lang", "key"))
+    # per_language rows a language: keys are ranked without their texts, which then are read once more
+    picked = keyed.join(F.broadcast(chosen), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
     sample: dict[str, list[np.ndarray]] = {}
     for row in picked.select("text", "lang").mapInArrow(_vectors, "lang string, places binary, counts binary").toLocalIterator():
         if row["lang"] not in sample and len(sample) >= MOST_LANGUAGES:
@@ -189,18 +195,19 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
         vectors = unit(np.stack(sorted(sample[lang], key=lambda v: v.tobytes())), idf)
         centres, near = _kmeans(vectors, clusters)
         own = (vectors @ centres.T).max(axis=1)
+        usual = np.quantile(own, 0.01)
         for c, centre in enumerate(centres):
-            mine = own[near == c] if (near == c).any() else own
+            mine = min(usual, np.quantile(own[near == c], 0.01)) if (near == c).any() else usual
             languages.append(lang)
             centroids.append(centre)
-            nearest.append(REJECT * float(np.quantile(mine, 0.01)))
+            nearest.append(REJECT * float(mine))
     return Model(languages, np.stack(centroids) if centroids else np.zeros((0, DIMS)), np.array(nearest), idf)
 
 
 def _identify(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, rows=ROWS):
                 lang, score, rejected = model.value.predict(rows.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
@@ -211,7 +218,7 @@ def _identify(model):
 def _accept(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, rows=ROWS):
                 rejected = model.value.predict(rows.column("text").to_pylist())[2]
                 yield rows.filter(pa.array(~rejected, pa.bool_()))
     return run

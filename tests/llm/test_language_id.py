@@ -55,7 +55,7 @@ def test_held_out_rows_are_recognised(spark):
 def test_strange_texts_are_rejected_and_others_stay(spark):
     docs = table(spark)
     model = fit(docs)
-    strange = spark.createDataFrame([(1, "ქართული ენა არის"), (2, "the and that with"), (3, None), (4, "??")], "doc_id long, text string")
+    strange = spark.createDataFrame([(1, "ქართული ენა არის ძალიან ძველი ენა და აქვს საკუთარი დამწერლობა რომელიც ლამაზია"), (2, "the and that with"), (3, None), (4, "??")], "doc_id long, text string")
     assert [r["doc_id"] for r in accepted(strange, model).collect()] == [2]
     kept = accepted(docs, model)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
