@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from checks.queries import query
 from checks.tables import ORDER_MATCHES_SQL, order_matches, table
+from courtside import schema
 from courtside.functions import names, scores
 from courtside.functions.text import look_up
-from courtside.operators import filters, html_pages, report
+from courtside.operators import filters, html_pages, merge, report
 from courtside.operators import index as ix
 from courtside.plans import jobs
 
@@ -224,3 +225,23 @@ def q_alignment_check(spark, sf_dir):
         "event", F.col("categoryName").alias("category"), F.when(F.col("only") == 1, "left").otherwise("both").alias("side"), "matches")
     right = diff.filter("side = 'right'").select("event", F.col("categoryName").alias("category"), "side", F.lit(0).cast("bigint").alias("matches"))
     return both.unionByName(right)
+
+
+@query(f"""
+WITH {ORDER_MATCHES_SQL},
+p AS (SELECT event, seq, a || '-' || b AS score, seq % 2 = 0 AS has, CASE WHEN seq % 10 = 0 THEN '0-0' ELSE 'S' END AS other,
+  CASE WHEN st <> 'P' THEN TRUE WHEN seq % 3 = 2 THEN FALSE WHEN seq % 3 <> 1 AND seq % 5 = 0 THEN TRUE ELSE a = 0 AND b = 0 AND seq % 10 <> 0 END AS gives_way FROM m)
+SELECT event, 'M' || seq AS code, CASE WHEN has AND gives_way THEN other ELSE score END AS score FROM p
+UNION ALL SELECT event, 'N' || seq, 'S' FROM m WHERE seq % 7 = 0""")
+def q_supplement(spark, sf_dir):
+    """J10 with its own rule list: ties with rubbers stay, what is no tie gives way, others by start time and score."""
+    matches, seq = order_matches(spark, sf_dir), F.col("seq")
+    bare = (F.col("matchType") == "team") & (seq % 3 != 2)
+    primary = matches.withColumns({
+        "singles": F.when(bare, F.array().cast(schema.MATCH_FIELDS["singles"])).otherwise(F.col("singles")),
+        "startDateLocal": F.when(seq % 3 == 1, "07/01/1997 10:00"), "match_card": F.lit(None).cast(schema.CARD)})
+    known = matches.filter("seq % 2 = 0").withColumns({
+        "overallScore": F.when(seq % 10 == 0, "0-0").otherwise("S"), "startDateLocal": F.when(seq % 5 == 0, "07/01/1997 11:00")})
+    new = matches.filter("seq % 7 = 0").withColumns({"documentCode": F.concat(F.lit("N"), seq.cast("string")), "overallScore": F.lit("S")})
+    merged = merge.merge_supplemental(primary, known.unionByName(new))
+    return merged.select("event", F.col("documentCode").alias("code"), F.col("overallScore").alias("score"))
