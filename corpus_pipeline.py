@@ -15,7 +15,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones."""
+    """One document of each group linked by five-word n-grams at 0.8."""
     return jaccard.keep_first(docs).select(*docs.columns)
 
 

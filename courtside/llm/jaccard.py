@@ -3,8 +3,10 @@
 A document is the set of its distinct word n-grams as 64-bit hashes. Two documents link when
 ``100 * |A & B| >= percent * |A | B|``.
 
-1. *Global order.* N-grams that many documents hold come last, all others by hash. Linked documents share an n-gram
-   within their prefixes, the first ``|A| - ceil(percent / 100 * |A|) + 1`` of the order.
+1. *Global order.* All n-grams are counted, by the upper 32 bits of their hash. Those of one document only come first, then
+   those of several, last those that many hold; by hash in each. Linked documents share an n-gram within their
+   prefixes, the first ``|A| - ceil(percent / 100 * |A|) + 1`` of the order. A document that has enough of its own is
+   thereby in no pair at all, whatever passages it shares. For the smaller of two a shorter prefix is enough.
 2. *Candidates.* Equal sets are one node. The nodes that hold a prefix n-gram in common are a bucket; each is paired
    with the smallest node of the bucket only, so a group of any size gives as many pairs as rows.
 3. *Vertical partitioning.* The range of the order is cut into fragments. The sets of the paired nodes are cut along,
@@ -13,8 +15,9 @@ A document is the set of its distinct word n-grams as 64-bit hashes. Two documen
    among themselves and counted as in 3. Nodes that already are connected need no further count: another link between
    them changes no component. So no link between different components is lost, and there is no cap anywhere.
 
-Counts over all documents (which n-grams are alone, which nodes are in a pair) come back to the tasks as bitmaps of
-fixed size; a false bit costs time and never a result.
+The counts travel as sorted runs of key differences, two bytes each, added up once per task and range of keys. What is alone,
+what is common and which nodes are in a pair comes back to the tasks as bitmaps and a list of fixed size; there, a wrong
+guess costs time and never a result.
 
 Contract. Null and empty texts have empty sets and are linked with nothing. Repeated rows are equal sets. A null
 ``doc_id`` takes part but names a group only if no other row does. An empty table gives no rows. Other columns of the
@@ -30,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm.common import need, shared_folder, staged
+from courtside.llm.common import discard, need, shared_folder, slices, staged, width
 from courtside.llm.components import component_labels
 
 BITMAP_BITS = 27          # 16 MB, whatever the corpus
 NODE_BITS = 24            # 2 MB
-COUNTED = 0.2             # share of the hash range whose n-grams are counted
 MOST_COMMON = 1 << 21     # entries of the common list at most
+LEAST_COMMON = 16         # documents that hold a common n-gram, at least
+RUN = 4 << 20             # n-grams a task adds up at once
 FRAGMENTS = 8
-_GRAMS = np.random.default_rng(3)
-_BYTE = _GRAMS.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.random.default_rng(3).integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,74 +113,151 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def index_length(size: int, percent: int) -> int:
+    """The shorter prefix that is enough for the smaller one of two linked sets."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
 def _has(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     slot = hashes >> np.uint64(64 - bits)
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    need = prefix_length(len(grams), percent)
+def _prefix(grams: np.ndarray, percent: int, common: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a set's prefix that another set may hold too, and which of them are in its shorter prefix."""
+    rank = _has(shared, BITMAP_BITS, grams).astype(np.uint8)
     if len(common):
-        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        late = common[at] == grams
-        if late[:need].any():
-            grams = np.concatenate([grams[~late], grams[late]])
-    return grams[:need]
+        keys = (grams >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        rank[common[at] == keys] = 2
+    first = np.argsort(rank, kind="stable")[:prefix_length(len(grams), percent)]
+    held = rank[first] > 0
+    return grams[first[held]], np.flatnonzero(held) < index_length(len(grams), percent)
 
 
 def _per_text(make, names: list[str]):
     """A task over (doc_id, text) batches: ``make`` gives the arrays of the output columns for one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = batch.slice(at, 2000)
+            for rows in slices(batch):
                 yield pa.RecordBatch.from_arrays(make(rows), names=names)
     return run
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64), pa.int64())
+def _runs(n: int, ranges: int):
+    """Sorted runs of the keys of a task's n-grams: per range its first key, differences, and counts that exceed one."""
+    def added(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        part = (keys.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 40))), len(keys))
+        numbers, firsts, steps, many = [], [], [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            step, repeated = np.diff(keys[a:b]), np.flatnonzero(counts[a:b] > 1)
+            numbers.append(int(part[a]))
+            firsts.append(int(keys[a]))
+            steps.append(step.astype("<u2" if step.max(initial=0) < 1 << 16 else "<u4").tobytes())
+            many.append(np.stack([repeated, counts[a:b][repeated]]).astype("<u4").tobytes())
+        sizes = np.diff(edges)
+        return pa.RecordBatch.from_arrays([
+            pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int32()),
+            pa.array(steps, pa.binary()), pa.array(many, pa.binary())], names=["part", "first", "n", "steps", "many"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for rows in slices(batch):
+                for text in rows.column("text").to_pylist():
+                    held.append((gram_set(text, n) >> np.uint64(32)).astype(np.uint32))
+                    size += len(held[-1])
+                    if size >= RUN:
+                        yield added(held)
+                        held, size = [], 0
+        if size:
+            yield added(held)
+    return run
 
-def _nodes(n: int):
-    def make(rows):
-        sets = [gram_set(t, n) for t in rows.column("text").to_pylist()]
-        return [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([node_of(s) for s in sets], pa.int64())]
-    return _per_text(make, ["doc_id", "n_shingles", "node"])
 
+_RUNS = "part int, first long, n int, steps binary, many binary"
+_COUNTS = "page long, bits binary, keys binary, counts binary, total long"
+
+
+def _add_up(runs: pa.Table) -> pa.Table:
+    """All runs of one range: bitmap pages of the keys that several documents hold, and the counts of common ones."""
+    keys, counts = [], []
+    for first, n, steps, many in zip(*(runs.column(c).to_pylist() for c in ("first", "n", "steps", "many"))):
+        step = np.frombuffer(steps, "<u2" if len(steps) == 2 * (n - 1) else "<u4")
+        keys.append(first + np.concatenate([[0], np.cumsum(step, dtype=np.int64)]))
+        one = np.ones(n, np.int64)
+        place, number = np.frombuffer(many, "<u4").reshape(2, -1)
+        one[place] = number
+        counts.append(one)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    total = np.add.reduceat(counts, starts)
+    held = total > 1
+    keys, total = keys[starts][held], total[held]
+    slots = np.unique(keys >> (32 - BITMAP_BITS))
+    pages, first = np.unique(slots >> 16, return_index=True)
+    common = total >= LEAST_COMMON
+    rows = [_page(part) for part in np.split(slots & 0xFFFF, first[1:])] if len(pages) else []
+    rows.append(None)
+    none = [None] * len(pages)
+    return pa.table({
+        "page": pa.array([*pages.tolist(), None], pa.int64()), "bits": pa.array(rows, pa.binary()),
+        "keys": pa.array([*none, keys[common].astype("<u4").tobytes()], pa.binary()),
+        "counts": pa.array([*none, np.minimum(total[common], (1 << 32) - 1).astype("<u4").tobytes()], pa.binary()),
+        "total": pa.array([*none, int(total[common].sum())], pa.int64())})
+
+
+def _page(slots: np.ndarray) -> bytes:
+    page = np.zeros(1 << 16, np.uint8)
+    page[slots] = 1
+    return np.packbits(page, bitorder="little").tobytes()
+
+
+def _common_keys(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                out.append(np.frombuffer(keys, "<u4")[np.frombuffer(counts, "<u4") >= least].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["keys"])
+    return run
 
-def _low_grams(n: int):
-    top = np.uint64(int(COUNTED * 2 ** 64))
 
-    def make(rows):
-        sets = [gram_set(t, n) for t in rows.column("text").to_pylist()]
-        low = [s[:np.searchsorted(s, top)] for s in sets]
-        return [_signed(np.concatenate([np.zeros(0, np.uint64), *low]))]
-    return _per_text(make, ["gram"])
+def gram_counts(texts: DataFrame, n: int, folder: str) -> tuple[bytes, bytes]:
+    """The bitmap of n-grams that several documents hold, and the sorted keys of the common ones."""
+    spark = texts.sparkSession
+    runs = texts.mapInArrow(_runs(n, 4 * width(spark)), _RUNS)
+    counts = staged(runs.groupBy("part").applyInArrow(_add_up, _COUNTS), "counts", folder)
+    bitmap = _collected(counts.filter("page is not null").select("page", "bits"), BITMAP_BITS)
+    total = counts.agg(F.sum("total")).first()[0] or 0
+    least = max(LEAST_COMMON, -(-total // MOST_COMMON))  # so many rows hold no more n-grams than the list may have
+    found = counts.filter("total > 0").select("keys", "counts").mapInArrow(_common_keys(least), "keys binary")
+    keys = [np.frombuffer(r["keys"], "<u4") for r in found.collect()]
+    return bitmap, np.sort(np.concatenate([np.zeros(0, "<u4"), *keys])).tobytes()
 
 
 def _entries(n: int, percent: int, common, shared):
-    top = np.uint64(int(COUNTED * 2 ** 64))
-
+    """A row without n-gram for every document, and the prefix entries of every different set of a slice."""
     def make(rows):
-        late, bitmap = np.frombuffer(common.value, np.uint64), np.frombuffer(shared.value, np.uint8)
-        grams, nodes, sizes, seen = [], [], [], set()
-        for text in rows.column("text").to_pylist():
-            s = gram_set(text, n)
-            node = node_of(s)
-            if node < 0 or node in seen:
-                continue
-            seen.add(node)
-            prefix = _prefix(s, percent, late)
-            prefix = prefix[(prefix >= top) | _has(bitmap, BITMAP_BITS, prefix)]
-            grams.append(prefix)
-            nodes.append(np.full(len(prefix), node))
-            sizes.append(np.full(len(prefix), len(s)))
-        none = np.zeros(0, np.int64)
-        return [_signed(np.concatenate([none.view(np.uint64), *grams])), pa.array(np.concatenate([none, *nodes]), pa.int64()),
-                pa.array(np.concatenate([none, *sizes]), pa.int64())]
-    return _per_text(make, ["gram", "node", "size"])
+        late, bitmap = np.frombuffer(common.value, "<u4"), np.frombuffer(shared.value, np.uint8)
+        sets = [gram_set(t, n) for t in rows.column("text").to_pylist()]
+        named = {node_of(s): s for s in sets}
+        prefixes = {node: _prefix(s, percent, late, bitmap) for node, s in named.items() if node >= 0}
+        lengths = [len(p) for p, _ in prefixes.values()]
+        more = sum(lengths)
+        grams = np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in prefixes.values())]).view(np.int64)
+        indexed = np.concatenate([np.zeros(len(sets), bool), *(i for _, i in prefixes.values())])
+        nodes = np.concatenate([np.array([node_of(s) for s in sets], np.int64), np.repeat(np.array(list(prefixes), np.int64), lengths)])
+        sizes = np.concatenate([np.array([len(s) for s in sets], np.int64),
+                                np.repeat(np.array([len(named[k]) for k in prefixes], np.int64), lengths)])
+        return [pa.concat_arrays([rows.column("doc_id").cast(pa.int64()), pa.nulls(more, pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(grams, pa.int64())]),
+                pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(indexed, pa.bool_())]
+    return _per_text(make, ["doc_id", "gram", "node", "size", "indexed"])
 
 
 def _fragments(n: int, wanted):
@@ -198,28 +278,28 @@ def _fragments(n: int, wanted):
     return _per_text(make, ["node", "fragment", "grams"])
 
 
+def _collected(pages: DataFrame, bits: int) -> bytes:
+    """A bitmap from its pages of 8 KB: ``2 ** (bits - 16)`` of them, a few more where ranges share one."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in pages.collect():
+        out[row["page"] * 8192:(row["page"] + 1) * 8192] |= np.frombuffer(row["bits"], np.uint8)
+    return out.tobytes()
+
+
 def _bitmap(hashes: DataFrame, column: str, bits: int) -> bytes:
-    """Bits of the upper ``bits`` bits of a signed column; at most ``2 ** (bits - 16)`` rows of 8 KB reach the driver."""
+    """Bits of the upper ``bits`` bits of a signed column."""
     slot = F.shiftrightunsigned(column, 64 - bits)
 
     def fold(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces:
             slots = np.unique(piece.column("slot").to_numpy())
             at, first = np.unique(slots >> 16, return_index=True)
-            rows = []
-            for part in np.split(slots & 0xFFFF, first[1:]):
-                page = np.zeros(1 << 16, np.uint8)
-                page[part] = 1
-                rows.append(np.packbits(page, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rows if len(at) else [], pa.binary())],
-                                             names=["page", "bits"])
+            rows = [_page(part) for part in np.split(slots & 0xFFFF, first[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rows, pa.binary())], names=["page", "bits"])
 
     slots = hashes.select(slot.alias("slot")).distinct()
     slots = slots.repartitionByRange(16, "slot").sortWithinPartitions("slot")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in slots.mapInArrow(fold, "page long, bits binary").toLocalIterator():
-        out[row["page"] * 8192:(row["page"] + 1) * 8192] |= np.frombuffer(row["bits"], np.uint8)
-    return out.tobytes()
+    return _collected(slots.mapInArrow(fold, "page long, bits binary"), bits)
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -244,22 +324,15 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     context, folder = spark.sparkContext, shared_folder(spark)
     texts = need(docs, "doc_id", "text")
 
-    # Which n-grams does more than one document hold, and which so many that they come last in the order?
-    counts = (texts.mapInArrow(_low_grams(n), "gram long").groupBy("gram").agg(F.count("*").alias("n"))
-              .filter("n > 1"))
-    counts = staged(counts, "counts", folder)
-    shared = context.broadcast(_bitmap(counts, "gram", BITMAP_BITS))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(16, -(-total // MOST_COMMON))  # so many rows hold no more n-grams than the list may have
-    common = np.array([r["gram"] for r in counts.filter(F.col("n") >= least).select("gram").toLocalIterator()], np.int64)
-    common = context.broadcast(np.sort(common.view(np.uint64)).tobytes())
-
-    entries = staged(texts.mapInArrow(_entries(n, percent, common, shared), "gram long, node long, size long"),
-                     "entries", folder)
-    smallest = (entries.groupBy("gram").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("most"))
-                .filter("least.node < most").select("gram", F.col("least.node").alias("a"), F.col("least.size").alias("size_a")))
+    bitmap, common = (context.broadcast(b) for b in gram_counts(texts, n, folder))
+    rows = staged(texts.mapInArrow(_entries(n, percent, common, bitmap), "doc_id long, gram long, node long, size long, indexed boolean"),
+                  "entries", folder)
+    entries = rows.filter("gram is not null").select("gram", "node", "size", "indexed")
+    nodes = rows.filter("gram is null").select("doc_id", F.col("size").alias("n_shingles"), "node")
+    smallest = (entries.groupBy("gram").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("most"), F.bool_or("indexed").alias("indexed"))
+                .filter("least.node < most and indexed").select("gram", F.col("least.node").alias("a"), F.col("least.size").alias("size_a")))
     buckets = staged(entries.join(smallest, "gram").select("gram", "a", "size_a", F.col("node").alias("b"),
-                                                          F.col("size").alias("size_b")), "buckets", folder)
+                                                          F.col("size").alias("size_b"), "indexed"), "buckets", folder)
     stars = staged(buckets.filter("a <> b").filter(_near(percent)).select("a", "b", "size_a", "size_b").distinct(), "stars", folder)
     # Every node that can be in a pair: also those that no smallest node is near enough to.
     wanted = context.broadcast(_bitmap(buckets.select(F.shiftleft("b", 1).alias("node")), "node", NODE_BITS))
@@ -269,35 +342,62 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labels = component_labels(links, f"{folder}/first")
 
     # Buckets whose nodes are in more than one component by now.
-    member = (buckets.select("gram", F.col("b").alias("node"), F.col("size_b").alias("size")).distinct()
+    member = (buckets.select("gram", F.col("b").alias("node"), F.col("size_b").alias("size"), "indexed").distinct()
               .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     mixed = member.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     open_ones = staged(member.join(mixed.select("gram"), "gram"), "open", folder)
-    a = open_ones.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    b = open_ones.select("gram", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    rest = (a.join(b, "gram").filter("a < b and label_a <> label_b").filter(_near(percent))
-            .select("a", "b", "size_a", "size_b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    # The smaller of two linked sets holds their first common n-gram in its shorter prefix, so only such entries ask.
+    # Components of a bucket meet first, so that the many nodes of one never meet each other.
+    asking = open_ones.filter("indexed")
+    labels_a = asking.select("gram", F.col("label").alias("label_a")).distinct()
+    labels_b = open_ones.select("gram", F.col("label").alias("label_b")).distinct()
+    a = asking.select("gram", F.col("node").alias("m"), F.col("size").alias("size_m"), F.col("label").alias("label_a"))
+    b = open_ones.select("gram", F.col("node").alias("n"), F.col("size").alias("size_n"), F.col("label").alias("label_b"))
+    met = (labels_a.join(labels_b, "gram").filter("label_a <> label_b").join(a, ["gram", "label_a"]).join(b, ["gram", "label_b"])
+           .filter("size_m <= size_n").select(
+               F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"),
+               F.when(F.col("m") < F.col("n"), F.col("size_m")).otherwise(F.col("size_n")).alias("size_a"),
+               F.when(F.col("m") < F.col("n"), F.col("size_n")).otherwise(F.col("size_m")).alias("size_b")))
+    rest = met.filter(_near(percent)).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(rest, parts, percent)
     labels = component_labels(staged(links.unionByName(more), "all_links", folder), f"{folder}/second")
 
-    nodes = staged(texts.mapInArrow(_nodes(n), "doc_id long, n_shingles long, node long"), "nodes", folder)
     groups = (nodes.filter("node >= 0").groupBy("node").agg(F.min("doc_id").alias("least"))
               .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     named = groups.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = groups.select("node", "label").join(named, "label").select("node", "component_id")
-    return (nodes.join(of_node, "node", "left")
-            .select("doc_id", "n_shingles", "node",
-                    F.when(F.col("node") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    result = staged(nodes.join(of_node, "node", "left").select(
+        "doc_id", "n_shingles", "node",
+        F.when(F.col("node") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "groups")
+    for shared in (bitmap, common, wanted):
+        shared.destroy()
+    discard(spark, folder)
+    return result
 
 
 def query(docs: DataFrame) -> DataFrame:
     return jaccard_groups(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of every group: the one with the smallest ``doc_id``, once if the row is repeated. Documents without
     words or without an id all stay."""
     groups = jaccard_groups(docs, n, percent)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) + any_value(b.n) AS n, COUNT(*) AS o
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 100 * o >= 85 * (n - o) UNION ALL SELECT y, x FROM p WHERE 100 * o >= 85 * (n - o)),
+r AS (SELECT doc_id AS start, doc_id AS node FROM s UNION SELECT r.start, l.y FROM r JOIN l ON r.node = l.x)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, (SELECT MIN(node) FROM r WHERE r.start = s.doc_id) AS component_id FROM s
+"""

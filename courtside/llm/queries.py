@@ -62,4 +62,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_licenses, op3_jaccard_join, op4_pii, op5_sharding, op6_language_id, op7_top_k,
     op8_token_files, op9_secrets, op10_packing)}
-ORACLES: dict[str, str] = {"op7_top_k": topk.SQL}
+ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.SQL, "op7_top_k": topk.SQL, "op9_secrets": secrets.sql()}
