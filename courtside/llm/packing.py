@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import need, shared_folder, staged, width
+from courtside.llm.common import need, shared_folder, slices, staged, width
 from courtside.llm.tokens import ID, encoder
 
 LENGTH = 4096
@@ -73,9 +73,7 @@ def curve_keys(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _tokenise(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], ID).tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = [i + end for i in encoder(vocabulary).encode(batch.column("text").to_pylist())]
             lengths = np.array([len(i) // ID.itemsize for i in ids])
             keys = np.concatenate([curve_keys(np.frombuffer(b"".join(ids[a:a + 512]), ID), lengths[a:a + 512])
@@ -100,7 +98,7 @@ def _wide(data: bytes) -> np.ndarray:
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, line = None, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "ids")):
             rows = {name: [] for name in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             columns = [batch.column(c).to_pylist() for c in ("part", "part_start", "doc_id", "n", "ids")]
             for now, part_start, doc, n, ids in zip(*columns):

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHED_FIELDS = 800_000
+CACHED_FIELDS = 400_000
 KEPT_LENGTH = 12  # longer fields seldom come back
 ID = np.dtype("<u4")
 
@@ -52,6 +52,10 @@ class FieldEncoder:
         # The space belongs to the field after it, unless the pre-tokenizer removes white space.
         self.lead = "" if any(p.get("type") == "Split" and p.get("behavior") == "Removed" for p in parts) else " "
         self.normalise = self.library.normalizer.normalize_str if self.library.normalizer else str
+        # What the normaliser makes of ASCII letters: itself, or lower case, which then is done for a whole text at once.
+        letters = "AbCxYZ"
+        self.lower = self.normalise(letters) == letters.lower()
+        self.plain = self.lower or self.normalise(letters) == letters
         self.fields: dict[str, bytes] = {}
         self.line_break = self._library(["\n"])[0]
         self.runs: dict[str, bytes] = {}
@@ -61,7 +65,7 @@ class FieldEncoder:
 
     def _word(self, lead: str, word: str) -> bytes:
         """Ids of letters only: one piece, so the model's merges alone decide."""
-        word = lead + self.normalise(word)
+        word = lead + (self.normalise(word) if not self.plain or not word.isascii() else word.lower() if self.lower else word)
         piece = BYTE_LETTERS[32] * len(lead) + word[len(lead):] if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [t.id for t in self.merge(piece)]).tobytes()
 
@@ -72,6 +76,8 @@ class FieldEncoder:
         known, fresh, cut, whole = self.fields.get, set(), [], []
         for at, text in enumerate(texts):
             text = text or ""
+            if self.lower and text.isascii():
+                text = text.lower()
             head, *rest = text.split(" ")
             ids = list(map(known, rest))
             new = [f for f, i in zip(rest, ids) if i is None] if None in ids else []
