@@ -52,3 +52,20 @@ def test_index_fields_of_any_type(spark, tmp_path):
     got = {r["event"]: r for r in read_keyed_index(spark, f"file:{path}", ddl).collect()}
     assert got["1"]["m"] == {"k": "v", "w": None} and str(got["1"]["d"]) == "1.25" and got["1"]["s"]["b"] == [2, 3]
     assert got["2"]["d"] is None and got["2"]["present"] == ["d"]
+
+
+def test_pages_in_their_charset(spark, tmp_path):
+    from courtside.operators.html_pages import html_tables_to_matches
+    from courtside.sources.pages import read_pages
+    from tests.fixtures import page
+
+    html = page("男子", "1回戦", "MS+MS1001", 7, [("山田<br>太郎", "クラブ(東京)")], [("鈴木", "会社")], winner="山田 太郎")
+    (tmp_path / "ev 1").mkdir()
+    (tmp_path / "ev 1" / "12.shtml").write_bytes(html.encode("euc-jp"))
+    (tmp_path / "ev 1" / "notes.txt").write_bytes(b"x")
+    (row,) = read_pages(spark, str(tmp_path), "euc-jp").collect()
+    assert (row["event"], row["page_id"], row["html"]) == ("ev 1", 12, html)
+    (match,) = html_tables_to_matches(read_pages(spark, f"{tmp_path}/ev*", "euc-jp")).collect()
+    assert match["matchNumber"] == 7 and match["seq"] == 1 and match["competitors"][0]["players"][0]["org"] == "クラブ"
+    assert "�" in read_pages(spark, str(tmp_path), "ascii").first()["html"]
+    assert read_pages(spark, f"{tmp_path}/none").count() == 0
