@@ -15,6 +15,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # rows that a Python task and its executor hold at once
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     }.items():
         spark.conf.set(key, value)
     return spark
