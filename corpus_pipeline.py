@@ -7,30 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from courtside.llm import decontamination, jaccard, language_id, packing, pii
 from courtside.llm.common import shared_folder, staged, table
 from courtside.llm.queries import KEY, WORD_VOCABULARY
+from courtside.session import tune
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; fitted on the labelled rows among them."""
+    tune(spark)
     return language_id.accepted(docs, language_id.fit(language_id.training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word n-grams at 0.8."""
+    tune(spark)
     return jaccard.keep_first(docs).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a test item."""
+    tune(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates."""
+    tune(spark)
     return pii.pseudonymised(docs, KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their ids."""
+    tune(spark)
     return packing.pack(docs, WORD_VOCABULARY)
 
 

@@ -40,7 +40,7 @@ BITMAP_BITS = 27          # 16 MB, whatever the corpus
 NODE_BITS = 24            # 2 MB
 MOST_COMMON = 1 << 21     # entries of the common list at most
 LEAST_COMMON = 16         # documents that hold a common n-gram, at least
-RUN = 4 << 20             # n-grams a task adds up at once
+RUN = 1 << 20             # n-grams a task adds up at once
 FRAGMENTS = 8
 _BYTE = np.random.default_rng(3).integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

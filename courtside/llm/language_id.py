@@ -27,13 +27,13 @@ from courtside.llm.common import need, slices
 
 BITS = 13
 DIMS = 1 << BITS
-ROWS = 512  # texts whose counts are held at once
+ROWS = 256  # texts whose counts are held at once
 PER_LANGUAGE = 400
 MOST_LANGUAGES = 1000
 CLUSTERS = 4
 REJECT = 0.2  # share of the 1 % quantile of a cluster's own cosines below which a text is rejected
 FULL = 200    # n-grams from which on a text is judged by that; shorter ones are less like any centroid
-CHARS = 1 << 21
+CHARS = 1 << 18
 _PLANE = 0x3000  # letters up to here are looked up; rarer ones are asked one by one
 
 
