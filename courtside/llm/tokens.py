@@ -57,6 +57,7 @@ class FieldEncoder:
         self.lower = self.normalise(letters) == letters.lower()
         self.plain = self.lower or self.normalise(letters) == letters
         self.fields: dict[str, bytes] = {}
+        self.halves: dict[str, bytes] = {}  # words after a line break; no field of a text starts with white space
         self.line_break = self._library(["\n"])[0]
         self.runs: dict[str, bytes] = {}
 
@@ -71,8 +72,8 @@ class FieldEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; ``None`` counts as an empty text."""
-        if len(self.fields) > CACHED_FIELDS:
-            self.fields = {}
+        if len(self.fields) + len(self.halves) > CACHED_FIELDS:
+            self.fields, self.halves = {}, {}
         known, fresh, cut, whole = self.fields.get, set(), [], []
         for at, text in enumerate(texts):
             text = text or ""
@@ -104,7 +105,7 @@ class FieldEncoder:
     def _learn(self, fields: set[str]) -> dict[str, bytes]:
         """Ids of new fields; short ones are kept. Letters and a run of marks after them are always two pieces, and so
         are a single line break and what stands on either side of it."""
-        fresh, other, kept, runs, lead = {}, [], self.fields, self.runs, self.lead
+        fresh, halves, other, kept, runs, lead = {}, {}, [], self.fields, self.runs, self.lead
         for f in fields:
             line, broken, after = f.partition("\n")
             ids = b""
@@ -114,15 +115,16 @@ class FieldEncoder:
                 if not word.isalpha() or run and run not in runs and not self._run(run):
                     other.append(f)
                     break
-                key = word if space == lead else "\n" + word
-                known = kept.get(key) or fresh.get(key)
+                old, new = (kept, fresh) if space == lead else (self.halves, halves)
+                known = old.get(word) or new.get(word)
                 if known is None:
-                    known = fresh[key] = (b"" if space == lead else self.line_break) + self._word(space, word)
+                    known = new[word] = (b"" if space == lead else self.line_break) + self._word(space, word)
                 ids += known + runs[run] if run else known
             else:
                 fresh[f] = ids
         fresh.update(zip(other, self._library([lead + f for f in other])))
         kept.update((f, i) for f, i in fresh.items() if len(f) <= KEPT_LENGTH)
+        self.halves.update((w, i) for w, i in halves.items() if len(w) < KEPT_LENGTH)
         return fresh
 
     def _run(self, run: str) -> bytes:

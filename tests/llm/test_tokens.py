@@ -36,6 +36,14 @@ def test_any_text_gives_the_ids_of_the_library(texts):
         assert [np.frombuffer(i, ID).tolist() for i in encoder.encode(texts)] == expected
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_line_break_learnt_inside_a_field_is_no_field(path):
+    library, encoder = Tokenizer.from_file(path), FieldEncoder(path)
+    for texts in (["a x\nbar c"], ["foo \nbar", "foo \nbar c x\nbar", "\nbar", " \nbar"], ["bar \nx", "y\nbar x\nbar bar"]):
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, ID).tolist() for i in encoder.encode(texts)] == expected
+
+
 _PAIRS = {}
 
 
