@@ -2,15 +2,16 @@
 
 The test items are the collection. Every passage of every training text is a query and gets all items whose BM25 score
 is at least ``share`` of what the item scores against itself. A passage is two neighbouring strides of words, a stride
-being as long as the longest item, so each copy of an item lies in one passage whole.
+being as long as the longest item and a quarter, so each copy of an item, also with words put in, lies in one passage whole.
 
 *Block-max pruning.* Items are in blocks of ``BLOCK``; each term knows its highest share of score in each block. The
 terms of many items only count by the most they could give in a block. Where the sum of the maxima of a
 passage's terms stays below ``share``, no item of the block can reach it and none is scored. All others are scored
 exactly; nothing is cut to a number of hits.
 
-*Verification.* Question and answer (the last line of an item with several lines) must each have at least ``overlap``
-of their five-word n-grams in the passage; a shorter one counts as one n-gram.
+*Verification.* At least ``overlap`` of an item's distinct words and word pairs must be in the passage. One edit costs
+a word and two pairs, so an item of 8 words or more keeps enough; the pairs ask for the order. Where the last line of an
+item says that it is the answer, question and answer must each have their share.
 
 Contract. Words are runs of letters and digits, in lower case. Null and empty texts have no passages; null, empty and
 wordless items are never hit. Repeated documents are each reported; repeated items too, by their ids. An empty benchmark
@@ -19,6 +20,7 @@ leaves every text clean. Other columns stay as they are and are never read.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -34,7 +36,8 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 COMMON = 0.2          # terms in more than this share of the items only count by their bound
 INDEX_BYTES = 32 << 20  # of item text in one index; more items make more indexes
-GRAM = 5
+GRAM = 2             # longest run of words that verification compares
+ANSWER = re.compile(r"\s*(?:answer|a|antwort|respuesta|réponse|r)\s*[:：]", re.I)
 _HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -48,8 +51,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def grams(tokens: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
-    n = min(n, len(tokens))
-    return {tuple(tokens[i:i + n]) for i in range(len(tokens) - n + 1)} if n else set()
+    """All runs of up to ``n`` words."""
+    return {tuple(tokens[i:i + k]) for k in range(1, min(n, len(tokens)) + 1) for i in range(len(tokens) - k + 1)}
 
 
 class ItemIndex:
@@ -61,11 +64,13 @@ class ItemIndex:
         # Items of like length share a block, so that their maxima are close.
         rows = sorted((r for r in rows if r[2]), key=lambda r: (len(r[2]), r[2], r[0] is None, r[0]))
         self.items = [r[0] for r in rows]
-        self.stride = max((len(r[2]) for r in rows), default=1)
+        longest = max((len(r[2]) for r in rows), default=1)
+        self.stride = longest + longest // 4
         self.parts = []
         for _, text, tokens in rows:
             head, _, last = text.strip().rpartition("\n")
-            question, answer = (words(head), words(last)) if words(head) else (tokens, [])
+            sign = ANSWER.match(last)
+            question, answer = (words(head), words(last[sign.end():])) if sign and words(head) else (tokens, [])
             # A question and an answer have each their own n-grams; all are short, as items are.
             self.parts.append((grams(question), grams(answer), len(question), len(answer)))
         in_items = Counter(w for _, _, tokens in rows for w in set(tokens))
@@ -156,9 +161,7 @@ class ItemIndex:
 
     @staticmethod
     def _overlap(wanted: set, length: int, own: list[bytes]) -> float:
-        n = min(GRAM, length)
-        held = {tuple(own[j:j + n]) for j in range(len(own) - n + 1)}
-        return len(wanted & held) / len(wanted)
+        return len(wanted & grams(own, min(GRAM, length))) / len(wanted)
 
 
 def item_indexes(items: DataFrame, share: float, overlap: float) -> list:

@@ -47,6 +47,24 @@ def test_pruned_search_finds_what_all_pairs_find(share):
         assert got == [brute(index, t) for t in texts]
 
 
+def test_an_edited_copy_is_found():
+    rng = random.Random(5)
+    items = [(n, " ".join(f"v{rng.randrange(3000)}" for _ in range(n))) for n in range(15, 60)]
+    lines = [(n, text.replace(" ", "\n", 1)[::-1].replace(" ", "\n", 1)[::-1]) for n, text in items]  # a last line of one word
+    filler = " ".join(f"f{i}" for i in range(130)).split()
+    for index in (ItemIndex(items, 0.6, 0.8), ItemIndex(lines, 0.6, 0.8)):
+        for n, text in items:
+            copy = text.split()
+            for at in {1, n // 3, n // 2, n - 1}:
+                for new in (copy[:at] + ["other"] + copy[at + 1:], copy[:at] + copy[at + 1:], copy[:at] + ["other"] + copy[at:]):
+                    low = rng.randrange(131)
+                    assert n in {index.items[i] for i in index.hits([" ".join(filler[:low] + new + filler[low:])])[0]}
+            rng.shuffle(copy)
+            assert not index.hits([" ".join(copy)])[0]
+    asked = ItemIndex([(1, f"{items[20][1]}\nAnswer: seven")], 0.6, 0.8)
+    assert asked.hits([f"{items[20][1]} seven"])[0] and not asked.hits([f"{items[20][1]} eight"])[0]
+
+
 def test_report_and_filter_agree(spark):
     items, texts = items_and_texts(9)
     docs = spark.createDataFrame([(i if i != 3 else None, t, "en", i) for i, t in enumerate(texts)],
