@@ -32,14 +32,18 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Г-жа")
 HINT = r"[\p{Nd}@]|" + "|".join(MALE + FEMALE)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_DATE = r"\d\d[ ./-]\d\d[ ./-](?:19|20)\d\d(?!\d)|\d\d[./-]\d\d[./-]\d\d \d|\d\d\.\d\d ?- ?\d\d\.\d\d(?![.\d])"
 MENTION = re.compile("|".join((
     r"(?P<email>[\w.%+-]*[\w%+-]@[\w-]+(?:\.[\w-]+)+)",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
     rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d))",
     r"(?P<card>(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-    r"(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"
-    r"|(?<!\w)\+\d{8,15}(?!\w))",
+    # With a country code, with a trunk zero (dates and hours ruled out), in groups of three and four, nine digits in any groups.
+    r"(?P<phone>(?<!\w)\+\d(?:[ ()./-]{0,2}\d){7,14}(?!\w)"
+    rf"|(?<![\w.,/+-])(?!{_DATE})\(?00?[1-9](?:[ ()./-]{{0,2}}\d){{6,13}}(?!\w|[.,]\d)"
+    r"|(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w|,\d\d(?!\d))"
+    r"|(?<![\w.,/+-])(?=(?:\d[ .-]?){8}\d(?!\w|[ .,-]\d))[6-9]\d{1,2}(?:[ .-]\d{2,3}){3})",
     rf"(?P<name>\b(?:{'|'.join(MALE + FEMALE)})\b\.?(?: [^\W\d_a-z]\w+){{1,3}})",
 )))
 # Given names by script and gender.
@@ -123,7 +127,8 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
     if kind == "ssn":
         return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "phone":
-        code = (2 if entity[1] in "17" else 3) if entity.startswith("+") else 0
+        # Kept: the country code, or trunk zeros with the digit that makes them such, or the range of a nine-digit number.
+        code = (2 if entity[1] in "17" else 3) if entity.startswith("+") else len(entity) - len(entity.lstrip("0")) or int(len(entity) == 9)
         rest = len(entity) - code
         return entity[:code] + "".join(str(2 + s.below(8)) if i in (0, rest - 7) else str(s.below(10)) for i in range(rest))
     if kind == "card":

@@ -19,6 +19,19 @@ def test_mentions_and_what_is_none():
     assert kinds(None) == kinds("") == kinds("2024-10-12 at 10:30, 3.14, 1,000,000 and @home") == []
 
 
+def test_national_phones():
+    phones = ["01 42 68 53 00", "+33 1 42 68 53 00", "06.12.34.56.78", "+34 912 34 56 78", "912 34 56 78", "91 234 56 78", "0171 1234567",
+              "(030) 12 34 56 78", "+49 (0)30 123456", "089/12345678", "0612345678", "+442079460958", "0033 1 42 68 53"]
+    for phone in phones:
+        for text in (phone, f"Tel. {phone}, bis 17.00", f"({phone})."):
+            (kind, entity, start, end), = [m for m in mentions(text)]
+            assert kind == "phone" and entity.lstrip("+") == re.sub(r"\D", "", phone)
+            for counter in range(30):
+                new = replaced(text, {(kind, entity): surrogate(KEY, kind, entity, counter)})
+                assert kinds(new) == ["phone"] and len(new) == len(text) and re.sub(r"\d", "", new) == re.sub(r"\d", "", text)
+    assert kinds("05.12.2024 10:30, 05/12/2024, 05 12 2024, 05.12.24 10.30, 08.30-17.00, 2024-10-12 10:30, v10.12.3, 1 000 000,00, 12.345.678,90, 0.12345678") == []
+
+
 def test_surrogates_keep_kind_and_format():
     for counter in range(30):
         known = {(k, e): surrogate(KEY, k, e, counter) for k, e, _, _ in mentions(TEXT)}
