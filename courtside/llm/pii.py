@@ -63,6 +63,9 @@ def canonical(kind: str, mention: str) -> str:
         return ("+" if mention.startswith("+") else "") + re.sub(r"\D", "", mention)
     if kind == "iban":
         return mention.replace(" ", "")
+    if kind == "name":  # a form of address counts by its gender only
+        title, names = mention.split(" ", 1)
+        return ("Mr. " if title.rstrip(".") in MALE else "Ms. ") + names
     return mention.lower() if kind == "email" else mention
 
 
@@ -138,14 +141,14 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
     if kind == "iban":
         body = "".join(_like(c, s) for c in entity[4:])
         return f"{entity[:2]}{98 - _mod97(entity[:2], body):02d}{body}"
-    title, *names = re.split(r"(?<=\w)\.? ", entity)
-    gender = "m" if title in MALE else "f"
+    title, *names = entity.split(" ")
+    gender = "m" if title.rstrip(".") in MALE else "f"
     script = _script(names[0][0])
     given = GIVEN[script, gender]
     # A first of several names is a given name; the last, or the only one, is a family name.
     out = [given[s.below(len(given))] for _ in names[:-1]]
     out.append("".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2))).capitalize())
-    return " ".join([title + ("." if f"{title}." in entity else ""), *out])
+    return " ".join([title, *out])
 
 
 def written(kind: str, mention: str, new: str) -> str:
@@ -157,6 +160,8 @@ def written(kind: str, mention: str, new: str) -> str:
         if mention.isupper():
             return new.upper()
         return "".join(n.upper() if o.isupper() else n for o, n in zip(mention, new)) if len(mention) == len(new) else new
+    if kind == "name":
+        return mention.split(" ", 1)[0] + " " + new.split(" ", 1)[1]
     return new
 
 

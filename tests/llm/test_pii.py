@@ -32,6 +32,15 @@ def test_national_phones():
     assert kinds("05.12.2024 10:30, 05/12/2024, 05 12 2024, 05.12.24 10.30, 08.30-17.00, 2024-10-12 10:30, v10.12.3, 1 000 000,00, 12.345.678,90, 0.12345678") == []
 
 
+def test_a_name_is_one_entity_under_any_title_of_its_gender():
+    text = "Mr. Smith, Mr Smith, Herr Smith; Mrs Smith, Ms. Smith"
+    known = {(k, e): surrogate(KEY, k, e, 0) for k, e, _, _ in mentions(text)}
+    assert len(known) == 2
+    names = [m.split(" ") for m in re.split("[,;] ", replaced(text, known))]
+    assert [n[0] for n in names] == ["Mr.", "Mr", "Herr", "Mrs", "Ms."]
+    assert len({n[1] for n in names[:3]}) == len({n[1] for n in names[3:]}) == 1 and names[0][1] != "Smith"
+
+
 def test_surrogates_keep_kind_and_format():
     for counter in range(30):
         known = {(k, e): surrogate(KEY, k, e, counter) for k, e, _, _ in mentions(TEXT)}
