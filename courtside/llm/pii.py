@@ -56,6 +56,7 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to".split(),
              "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те".split()}
 ROUNDS = 64
+WIDEN = 8  # draws after which an address or a name gets one part longer
 
 
 def canonical(kind: str, mention: str) -> str:
@@ -121,8 +122,10 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
         # A domain is an entity of its own: addresses that share one share its surrogate.
         d = _Stream(key, "domain", domain)
         keep = labels[-1] if labels and labels[-1] == "example" else None
+        # Where short addresses are all taken, a longer one is free.
+        longer = "".join(chr(0x61 + s.below(26)) for _ in range(counter // WIDEN))
         named = ["".join(_like(c, d) for c in label) if label != keep else label for label in labels]
-        return "".join(_like(c, s) for c in local) + "@" + ".".join([*named, top])
+        return "".join(_like(c, s) for c in local) + longer + "@" + ".".join([*named, top])
     if kind == "ip":
         first = int(entity.split(".")[0])
         head = str(first) if first in (10, 127) else str(1 + s.below(223))
@@ -147,7 +150,7 @@ def surrogate(key: bytes, kind: str, entity: str, counter: int) -> str:
     given = GIVEN[script, gender]
     # A first of several names is a given name; the last, or the only one, is a family name.
     out = [given[s.below(len(given))] for _ in names[:-1]]
-    out.append("".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2))).capitalize())
+    out.append("".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2) + counter // WIDEN)).capitalize())
     return " ".join([title, *out])
 
 

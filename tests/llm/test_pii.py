@@ -92,5 +92,12 @@ def test_colliding_draws_are_drawn_again(spark, tmp_path, monkeypatch):
     assert len(got) == 32 and len(set(put)) == 32 and not {"7", "8"} & set(put)
 
 
+def test_a_full_space_is_widened(spark):
+    docs = spark.createDataFrame([(i, f"{i}@example.com") for i in range(10)], "doc_id long, text string")
+    new = {r["text"] for r in pseudonymised(docs, KEY).collect()}
+    assert len(new) == 10 and all(kinds(t) == ["email"] and t.endswith("@example.com") for t in new)
+    assert not new & {f"{i}@example.com" for i in range(10)}
+
+
 def test_empty_table(spark):
     assert pseudonymised(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
