@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from courtside.llm import (decontamination, jaccard, language_id, licenses, packing, pii, secrets, sharding, token_files,
-                           topk)
+                           topk, whitening)
 from courtside.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,7 +59,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_licenses, op3_jaccard_join, op4_pii, op5_sharding, op6_language_id, op7_top_k,
-    op8_token_files, op9_secrets, op10_packing)}
+    op8_token_files, op9_secrets, op10_packing, op11_whitening)}
 ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.SQL, "op7_top_k": topk.SQL, "op9_secrets": secrets.sql()}
