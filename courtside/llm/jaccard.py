@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from courtside.llm.common import discard, need, shared_folder, slices, staged, width
 from courtside.llm.components import component_labels
+from courtside.llm.hashing import follow, segment_hashes, segments
 
 BITMAP_BITS = 27          # 16 MB, whatever the corpus
 NODE_BITS = 24            # 2 MB
@@ -42,24 +43,6 @@ MOST_COMMON = 1 << 21     # entries of the common list at most
 LEAST_COMMON = 16         # documents that hold a common n-gram, at least
 RUN = 1 << 20             # n-grams a task adds up at once
 FRAGMENTS = 8
-_BYTE = np.random.default_rng(3).integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-_POWERS = np.multiply.accumulate(np.full(1 << 12, _STEP))
-
-
-def _powers(length: int) -> np.ndarray:
-    global _POWERS
-    if length > len(_POWERS):
-        _POWERS = np.multiply.accumulate(np.full(1 << length.bit_length(), _STEP))
-    return _POWERS
 
 
 def _space() -> np.ndarray:
@@ -75,17 +58,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word: maximal runs of bytes other than white space, A-Z in lower case."""
     raw = np.frombuffer(text.lower(), np.uint8)
     inside = ~_SPACE[raw]
-    edge = np.diff(inside, prepend=False, append=False)
-    edges = np.flatnonzero(edge)
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    letters = raw[inside]
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    sums = np.add.reduceat(_BYTE[letters] * _powers(int(lengths.max()))[place], first)
-    return _mix(sums + lengths.astype(np.uint64))
+    return segment_hashes(raw, inside, *segments(inside))
 
 
 def gram_set(text: str | None, n: int) -> np.ndarray:
@@ -96,7 +69,7 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     n = min(n, len(words))
     grams = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
-        grams = _mix(grams * _STEP + words[i:len(words) - n + 1 + i])
+        grams = follow(grams, words[i:len(words) - n + 1 + i])
     return np.unique(grams)
 
 
