@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtside.llm import (collocations, decontamination, jaccard, language_id, licenses, packing, pii, secrets, sharding, token_files,
+from courtside.llm import (chosen_path, collocations, decontamination, jaccard, language_id, licenses, packing, pii, secrets, sharding, token_files,
                            topk, whitening)
 from courtside.llm.common import shared_folder, table
 
@@ -63,12 +63,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.query(table(spark, sf_dir, "embeddings"))
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.query(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.query(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_licenses, op3_jaccard_join, op4_pii, op5_sharding, op6_language_id, op7_top_k,
-    op8_token_files, op9_secrets, op10_packing, op11_whitening, op13_collocations)}
+    op8_token_files, op9_secrets, op10_packing, op11_whitening, op12_near_duplicates, op13_collocations)}
 ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.SQL, "op7_top_k": topk.SQL, "op9_secrets": secrets.sql(),
                            "op13_collocations": collocations.SQL}
