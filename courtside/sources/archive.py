@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 from courtside import schema
 from courtside.operators.normalize import normalize_feed
+from courtside.sources.json_ranges import SPLIT_BYTES, json_records, large_files
 from courtside.sources.paths import present
 
 
-def _event() -> Column:
+def _event(path: str = "_metadata.file_name") -> Column:
     """The event a file is named after; Spark shows file names URL-encoded."""
-    return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    return F.url_decode(F.regexp_extract(F.col(path), r"([^/]*)\.json$", 1))
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ``<dir>/<event>.json`` files, feed items and normalised matches alike, in file order.
+def _read_arrays(spark: SparkSession, path: str, ddl: str, split_bytes: int) -> DataFrame:
+    """Elements of JSON arrays: a file of up to ``split_bytes`` is parsed by one task, a larger one by byte ranges."""
+    strict = {"mode": "FAILFAST"}
+    rows = spark.read.schema(ddl).option("multiLine", True).options(**strict).json(path)
+    large = large_files(spark, path, split_bytes)
+    if large:
+        rows = rows.filter(F.col("_metadata.file_size") <= split_bytes)
+    small = rows.select(_event().alias("event"), F.monotonically_increasing_id().alias("seq"), *rows.columns)
+    if not large:
+        return small
+    records = json_records(spark, large).select(_event("file").alias("event"), "seq", F.from_json("text", ddl, strict).alias("row"))
+    return small.unionByName(records.select("event", "seq", "row.*"))
 
-    Each file is parsed as a stream of array elements, so an archive of any length stays out of memory.
+
+def read_items(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Rows of ``<dir>/<event>.json`` files, feed items and normalised matches alike, in file order by ``seq``.
+
+    A file larger than ``split_bytes`` must hold an array; it is read by as many tasks as it has byte ranges, none of which
+    holds more than a record of it.
     """
-    rows = (spark.read.schema(schema.ARCHIVE_ROW).option("multiLine", True).option("mode", "FAILFAST").json(path))
-    return rows.select(_event().alias("event"), F.monotonically_increasing_id().alias("seq"),
-                       *rows.columns)
+    return _read_arrays(spark, path, schema.ARCHIVE_ROW, split_bytes)
 
 
 def read_match_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +46,9 @@ def read_match_archive(spark: SparkSession, path: str) -> DataFrame:
     return normalize_feed(read_items(spark, path))
 
 
-def read_events(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, ddl: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Rows of JSON files named after their event (daily feed, standings blocks, event descriptions)."""
-    rows = spark.read.schema(ddl).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select(_event().alias("event"),
-                       F.monotonically_increasing_id().alias("seq"), *rows.columns)
+    return _read_arrays(spark, path, ddl, split_bytes)
 
 
 def write_match_archive(matches: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
