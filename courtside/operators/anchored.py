@@ -2,9 +2,12 @@
 
 Whether an event opens a window depends on all events before it. Here time is cut into chunks. Inside a chunk the last
 window opened is a function of the first event that opens one, and equal outcomes are merged, so a chunk is summed up
-by a few (last entry, outcome) steps. Following the steps from chunk to chunk gives every chunk the window it starts
-in, and the chunks are then counted side by side. Spark sorts and spreads the rows by (key, chunk); a task reads its
-sorted rows as a stream and holds whole chunks, or one step of a key, at a time.
+by a few (last entry, outcome) steps. Such functions compose: the steps of ``FAN`` neighbouring chunks give those of one
+larger chunk, and so on for ``LEVELS`` levels. The few steps of the top are followed key by key; going down again, the
+window that a chunk starts in is handed to the chunks inside it, all of them side by side, and last the events are
+counted. Spark sorts and spreads the rows of each level by (key, chunk of the level above), so that a key with most of
+the rows is in as many tasks as it has such chunks; a task reads its sorted rows as a stream and holds whole chunks, or
+one step, at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from courtside.operators.keys import join_on
 
+FAN, LEVELS = 64, 2
 _STEP = "__key string, __chunk bigint, entry bigint, outcome bigint"
 
 
@@ -52,19 +56,18 @@ def _numbers(pdf: pd.DataFrame, starts) -> np.ndarray:
     return np.cumsum(marks) - 1
 
 
-def _following(at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Row of the same group that opens the next window if this row opens one, else the number of rows."""
-    base = at.min()
-    span = np.int64(at.max() - base + 2 * length + 2)
+def _following(at: np.ndarray, after: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """First row of the same group whose time is ``after`` or later, else the number of rows."""
+    base = min(at.min(), after.min())
+    span = np.int64(max(at.max(), after.max()) - base + 2)
     # one sorted axis for all groups of the piece: each group has its own stretch of it
     if span > (np.iinfo(np.int64).max - 1) // (int(group[-1]) + 1):
         out = np.empty(len(at), dtype=np.int64)
         for g in np.split(np.arange(len(at)), np.flatnonzero(np.diff(group)) + 1):
-            out[g] = g[0] + np.searchsorted(at[g], at[g] + length, side="left")
+            out[g] = g[0] + np.searchsorted(at[g], after[g], side="left")
             out[g[out[g] > g[-1]]] = len(at)
         return out
-    axis = group * span + (at - base)
-    out = np.searchsorted(axis, axis + length, side="left")
+    out = np.searchsorted(group * span + (at - base), group * span + (after - base), side="left")
     inside = out < len(at)
     inside[inside] = group[out[inside]] == group[inside]
     out[~inside] = len(at)
@@ -72,11 +75,12 @@ def _following(at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
 
 
 def _steps(length: int):
+    """Steps of each chunk, of its events or of the steps of the smaller chunks in it, sorted by entry."""
     def summarise(frames):
         for pdf, group in _whole_groups(frames):
-            at = pdf["__at"].to_numpy()
-            n = len(at)
-            last = np.append(_following(at, group, length), n)
+            entry, outcome = pdf["entry"].to_numpy(), pdf["outcome"].to_numpy()
+            n = len(entry)
+            last = np.append(_following(entry, outcome + length, group), n)
             last = np.where(last == n, np.arange(n + 1), last)
             # doubling the stride reaches the last window of the chunk from every row
             while True:
@@ -84,24 +88,27 @@ def _steps(length: int):
                 if np.array_equal(further, last):
                     break
                 last = further
-            outcome = at[last[:-1]]
+            outcome = outcome[last[:-1]]
             # rows that share their outcome share one step, named by its last row
             ends = np.append((outcome[1:] != outcome[:-1]) | (group[1:] != group[:-1]), True)
-            yield pd.DataFrame({"__key": pdf["__key"][ends], "__chunk": pdf["__chunk"][ends], "entry": at[ends],
+            yield pd.DataFrame({"__key": pdf["__key"][ends], "__chunk": pdf["__chunk"][ends], "entry": entry[ends],
                                 "outcome": outcome[ends]})
 
     return summarise
 
 
 def _follow(length: int):
+    """The window each chunk starts in; rows are sorted by (key, group, chunk, entry) and tell the one their group starts in."""
     def follow(frames):
-        key = chunk = anchor = None
+        at = chunk = anchor = None
         opened_here = False
         for pdf in frames:
             out = []
-            for k, c, entry, outcome in zip(pdf["__key"], pdf["__chunk"], pdf["entry"], pdf["outcome"]):
-                if k != key:
-                    key, chunk, anchor = k, None, None
+            starts = pdf["opened"].astype(object).where(pdf["opened"].notna(), None)
+            for k, g, c, entry, outcome, start in zip(pdf["__key"], pdf["__group"], pdf["__chunk"], pdf["entry"],
+                                                      pdf["outcome"], starts):
+                if at != (k, g):
+                    at, chunk, anchor = (k, g), None, None if start is None else int(start)
                 if c != chunk:
                     chunk, opened_here = c, False
                     out.append((k, c, anchor))
@@ -114,6 +121,20 @@ def _follow(length: int):
     return follow
 
 
+def _entered(steps: DataFrame, length: int, levels: int) -> DataFrame:
+    """(__key, __chunk, opened): the window that each chunk starts in, null for the first one of a key."""
+    grouped = steps.withColumn("__group", F.floor(F.col("__chunk") / F.lit(FAN)).cast("bigint"))
+    if levels:
+        larger = (grouped.select("__key", F.col("__group").alias("__chunk"), "entry", "outcome")
+                  .repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "entry").mapInPandas(_steps(length), _STEP))
+        above = _entered(larger, length, levels - 1).withColumnRenamed("__chunk", "__group")
+        rows = join_on(grouped, above, ["__key", "__group"], "inner", null_safe=False).repartition("__key", "__group")
+    else:
+        rows = grouped.withColumns({"__group": F.lit(0).cast("bigint"), "opened": F.lit(None).cast("bigint")}).repartition("__key")
+    return rows.sortWithinPartitions("__key", "__group", "__chunk", "entry").mapInPandas(
+        _follow(length), "__key string, __chunk bigint, opened bigint")
+
+
 def _count(length: int, columns: list[str]):
     def count(frames):
         for pdf, group in _whole_groups(frames):
@@ -123,7 +144,7 @@ def _count(length: int, columns: list[str]):
             entered = ~np.isnan(opened)
             opened = np.where(entered, pdf["opened"].fillna(0).to_numpy(dtype=np.int64), 0)
             carried = entered & (at < opened + length)
-            following = _following(at, group, length)
+            following = _following(at, at + length, group)
             # windows open at the first row of each group that the carried window does not hold, then at each end
             free = ~carried
             first = free & np.append(True, (group[1:] != group[:-1]) | carried[:-1])
@@ -153,10 +174,9 @@ def anchored_window_count(df: DataFrame, key: str, ts: str, tie: str, length_sec
     own = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
     slim = df.select(own.alias("__key"), at.alias("__at")).withColumn(
         "__chunk", F.floor(F.col("__at") / F.lit(width)).cast("bigint"))
-    distinct = slim.distinct().repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "__at")
-    steps = distinct.mapInPandas(_steps(length), _STEP)
-    entered = (steps.repartition("__key").sortWithinPartitions("__key", "__chunk", "entry")
-               .mapInPandas(_follow(length), "__key string, __chunk bigint, opened bigint"))
+    distinct = (slim.distinct().select("__key", "__chunk", F.col("__at").alias("entry"), F.col("__at").alias("outcome"))
+                .repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "entry"))
+    entered = _entered(distinct.mapInPandas(_steps(length), _STEP), length, LEVELS)
     # events that the carried window already counted lie between its start and the chunk
     open_windows = entered.filter("opened is not null").select(
         "__key", "opened", F.col("__chunk").alias("__entered"))

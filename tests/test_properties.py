@@ -69,8 +69,10 @@ def test_fold_keeps_what_a_loop_keeps(spark, seed):
     assert {g["k"]: g["i"] for g in got} == {k: v[1] for k, v in want.items()} and len(got) == len(want)
 
 
-@pytest.mark.parametrize("per_chunk", [2, 5, 64])
-def test_anchored_windows(spark, per_chunk):
+@pytest.mark.parametrize("per_chunk,fan,levels", [(2, 64, 2), (5, 64, 2), (64, 64, 2), (1, 2, 3), (2, 3, 2), (1, 4, 0)])
+def test_anchored_windows(spark, monkeypatch, per_chunk, fan, levels):
+    monkeypatch.setattr(anchored, "FAN", fan)
+    monkeypatch.setattr(anchored, "LEVELS", levels)
     r = random.Random(per_chunk)
     rows = [(r.choice(["hot", "hot", "a", "b", None]), i, r.randrange(0, 6000)) for i in range(500)]
     length, maximum = 100, 3
@@ -86,6 +88,28 @@ def test_anchored_windows(spark, per_chunk):
     assert {g["i"]: (g["window_start"], g["window_count"], g["over_limit"]) for g in got} == want
 
 
+def test_steps_of_a_hot_key_are_few_at_the_top(spark):
+    """Steps compose: a key of 20,000 events in 1,250 chunks is a handful of steps two levels up, and each group is its own."""
+    r = random.Random(8)
+    second = 1_000_000
+    times = sorted({r.randrange(0, 1_000_000) * second for _ in range(20_000)})
+    length, width = 100 * second, 800 * second
+    base = spark.createDataFrame([("khot", t // width, t, t) for t in times], anchored._STEP)
+    steps = base.repartition("__key", "__chunk").sortWithinPartitions("__key", "__chunk", "entry").mapInPandas(anchored._steps(length), anchored._STEP)
+    seen, start = {}, None
+    for t in times:
+        seen.setdefault(t // width, start)
+        if start is None or t - start >= length:
+            start = t
+    got = anchored._entered(steps, length, 2).collect()
+    assert {g["__chunk"]: g["opened"] for g in got} == seen and len(got) == len(seen)
+    top = steps
+    for _ in range(2):
+        top = (top.withColumn("__chunk", F.floor(F.col("__chunk") / anchored.FAN).cast("bigint")).repartition("__key", "__chunk")
+               .sortWithinPartitions("__key", "__chunk", "entry").mapInPandas(anchored._steps(length), anchored._STEP))
+    assert top.count() <= 8 < steps.count()
+
+
 @pytest.mark.parametrize("width", [1, 8, 64])
 def test_uncovered(spark, width):
     r = random.Random(width)
