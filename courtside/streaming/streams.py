@@ -6,8 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from courtside.functions.text import trim
@@ -17,6 +19,8 @@ from courtside.operators.stages import final_ok
 from courtside.session import checkpoint_location
 from courtside.sources.paths import present
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # the one that state with timers needs
+
 
 def latest_best(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Rows of the newest version of each event in a ``stream_latest_best`` table; None while it is empty."""
@@ -107,28 +111,83 @@ def stream_expire(snapshots: DataFrame, event: str, fetched_at: str, ttl_seconds
         GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_over_limit(events: DataFrame, key: str, ts: str, tie: str, length_seconds: int, maximum: int) -> DataFrame:
-    """ST4: W5 on a stream; the open window of a key is its state. Batches must arrive in time order."""
-    length = length_seconds * 1_000_000
-    columns = list(events.columns)
-
-    def step(_, frames, state: GroupState):
-        pdf = pd.concat(list(frames)).sort_values([ts, tie], kind="stable")
-        at = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
-        start, count = state.get if state.exists else (None, 0)
-        starts, counts = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
-        for i, t in enumerate(at):
-            if start is None or t - start >= length:
-                start, count = int(t), 0
-            count += 1
-            starts[i], counts[i] = start, count
-        state.update((int(start), int(count)))
-        yield pdf.assign(window_start=starts, window_count=counts, over_limit=counts > maximum)
+class _OverLimit(StatefulProcessor):
+    """The open window of a key, and its events that the watermark has not reached.
+
+    An event counts once the watermark has passed it, for then nothing earlier can come; a timer at the earliest event that
+    waits brings it about. A last timer at the end of the window removes the key.
+    """
 
+    def __init__(self, ts: str, tie: str, length: int, maximum: int):
+        self.ts, self.tie, self.length, self.maximum = ts, tie, length, maximum
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start bigint, count bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def _at(self, pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+
+    def _keep(self, pdf: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(pdf, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-int(micros) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList([(self._keep(pdf),)])
+                self._wake(self._at(pdf).min())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        frames = [pa.ipc.open_stream(r[0]).read_pandas() for r in self.waiting.get()] if self.waiting.exists() else []
+        start, count = self.window.get() if self.window.exists() else (None, 0)
+        if frames:
+            pdf = pd.concat(frames, ignore_index=True).sort_values([self.ts, self.tie], kind="stable", ignore_index=True)
+            ready = int(np.searchsorted(self._at(pdf), reached, side="right"))
+            if ready or len(frames) > 1:
+                self.waiting.clear()
+                if ready < len(pdf):
+                    self.waiting.put([(self._keep(pdf.iloc[ready:]),)])
+                    self._wake(self._at(pdf)[ready])
+            if ready:
+                pdf = pdf.iloc[:ready]
+                starts, counts = np.empty(ready, dtype=np.int64), np.empty(ready, dtype=np.int64)
+                at, first = self._at(pdf), 0
+                while first < ready:
+                    if start is None or at[first] - start >= self.length:
+                        start, count = int(at[first]), 0
+                    end = int(np.searchsorted(at, start + self.length, side="left"))
+                    starts[first:end], counts[first:end] = start, count + 1 + np.arange(end - first)
+                    first, count = end, count + end - first
+                self.window.update((start, count))
+                self._wake(start + self.length)
+                yield pdf.assign(window_start=starts, window_count=counts, over_limit=counts > self.maximum)
+        if start is not None and reached >= start + self.length:
+            self.window.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_over_limit(events: DataFrame, key: str, ts: str, tie: str, length_seconds: int, maximum: int,
+                      delay: str = "0 seconds") -> DataFrame:
+    """ST4: W5 on a stream. Events may come out of order within ``delay``; each is given out once the watermark has passed it,
+    later ones are dropped. What is kept of a key goes when the watermark passes the end of its window."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes)
-    return events.select(*columns).groupBy(key).applyInPandasWithState(
-        step, f"{schema}, window_start bigint, window_count bigint, over_limit boolean",
-        "window_start bigint, window_count bigint", "append", GroupStateTimeout.NoTimeout)
+    processor = _OverLimit(ts, tie, length_seconds * 1_000_000, maximum)
+    return events.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
+        processor, f"{schema}, window_start bigint, window_count bigint, over_limit boolean", "Append", "EventTime")
 
 
 def stream_category_finals(matches: DataFrame, category: Column, ok: Column | None = None) -> DataFrame:

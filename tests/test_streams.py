@@ -35,12 +35,33 @@ def test_dedupe(spark, parts, tmp_path):
     assert got.count() == got.distinct().count() == events.select("event_type", F.col("event_id") % 7).distinct().count()
 
 
-def test_over_limit_equals_batch(spark, parts, tmp_path):
-    events, stream = parts
-    to_memory(streams.stream_over_limit(stream.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600, 3), "limited", tmp_path)
-    batch = anchored.anchored_window_count(events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600, 3)
+@pytest.fixture
+def disordered(spark, tmp_path):
+    """Events in files by time, each moved by up to two hours, then one that moves the watermark past all others."""
+    events = spark.read.parquet(EVENTS).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts")
+    order = F.unix_seconds("ts") + F.pmod(F.hash("event_id"), F.lit(7200))
+    low, high = events.agg(F.min(order), F.max(order)).first()
+    last = spark.createDataFrame([(-1, -1)], "event_id long, user_id long").select("event_id", "user_id", F.lit("2100-01-01").cast("timestamp").alias("ts"))
+    parts = 5
+    for i in range(parts):
+        share = F.floor((order - low) / F.lit((high - low + 1) / parts))
+        events.filter(share == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return events, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_over_limit_equals_batch(spark, disordered, tmp_path):
+    """Out of order within the watermark, the stream gives what the batch gives, and its state goes."""
+    events, stream = disordered
+    out = streams.stream_over_limit(stream, "user_id", "ts", "event_id", 6 * 3600, 3, "2 hours")
+    writer = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp_limited"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = anchored.anchored_window_count(events, "user_id", "ts", "event_id", 6 * 3600, 3)
     columns = ["event_id", "window_start", "window_count", "over_limit"]
-    assert sorted(map(tuple, spark.table("limited").select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    assert sorted(map(tuple, spark.table("limited").filter("event_id >= 0").select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) > 10 and kept[-1] <= 4, kept  # the last event waits alone, with its timer
 
 
 def test_expire_equals_batch(spark, parts, tmp_path):
