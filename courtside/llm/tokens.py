@@ -64,9 +64,12 @@ class FieldEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=ID).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _normal(self, word: str) -> str:
+        return self.normalise(word) if not self.plain or not word.isascii() else word.lower() if self.lower else word
+
     def _word(self, lead: str, word: str) -> bytes:
-        """Ids of letters only: one piece, so the model's merges alone decide."""
-        word = lead + (self.normalise(word) if not self.plain or not word.isascii() else word.lower() if self.lower else word)
+        """Ids of normalised letters only: one piece, so the model's merges alone decide."""
+        word = lead + word
         piece = BYTE_LETTERS[32] * len(lead) + word[len(lead):] if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [t.id for t in self.merge(piece)]).tobytes()
 
@@ -118,7 +121,11 @@ class FieldEncoder:
                 old, new = (kept, fresh) if space == lead else (self.halves, halves)
                 known = old.get(word) or new.get(word)
                 if known is None:
-                    known = new[word] = (b"" if space == lead else self.line_break) + self._word(space, word)
+                    normal = self._normal(word)
+                    if not normal.isalpha():  # a letter that became a letter and a mark
+                        other.append(f)
+                        break
+                    known = new[word] = (b"" if space == lead else self.line_break) + self._word(space, normal)
                 ids += known + runs[run] if run else known
             else:
                 fresh[f] = ids

@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -65,6 +66,18 @@ def test_blocks_come_back(blocks):
 ROWS = [(5, "one two three"), (1, None), (3, ""), (3, "b"), (3, "b"), (None, "no id"), (2, "long " * 20000), (9, "x\ny")]
 
 
+@pytest.mark.parametrize("vocabulary", [BYTE, WORD])
+def test_every_letter_and_mark_of_unicode(vocabulary):
+    """Lower-casing or composing may turn a letter into a letter and a mark, which the vocabulary's splitter parts."""
+    library, own = Tokenizer.from_file(vocabulary), FieldEncoder(vocabulary)
+    signs = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM" and not 0xAC50 < c < 0xD7A0 and not 0x4F00 < c < 0x9F00]
+    texts = [f"x {c} y {c}a b{c}c. z\n{c} {c}" for c in signs] + ["x İstanbul y İSTANBUL. x", "x क़ y", "x שׁ y"]
+    for start in range(0, len(texts), 5000):
+        part = texts[start:start + 5000]
+        wanted = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(i, ID).tolist() for i in own.encode(part)] == wanted
+
+
 def test_files_hold_all_ids_in_order(spark, tmp_path):
     library = Tokenizer.from_file(BYTE)
     docs = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, text string, words string").repartition(3)
