@@ -13,9 +13,11 @@
    component that is too large; there all overlaps are counted, by products of the incidence of shared shingles, and the links
    leave as a forest. So no pair is ever written, and every link is confirmed on full sets.
 
-Recall. A pair at the threshold parts on the first level in all trees with probability ``(1 - s) ** (2 * TREES)``, 7e-14 at 0.85;
-in a tree of L more levels it survives with at least ``0.97 * 0.88 ** (L - 1)``, so at three further levels more than 1 - 1e-4 are
-found in 8 trees; sketches lose fewer than 1e-5. Links that other links imply need not be found themselves.
+Recall. A root has two children for each tree, a deeper tree node ``1 / s`` on average, the rate at which pairs below the threshold
+``s`` grow fewer with each level. A pair at 0.85 is together in a child of the root with probability 0.85 and stays so on each
+further level with 0.87: over the 16 children all but 1e-13 of such pairs meet in a leaf of the first level, all but 1e-9, 1e-7 and
+2e-6 in leaves of the next three, and 0.98 in those of the eleventh. Sketches lose fewer than 1e-5. Links that other links imply
+need not be found themselves.
 
 Contract. Null and empty texts have empty sets, are linked with nothing and kept. Repeated rows are equal sets; rows that share the least
 ``doc_id`` of a component are all kept. A null ``doc_id`` takes part but names a component only if no other row does; it is kept
@@ -36,6 +38,7 @@ from courtside.llm.common import discard, need, shared_folder, slices, staged
 from courtside.llm.components import component_labels
 from courtside.llm.hashing import STEP, mix
 from courtside.llm.jaccard import _bitmap, _has, gram_set
+from courtside.llm.overlaps import add_overlaps, groups, near_pairs, sorted_runs, united
 
 T = 64                 # minwise tokens
 TREES = 8
@@ -45,7 +48,6 @@ DEEPEST = 10
 MARGIN = 4.75
 GROUP = 512            # rows of a component that is confirmed as a whole
 WANTED_BITS = 24
-COLUMNS = 8192         # shared shingles in one product
 _RANDOM = np.random.default_rng(12)
 _TIMES = _RANDOM.integers(1, 2 ** 63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RANDOM.integers(0, 2 ** 64, T, dtype=np.uint64)
@@ -83,8 +85,10 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, T)
 
 
-def _branched(level: int):
-    """The children of each row: two tokens on the first two levels, then one, and one more with probability a quarter."""
+def _branched(level: int, percent: int):
+    """The children of each row: two tokens at the roots, further down one and another so often that ``100 / percent`` are chosen."""
+    second = np.uint64(min(100 / percent - 1, 1) * (1 << 32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, node, size = _tokens(batch.column("sketch")), batch.column("node").to_numpy(), batch.column("size").to_numpy()
@@ -96,7 +100,7 @@ def _branched(level: int):
                 paths = batch.column("path").to_numpy().view(np.uint64)
             for choice in range(2):
                 hashed = mix(paths + np.uint64(choice + 1))
-                some = np.ones(len(paths), bool) if choice == 0 or level <= 2 else hashed >> np.uint64(62) == 0
+                some = np.ones(len(paths), bool) if choice == 0 or level == 1 else hashed >> np.uint64(32) < second
                 which = (hashed[some] % np.uint64(T)).astype(np.int64)
                 child = mix(hashed[some] * STEP + tokens[rows[some], which]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(node[rows[some]]), pa.array(size[rows[some]])],
@@ -113,48 +117,17 @@ def _blocks(members: DataFrame, large: DataFrame) -> DataFrame:
     return other.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "node", "size")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Batches of a sorted input, cut where the key changes: no key is in two of them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy()
-        edge = int(np.searchsorted(keys, keys[-1]))     # where the last key begins
-        if held and held[-1].column(key)[-1].as_py() != keys[0] or edge:
-            yield pa.concat_batches([*held, batch.slice(0, edge)])
-            held = []
-        held.append(batch.slice(edge))
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _united(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place linked with each."""
-    label = np.arange(count)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 def _alike(percent: int):
     """Leaves of trees: the rows that are like another of their leaf, with the least row of their cluster."""
     share = percent / 100
     least = T * share - MARGIN * (T * share * (1 - share)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaves in _runs(batches, "path"):
+        for leaves in sorted_runs(batches, "path"):
             paths, node, size = (leaves.column(c).to_numpy() for c in ("path", "node", "size"))
             tokens = _tokens(leaves.column("sketch")).astype(np.uint8)  # a byte of each is enough for leaves
-            edges = np.append(np.flatnonzero(np.diff(paths, prepend=paths[0] ^ 1)), len(paths))
             found_a, found_b = [], []
-            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            for start, end in groups(paths):
                 for at in range(start, end - 1):
                     after = slice(at + 1, end)
                     near = (tokens[after] == tokens[at]).sum(1) >= least
@@ -166,7 +139,7 @@ def _alike(percent: int):
             if not found_a:
                 continue
             a, b = np.concatenate(found_a), np.concatenate(found_b)
-            label, some = _united(len(node), a, b), np.unique(np.concatenate([a, b]))
+            label, some = united(len(node), a, b), np.unique(np.concatenate([a, b]))
             yield pa.RecordBatch.from_arrays([pa.array(paths[some]), pa.array(node[some]), pa.array(node[label[some]])],
                                              names=["path", "node", "root"])
     return run
@@ -191,13 +164,12 @@ def _sets(n: int, wanted):
 def _linked(percent: int):
     """The links within each group of rows, on full sets, as a forest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in _runs(batches, "key"):
-            keys, node = groups.column("key").to_numpy(), groups.column("node").to_numpy()
-            edges = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0] ^ 1)), len(keys))
+        for leaves in sorted_runs(batches, "key"):
+            keys, node = leaves.column("key").to_numpy(), leaves.column("node").to_numpy()
             out_a, out_b = [], []
-            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                sets = [np.frombuffer(g, "<u8") for g in groups.column("grams").slice(start, end - start).to_pylist()]
-                label = _united(len(sets), *_links(sets, percent))
+            for start, end in groups(keys):
+                sets = [np.frombuffer(g, "<u8") for g in leaves.column("grams").slice(start, end - start).to_pylist()]
+                label = united(len(sets), *_links(sets, percent))
                 moved = np.flatnonzero(label != np.arange(len(sets)))
                 out_a.append(node[start + label[moved]])
                 out_b.append(node[start + moved])
@@ -207,24 +179,9 @@ def _linked(percent: int):
 
 def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of sets that are near enough."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if len(sets) == 2:
-        overlap = np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)))
-    else:
-        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        several = held[column] > 1                      # a shingle of one set is in no overlap
-        row, column = row[several], (np.cumsum(held > 1) - 1)[column[several]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        overlap = np.zeros((len(sets), len(sets)), np.int64)
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
-            there = np.zeros((len(sets), COLUMNS), np.float32)
-            there[row[part], column[part] - start] = 1
-            overlap += (there @ there.T).astype(np.int64)
-    near = 100 * overlap >= percent * (sizes[:, None] + sizes - overlap)
-    return np.nonzero(np.triu(near, 1))
+    total = np.zeros((len(sets), len(sets)), np.int32)
+    add_overlaps(total, sets)
+    return near_pairs(total, np.array([len(s) for s in sets], np.int64), percent)
 
 
 def _by_key(df: DataFrame, key: str) -> DataFrame:
@@ -239,7 +196,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
     rows = staged(texts.mapInArrow(_sketched(n, percent), "doc_id long, node long, size long, sketch binary"), "rows", folder)
     nodes = staged(rows.filter("sketch is not null").select("node", "size", "sketch").dropDuplicates(["node"]), "nodes", folder)
 
-    members = nodes.mapInArrow(_branched(1), "path long, node long, size long")
+    members = nodes.mapInArrow(_branched(1, percent), "path long, node long, size long")
     clusters, level = None, 1
     while True:
         members = staged(members, f"members_{level}", folder)
@@ -256,7 +213,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
             members = _blocks(members, large)
         else:
             more = members.join(large.select("path"), "path").join(nodes.select("node", "sketch"), "node")
-            members = more.mapInArrow(_branched(level + 1), "path long, node long, size long")
+            members = more.mapInArrow(_branched(level + 1, percent), "path long, node long, size long")
         level += 1
 
     near = component_labels(clusters.select(F.col("root").alias("a"), F.col("node").alias("b")), f"{folder}/near")
@@ -270,10 +227,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
     links = _by_key(keys.join(sets, "node"), "key").mapInArrow(_linked(percent), "a long, b long")
     labels = component_labels(staged(links, "links", folder), f"{folder}/linked")
 
-    groups = (rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named_by = (rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
               .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    named = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = groups.select("node", "label").join(named, "label").select("node", "component_id")
+    named = named_by.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_node = named_by.select("node", "label").join(named, "label").select("node", "component_id")
     result = staged(rows.select("doc_id", "node", F.col("size").alias("n_shingles")).join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "groups")
     wanted.destroy()

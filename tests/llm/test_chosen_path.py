@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from courtside.llm import chosen_path
+from courtside.llm import chosen_path, overlaps
 from courtside.llm.jaccard import gram_set
 from tests.llm.test_jaccard import brute, corpus, got
 
@@ -72,13 +72,13 @@ def test_runs_never_part_a_key():
         cuts = sorted(rng.sample(range(len(keys) + 1), min(3, len(keys))))
         batches = [pa.RecordBatch.from_pydict({"key": pa.array(part, pa.int64())})
                    for part in (keys[a:b] for a, b in zip([0, *cuts], [*cuts, len(keys)]))]
-        out = [b.column("key").to_pylist() for b in chosen_path._runs(iter(batches), "key")]
+        out = [b.column("key").to_pylist() for b in overlaps.sorted_runs(iter(batches), "key")]
         assert [k for part in out for k in part] == keys and all(out)
         assert sum(len(set(part)) for part in out) == len(set(keys))
 
 
 def test_links_in_several_products(monkeypatch):
-    monkeypatch.setattr(chosen_path, "COLUMNS", 7)
+    monkeypatch.setattr(overlaps, "COLUMNS", 7)
     rng = random.Random(5)
     for _ in range(30):
         pool = rng.sample(range(10 ** 6), 60)
