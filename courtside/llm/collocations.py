@@ -6,11 +6,12 @@
    counts a phrase too many, never one too few.
 3. *Failures.* Phrases of the border that turn out frequent join the proposals; an expansion pass counts what this makes
    new in the border, and so on until no border phrase fails. Every phrase is counted whole in one of the passes.
-4. *Phrases.* A last pass writes the frequent phrases out and names their parts; cuts, scores and containment are joins of
-   these tables.
+4. *Scores.* A counted pair carries the names of its words, a triple those of its first pair and its last word. So cuts, scores and
+   containment are joins of the counts. A last pass writes out in words what reaches the rank of the last row asked for, ties
+   included; the words then decide among these.
 
-Counts travel as sorted runs of 64-bit names, one row for each flush of a task and range of names, added up range by range. The
-number of ranges follows the bytes of the texts. Frequent phrases only become rows.
+Counts travel as runs of 64-bit names, one row for each flush of a task, language and range of names, added up range by range. The
+number of ranges follows the bytes of the texts. Only frequent phrases become rows.
 
 Contract. Null and empty texts have no words, a null ``lang`` is ``und``; a literal ``und`` is the same. Repeated rows count each time.
 Equal scores and counts are told apart by the phrase. A language without a candidate, as an empty table, gives no rows. No phrase
@@ -28,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import discard, need, shared_folder, slices, staged
+from courtside.llm.common import discard, need, shared_folder, slices, staged, trim
 from courtside.llm.hashing import follow, mix, segment_hashes, segments
 from courtside.llm.jaccard import _bitmap, _has
 
 BITS = 26               # 8 MB a bitmap, whatever the corpus
-RUN = 1 << 22           # names a task adds up at once
-RANGE_BYTES = 1 << 25   # of text for each range of names
+RUN = 1 << 21           # names a task adds up at once
+RANGE_BYTES = 1 << 24   # of text for each range of names
 LEAST_RANGES = 16
 SEEN = 1 << 20          # phrases a task remembers to have written out
 SAMPLE, SAMPLE_LEAST = 4, 2
@@ -92,66 +93,86 @@ def _eligible(words: _Words, ones: bytes, twos: bytes) -> tuple[np.ndarray, np.n
     return known[words.pairs] & known[words.pairs + 1], pair[words.first] & pair[words.first + 1]
 
 
+_RUNS = "part long, lang string, left binary, right binary, counts binary"
+_COUNTS = "lang string, size int, key long, left long, right long, n long"
+
+
 def _counted(ranges: int, now, before, sample: bool):
-    """Runs of names. ``now`` and ``before``: bitmaps of proposed words and pairs; what was eligible before is counted already."""
-    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        parts, keys, counts = [], [], []
-        for size, arrays in enumerate(held):
-            if not arrays:
-                continue
-            found, n = np.unique(np.concatenate(arrays), return_counts=True)
+    """Runs of names, as left and right part of each phrase. ``now`` and ``before``: bitmaps of proposed words and pairs; what was
+    eligible before is counted already."""
+    def flush(held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for (lang, size), arrays in held.items():
+            left, right = (np.concatenate(side) for side in zip(*arrays))
+            found, first, n = np.unique(left if size == 0 else follow(left, right), return_index=True, return_counts=True)
             part = ((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             edges = np.append(np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 40))), len(found))
             for a, b in zip(edges[:-1], edges[1:]):
-                parts.append(size * ranges + int(part[a]))
-                keys.append(found[a:b].astype("<u8").tobytes())
-                counts.append(n[a:b].astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
-                                          names=["part", "keys", "counts"])
+                order = a + np.argsort(n[a:b] > 1, kind="stable")  # what occurs once needs no count
+                rows.append((size * ranges + int(part[a]), lang, left[first[order]].astype("<u8").tobytes(),
+                             right[first[order]].astype("<u8").tobytes() if size else b"", n[order][n[order] > 1].astype("<u4").tobytes()))
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                          names=["part", "lang", "left", "right", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [[], [], []], 0
-        for _, words in _by_language(batches):
+        held, size = {}, 0
+        for lang, words in _by_language(batches):
+            one, two, pairs, first = words.one, words.two, words.pairs, words.first
             if sample:
-                new = [words.one, words.two]
+                some = [np.ones(len(one), bool), np.ones(len(two), bool), np.zeros(len(first), bool)]
             else:
-                pair, triple = _eligible(words, *now.value)
-                if before is None:
-                    new = [words.one, words.two[pair], words.three[triple]]
-                else:
-                    old_pair, old_triple = _eligible(words, *before.value)
-                    new = [words.one[:0], words.two[pair & ~old_pair], words.three[triple & ~old_triple]]
-            for place, keys in enumerate(new):
-                if len(keys):
-                    held[place].append(keys)
-                    size += len(keys)
+                some = [np.full(len(one), before is None), *_eligible(words, *now.value)]
+                if before is not None:
+                    some[1:] = [new & ~old for new, old in zip(some[1:], _eligible(words, *before.value))]
+            new = [(one[some[0]], one[some[0]]), (one[pairs[some[1]]], one[pairs[some[1]] + 1]),
+                   (two[first[some[2]]], one[pairs[first[some[2]]] + 2])]
+            for place, sides in enumerate(new):
+                if len(sides[0]):
+                    held.setdefault((lang, place), []).append(sides)
+                    size += len(sides[0])
             if size >= RUN:
                 yield flush(held)
-                held, size = [[], [], []], 0
+                held, size = {}, 0
         if size:
             yield flush(held)
+        trim()
     return run
 
 
 def _added(ranges: int, least: int):
+    """The frequent phrases of one range and language, and a row without a key of the number of words in it."""
     def run(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, "<u8") for k in rows.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows.column("counts").to_pylist()]).astype(np.int64)
+        size = rows.column("part")[0].as_py() // ranges + 1
+        left, right, n = [], [], []
+        for a, b, counts in zip(*(rows.column(c).to_pylist() for c in ("left", "right", "counts"))):
+            left.append(np.frombuffer(a, "<u8"))
+            right.append(np.frombuffer(b, "<u8") if size > 1 else left[-1])
+            several = np.frombuffer(counts, "<u4")
+            n.append(np.append(np.ones(len(left[-1]) - len(several), np.int64), several.astype(np.int64)))
+        left, right, n = np.concatenate(left), np.concatenate(right), np.concatenate(n)
+        keys = left if size == 1 else follow(left, right)
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        total = np.add.reduceat(counts, starts)
+        starts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        total = np.add.reduceat(n[order], starts)
         held = total >= least
-        size = rows.column("part")[0].as_py() // ranges + 1
-        return pa.table({"key": pa.array(keys[starts][held].view(np.int64)), "n": pa.array(total[held]),
-                         "size": pa.array(np.full(held.sum(), size), pa.int32())})
+        at = order[starts[held]]
+        more = [int(n.sum())] if size == 1 else []
+        found = len(at) + len(more)
+
+        def column(values: np.ndarray) -> pa.Array:
+            return pa.concat_arrays([pa.array(values.view(np.int64)), pa.nulls(len(more), pa.int64())])
+
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * found, pa.string()),
+                         "size": pa.array([size] * len(at) + [0] * len(more), pa.int32()), "key": column(keys[at]),
+                         "left": column(left[at]), "right": column(right[at]), "n": pa.array(total[held].tolist() + more, pa.int64())})
     return run
 
 
 def _count(texts: DataFrame, ranges: int, least: int, folder: str, name: str, now=None, before=None) -> DataFrame:
-    """(key, n, size) of the phrases that one pass counts and that occur often enough."""
-    runs = texts.mapInArrow(_counted(ranges, now, before, now is None), "part long, keys binary, counts binary")
-    return staged(runs.groupBy("part").applyInArrow(_added(ranges, least), "key long, n long, size int"), name, folder)
+    """The phrases that one pass counts and that occur often enough."""
+    runs = texts.mapInArrow(_counted(ranges, now, before, now is None), _RUNS)
+    return staged(runs.groupBy("part", "lang").applyInArrow(_added(ranges, least), _COUNTS), name, folder)
 
 
 def _proposed(counts: DataFrame, old: tuple[bytes, bytes] | None) -> tuple[bytes, bytes]:
@@ -162,53 +183,30 @@ def _proposed(counts: DataFrame, old: tuple[bytes, bytes] | None) -> tuple[bytes
     return new[0], new[1]
 
 
-_FOUND = "lang string, n long, key long, size int, phrase string, cuts array<struct<k:int,left:long,right:long>>"
-_CUT = pa.list_(pa.struct([("k", pa.int32()), ("left", pa.int64()), ("right", pa.int64())]))
-
-
-def _written(frequent):
-    """The frequent pairs and triples in words, once a task or so, and the words of each language counted."""
+def _written(chosen):
+    """(key, phrase) of the pairs and triples of a bitmap, about once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three = (np.frombuffer(b, np.uint8) for b in frequent.value)
-        totals: dict[str, int] = {}
-        seen = np.zeros(0, np.uint64)
-        for lang, words in _by_language(batches):
-            totals[lang] = totals.get(lang, 0) + len(words.one)
-            keys, sizes, phrases, cuts = [], [], [], []
-            signed = [k.view(np.int64) for k in (words.one, words.two)]
-            for size, names, bitmap in ((2, words.two, two), (3, words.three, three)):
+        bitmap, seen = np.frombuffer(chosen.value, np.uint8), np.zeros(0, np.uint64)
+        for _, words in _by_language(batches):
+            keys, phrases = [], []
+            for size, names in ((2, words.two), (3, words.three)):
                 there = np.flatnonzero(_has(bitmap, BITS, names))
                 found, first = np.unique(names[there], return_index=True)
-                new = ~np.isin(found, seen, assume_unique=True)
+                new = ~np.isin(found, seen)
                 seen = np.concatenate([seen, found[new]])
-                for key, at in zip(found[new].view(np.int64).tolist(), there[first[new]].tolist()):
-                    pair = at if size == 2 else int(words.first[at])
-                    place = int(words.pairs[pair])
-                    cut = [(1, int(signed[0][place]), int(signed[0][place + 1] if size == 2 else signed[1][pair + 1]))]
-                    if size == 3:
-                        cut.append((2, int(signed[1][pair]), int(signed[0][place + 2])))
-                    keys.append(key)
-                    sizes.append(size)
-                    phrases.append(words.phrase(place, size))
-                    cuts.append([dict(zip(("k", "left", "right"), c)) for c in cut])
+                places = words.pairs[there[first[new]] if size == 2 else words.first[there[first[new]]]]
+                keys.append(found[new].view(np.int64))
+                phrases.extend(words.phrase(place, size) for place in places.tolist())
             if len(seen) > SEEN:
                 seen = seen[:0]
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.int64()),
-                     pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(cuts, _CUT)],
-                    names=["lang", "n", "key", "size", "phrase", "cuts"])
-        m = len(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64()), pa.nulls(m, pa.int64()),
-             pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, _CUT)],
-            names=["lang", "n", "key", "size", "phrase", "cuts"])
+            if phrases:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(phrases, pa.string())], names=["key", "phrase"])
     return run
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(key, n, size) of all words, pairs and triples that occur ``least`` times in their language, and (lang, n, key, size, phrase,
-    cuts): the pairs and triples in words, with rows of the number of words of each language (no key)."""
+def frequent_phrases(docs: DataFrame, least: int = 10, folder: str | None = None) -> DataFrame:
+    """(lang, size, key, left, right, n): words, pairs and triples that occur ``least`` times in their language, with the names of
+    their parts; the rows of size 0 add up to the number of words of a language."""
     spark = docs.sparkSession
     context, folder = spark.sparkContext, folder or shared_folder(spark)
     texts = need(docs, "lang", "text")
@@ -216,51 +214,69 @@ def frequent_phrases(docs: DataFrame, least: int = 10, folder: str | None = None
     ranges = max(LEAST_RANGES, size // RANGE_BYTES)
     sample = need(docs, "doc_id", "lang", "text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
     bitmaps = _proposed(_count(sample.select("lang", "text"), ranges, SAMPLE_LEAST, folder, "sample"), None)
-    shared, before, counts, number = [], None, None, 0
+    shared, counts, number = [], None, 0
     while True:
         shared.append(context.broadcast(bitmaps))
-        more = _count(texts, ranges, least, folder, f"pass_{number}", shared[-1], before)
+        more = _count(texts, ranges, least, folder, f"pass_{number}", shared[-1], shared[-2] if number else None)
         counts = more if counts is None else counts.unionByName(more)
         grown = _proposed(more, bitmaps)
         if grown == bitmaps:  # no border phrase failed
             break
-        before, bitmaps, number = shared[-1], grown, number + 1
-    shared.append(context.broadcast([_bitmap(counts.filter(F.col("size") == s), "key", BITS) for s in (2, 3)]))
-    found = staged(texts.mapInArrow(_written(shared[-1]), _FOUND), "found", folder)
+        bitmaps, number = grown, number + 1
     for bitmap in shared:
         bitmap.destroy()
-    return counts, found
+    return counts
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The name of the last two words of each triple."""
+    for batch in batches:
+        second, third = (batch.column(c).to_numpy().view(np.uint64) for c in ("second", "third"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "a", "first", "start", "third")),
+                                          pa.array(follow(second, third).view(np.int64))],
+                                         names=["key", "a", "first", "start", "third", "rest"])
+
+
+def _lowest(cuts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, best) of cuts (key, a, k, left, right): the lowest score, its cut and the counts of the parts."""
+    left, right = (counts.select(F.col("key").alias(side), F.col("n").alias(name)) for side, name in (("left", "l"), ("right", "r")))
+    wide, million = "decimal(15,0)", F.lit(1000000).cast("decimal(7,0)")
+    scored = cuts.join(left, "left").join(right, "right").withColumn("over", million * F.col("a").cast(wide) * F.col("a").cast(wide)).withColumn(
+        "under", F.col("l").cast(wide) * F.col("r").cast(wide)).withColumn("score", F.expr("over div under"))
+    return scored.groupBy("key").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, percent: int = 50) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of each language."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    counts, found = frequent_phrases(docs, least, folder)
-    totals = found.filter("key is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = (found.filter("key is not null").groupBy("lang", "key", "size", "phrase").agg(F.first("cuts").alias("cuts"))
-               .join(counts.select("key", F.col("n").alias("a")), "key"))
-    phrases = staged(phrases, "phrases", folder)
-
-    parts = phrases.select("key", "a", F.explode("cuts").alias("cut")).select("key", "a", "cut.*")
-    left, right = (counts.select(F.col("key").alias(side), F.col("n").alias(name)) for side, name in (("left", "l"), ("right", "r")))
-    wide = "decimal(15,0)"
-    a, product = F.col("a").cast(wide), F.col("l").cast(wide) * F.col("r").cast(wide)
-    scored = parts.join(left, "left").join(right, "right").withColumn("over", F.lit(1000000).cast("decimal(7,0)") * a * a).withColumn(
-        "under", product).withColumn("score", F.expr("over div under"))
-    scored = scored.groupBy("key").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-
-    longer = (phrases.filter("size = 3").select(F.col("a").alias("most"), F.explode(F.array(
-        F.col("cuts")[0]["right"], F.col("cuts")[1]["left"])).alias("key")).groupBy("key").agg(F.max("most").alias("most")))
-    kept = phrases.join(longer, "key", "left").filter((F.col("size") == 3) | F.col("most").isNull()
-                                                      | (100 * F.col("most") < percent * F.col("a")))
-    rows = kept.join(scored, "key").select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.xxhash64("key").alias("part"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    counts = frequent_phrases(docs, least, folder)
+    totals = counts.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = counts.filter("size in (1, 2)").select("key", "n")
+    pairs = counts.filter("size = 2").select("lang", "key", "left", "right", F.col("n").alias("a"))
+    triples = counts.filter("size = 3").select("lang", "key", F.col("left").alias("start"), F.col("right").alias("third"), F.col("n").alias("a"))
+    words = pairs.select(F.col("key").alias("start"), F.col("left").alias("first"), F.col("right").alias("second"))
+    triples = staged(triples.join(words, "start").mapInArrow(_inner, "key long, a long, first long, start long, third long, rest long"),
+                     "triples", folder)
+    cuts = pairs.select("key", "a", F.lit(1).alias("k"), "left", "right").unionByName(
+        triples.select("key", "a", F.lit(1).alias("k"), F.col("first").alias("left"), F.col("rest").alias("right"))).unionByName(
+        triples.select("key", "a", F.lit(2).alias("k"), F.col("start").alias("left"), F.col("third").alias("right")))
+    longer = triples.select(F.col("a").alias("most"), F.explode(F.array("start", "rest")).alias("key")).groupBy("key").agg(F.max("most").alias("most"))
+    candidates = counts.filter("size in (2, 3)").select("lang", "key", F.col("n").alias("a"))
+    kept = candidates.join(longer, "key", "left").filter(F.col("most").isNull() | (100 * F.col("most") < percent * F.col("a")))
+    rows = kept.join(_lowest(cuts, parts), "key").select("lang", "key", "a", "best.l", "best.r", "best.score", F.xxhash64("key").alias("part"))
+
+    order = [F.desc("score"), F.desc("a")]
     some = Window.partitionBy("lang", F.pmod("part", F.lit(RANKED))).orderBy(*order)
-    rows = rows.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= top)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    result = staged(rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"),
-                    "collocations")
+    rows = rows.withColumn("place", F.rank().over(some)).filter(F.col("place") <= top).drop("place", "part")
+    rows = rows.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top)
+    rows = staged(rows.drop("place"), "chosen", folder)
+    chosen = spark.sparkContext.broadcast(_bitmap(rows.select("key"), "key", BITS))
+    phrases = need(docs, "lang", "text").mapInArrow(_written(chosen), "key long, phrase string").distinct()
+    named = rows.join(phrases, "key").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase"))))
+    result = staged(named.filter(F.col("rank") <= top).join(totals, "lang").select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
+    chosen.destroy()
     discard(spark, folder)
     return result
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +48,19 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+_trimmed = [0.0]
+
+
+def trim() -> None:
+    """Gives memory that the worker has freed back to the machine, every other second at most: reused workers of several
+    stages share an executor."""
+    if time.monotonic() - _trimmed[0] > 2:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+        _trimmed[0] = time.monotonic()
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The rows of a batch, in parts of about ``most`` bytes of text or ``rows`` rows: what a task holds does not follow
     the batch."""
@@ -53,6 +69,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20, row
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if batch.num_rows else []
     for start, end in zip(edges[:-1], edges[1:]):
         yield batch.slice(int(start), int(end - start))
+    trim()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -70,8 +70,8 @@ def test_border_failures_are_made_good(spark, monkeypatch, sample):
     monkeypatch.setattr(collocations, "SAMPLE_LEAST", 1)
     rows = prose(4)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
-    counts, _ = collocations.frequent_phrases(df)
-    assert counts.groupBy("key").count().filter("count > 1").isEmpty()      # counted whole in one pass
+    counts = collocations.frequent_phrases(df)
+    assert counts.filter("size > 0").groupBy("key").count().filter("count > 1").isEmpty()      # counted whole in one pass
     assert found(collocations.query(df)) == brute(rows)
 
 
