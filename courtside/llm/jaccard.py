@@ -11,9 +11,10 @@ A document is the set of its distinct word n-grams as 64-bit hashes. Two documen
    with the smallest node of the bucket only, so a group of any size gives as many pairs as rows.
 3. *Vertical partitioning.* The range of the order is cut into fragments. The sets of the paired nodes are cut along,
    each fragment counts the overlaps of its own parts, and the counts are summed per pair.
-4. *The rest.* Linked nodes get one component. Nodes of a bucket that still are in different components are paired
-   among themselves and counted as in 3. Nodes that already are connected need no further count: another link between
-   them changes no component. So no link between different components is lost, and there is no cap anywhere.
+4. *The rest.* Linked nodes get one component. A bucket whose nodes still are in different ones is open. Buckets that touch are
+   a cluster; its sets meet once in a task, or, in a large cluster, once for each open bucket, cut into blocks where even that
+   is too large. There the overlaps of all of them are counted fragment by fragment and summed per pair, and the links leave as
+   a forest. So no link between different components is lost, no pair is ever written, and there is no cap anywhere.
 
 The counts travel as sorted runs of key differences, two bytes each, added up once per task and range of keys. What is alone,
 what is common and which nodes are in a pair comes back to the tasks as bitmaps and a list of fixed size; there, a wrong
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from courtside.llm.common import discard, need, shared_folder, slices, staged, width
 from courtside.llm.components import component_labels
 from courtside.llm.hashing import follow, segment_hashes, segments
+from courtside.llm.overlaps import add_overlaps, groups, near_pairs, sorted_runs, united
 
 BITMAP_BITS = 27          # 16 MB, whatever the corpus
 NODE_BITS = 24            # 2 MB
@@ -43,6 +45,9 @@ MOST_COMMON = 1 << 21     # entries of the common list at most
 LEAST_COMMON = 16         # documents that hold a common n-gram, at least
 RUN = 1 << 20             # n-grams a task adds up at once
 FRAGMENTS = 8
+CLUSTER = 4096            # nodes of open buckets that meet in one task
+BLOCK = 4096              # nodes of one open bucket that do
+MEMBERS = 1 << 22         # n-grams of either
 
 
 def _space() -> np.ndarray:
@@ -286,6 +291,50 @@ def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.filter(100 * F.col("overlap") >= percent * union).select("a", "b")
 
 
+def _counted_links(percent: int):
+    """The links within each key, as a forest: overlaps are counted fragment by fragment and summed per pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_runs(batches, "key"):
+            node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
+            out_a, out_b = [], []
+            for start, end in groups(rows.column("key").to_numpy()):
+                fragments = rows.column("fragments").slice(start, end - start)
+                inner = fragments.flatten()
+                grams, ends = inner.flatten().to_numpy(), np.cumsum(np.append(0, inner.value_lengths().to_numpy()))
+                total = np.zeros((end - start, end - start), np.int32)
+                for f in range(FRAGMENTS):
+                    add_overlaps(total, [grams[ends[i]:ends[i + 1]] for i in range(f, len(inner), FRAGMENTS)])
+                label = united(end - start, *near_pairs(total, size[start:end], percent))
+                moved = np.flatnonzero(label != np.arange(end - start))
+                out_a.append(node[start + label[moved]])
+                out_b.append(node[start + moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+    return run
+
+
+def _open_links(members: DataFrame, parts: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Links (a, b) of the rows of open buckets (gram, first, node, size); each set meets those of its cluster or of its buckets."""
+    clusters = component_labels(members.select(F.col("first").alias("a"), F.col("node").alias("b")), f"{folder}/clusters")
+    sizes = members.select("node", "size").distinct()
+    many = clusters.join(sizes, "node").groupBy("label").agg(F.count("*").alias("rows"), F.sum("size").alias("total"))
+    whole = clusters.join(many.filter((F.col("rows") <= CLUSTER) & (F.col("total") <= MEMBERS)).select("label"), "label")
+    keys = members.join(whole.select("node", "label"), "node", "left").select(
+        F.when(F.col("label").isNotNull(), F.xxhash64("label", F.lit(0))).otherwise(F.xxhash64("gram", F.lit(1))).alias("key"), "node", "size")
+    keys = staged(keys.distinct(), "open_keys", folder)
+    stats = keys.groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("total"))
+    fits = (F.col("rows") <= 2) | (F.col("rows") <= BLOCK) & (F.col("total") <= MEMBERS)
+    several = F.when(fits, 1).otherwise(F.ceil(F.greatest(2 * F.col("rows") / BLOCK, 2 * F.col("total") / MEMBERS, F.lit(2.0))))
+    dealt = keys.join(stats.select("key", several.cast("int").alias("blocks")), "key").withColumn(
+        "block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "size")
+    sets = (parts.join(sizes.select("node"), "node", "left_semi").groupBy("node")
+            .agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("fragments"))
+            .select("node", F.transform("fragments", lambda x: x["grams"]).alias("fragments")))
+    met = dealt.join(sets, "node").repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(_counted_links(percent), "a long, b long")
+
+
 def _near(percent: int):
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     return 100 * small >= percent * large
@@ -315,30 +364,17 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labels = component_labels(links, f"{folder}/first")
 
     # Buckets whose nodes are in more than one component by now.
-    member = (buckets.select("gram", F.col("b").alias("node"), F.col("size_b").alias("size"), "indexed").distinct()
+    member = (buckets.select("gram", F.col("b").alias("node"), F.col("size_b").alias("size")).distinct()
               .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    mixed = member.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    open_ones = staged(member.join(mixed.select("gram"), "gram"), "open", folder)
-    # The smaller of two linked sets holds their first common n-gram in its shorter prefix, so only such entries ask.
-    # Components of a bucket meet first, so that the many nodes of one never meet each other.
-    asking = open_ones.filter("indexed")
-    labels_a = asking.select("gram", F.col("label").alias("label_a")).distinct()
-    labels_b = open_ones.select("gram", F.col("label").alias("label_b")).distinct()
-    a = asking.select("gram", F.col("node").alias("m"), F.col("size").alias("size_m"), F.col("label").alias("label_a"))
-    b = open_ones.select("gram", F.col("node").alias("n"), F.col("size").alias("size_n"), F.col("label").alias("label_b"))
-    met = (labels_a.join(labels_b, "gram").filter("label_a <> label_b").join(a, ["gram", "label_a"]).join(b, ["gram", "label_b"])
-           .filter("size_m <= size_n").select(
-               F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"),
-               F.when(F.col("m") < F.col("n"), F.col("size_m")).otherwise(F.col("size_n")).alias("size_a"),
-               F.when(F.col("m") < F.col("n"), F.col("size_n")).otherwise(F.col("size_m")).alias("size_b")))
-    rest = met.filter(_near(percent)).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(rest, parts, percent)
+    mixed = member.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first")).filter("low < high")
+    open_ones = staged(member.join(mixed.select("gram", "first"), "gram").select("gram", "first", "node", "size"), "open", folder)
+    more = _open_links(open_ones, parts, percent, folder)
     labels = component_labels(staged(links.unionByName(more), "all_links", folder), f"{folder}/second")
 
-    groups = (nodes.filter("node >= 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named_by = (nodes.filter("node >= 0").groupBy("node").agg(F.min("doc_id").alias("least"))
               .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    named = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = groups.select("node", "label").join(named, "label").select("node", "component_id")
+    named = named_by.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_node = named_by.select("node", "label").join(named, "label").select("node", "component_id")
     result = staged(nodes.join(of_node, "node", "left").select(
         "doc_id", "n_shingles", "node",
         F.when(F.col("node") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "groups")
@@ -354,7 +390,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of every group: the one with the smallest ``doc_id``, once if the row is repeated. Documents without
-    words or without an id all stay."""
+    words or without an id all stay; where that ``doc_id`` is repeated with different texts, one row of each text stays."""
     groups = jaccard_groups(docs, n, percent)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -93,3 +93,24 @@ def test_components_of_paths_and_stars(spark, tmp_path):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, **{200 + i: 100 for i in range(50)}, 300: 300, 301: 300}
     empty = component_labels(spark.createDataFrame([], "a long, b long"), str(tmp_path / "none"))
     assert empty.count() == 0
+
+
+def test_many_components_in_one_bucket(spark, monkeypatch):
+    """A family of near copies most of which are linked with few others or none; clusters whole, by buckets and in blocks."""
+    from courtside.llm import jaccard
+
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(5000)}" for _ in range(60)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, text) for i, (_, text) in enumerate(corpus(8))]
+    expected = brute(rows)
+    assert len({c for _, _, c in expected[:600]}) > 300
+    for cluster, block in ((2000, 4096), (8, 4096), (8, 40)):
+        monkeypatch.setattr(jaccard, "CLUSTER", cluster)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert got(query(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == expected
