@@ -240,3 +240,19 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return near_groups(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) + any_value(b.n) AS n, COUNT(*) AS o
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 100 * o >= 85 * (n - o) UNION ALL SELECT y, x FROM p WHERE 100 * o >= 85 * (n - o)),
+r AS (SELECT doc_id AS start, doc_id AS node FROM s UNION SELECT r.start, l.y FROM r JOIN l ON r.node = l.x),
+c AS (SELECT start, MIN(node) AS component_id FROM r GROUP BY start)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.start = s.doc_id
+"""

@@ -75,4 +75,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_licenses, op3_jaccard_join, op4_pii, op5_sharding, op6_language_id, op7_top_k,
     op8_token_files, op9_secrets, op10_packing, op11_whitening, op12_near_duplicates, op13_collocations)}
 ORACLES: dict[str, str] = {"op3_jaccard_join": jaccard.SQL, "op7_top_k": topk.SQL, "op9_secrets": secrets.sql(),
-                           "op13_collocations": collocations.SQL}
+                           "op12_near_duplicates": chosen_path.SQL, "op13_collocations": collocations.SQL}
