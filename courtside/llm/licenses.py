@@ -1,15 +1,20 @@
 """Operator 2: licence scan by a trained paragraph classifier, in DataFrame functions and MLlib only.
 
-Paragraphs (lines) that hold a word of the licence vocabulary are features: their distinct words and word pairs. A
-multinomial logistic regression gives each family a probability, ``none`` and ``unknown`` being classes too; the model is
-one table of weights, joined by n-gram. A family counts only above its calibrated threshold, else the paragraph
-is ``unknown``. Comparison with the family's templates, by shared word triples, confirms a prediction.
+Every line of every text is a paragraph. Its features are its distinct words and word pairs. A multinomial logistic
+regression gives each family a probability, ``none`` and ``unknown`` being classes too; the model is one table of weights,
+joined by n-gram. A family counts only above its calibrated threshold, else the paragraph is ``unknown``. Comparison with
+the family's templates, by shared word triples, confirms a prediction.
 
-*Fit.* On the templates and their parts, on licence-like sentences of no known family and on ``NEGATIVES`` corpus
-paragraphs of smallest hash at most. A quarter of the examples is held out to calibrate the thresholds.
+*Bound.* No list of words decides what is classified. A line can win a class other than ``none`` only if its n-grams raise
+that class over ``none`` by more than the intercepts hold it back, so lines whose words cannot sum to that are ``none``
+without being joined (``may_win``); the bound is the model's own and loses no line.
 
-Contract. Null and empty texts, lines without a licence word, and lines that the model takes for ``none``, give no row. Long texts are read whole. Repeated rows
-are each reported. Equal probabilities go to the family that comes first by name. An empty table gives no rows. Other
+*Fit.* On the templates, on names of licences in phrases of four languages, on sentences of unknown licences, on
+sentences that only sound like licences, and on ``NEGATIVES`` corpus lines of smallest hash at most. A quarter of the
+templates, with everything made from them, is held out to calibrate the thresholds.
+
+Contract. Null and empty texts and lines that the model takes for ``none`` give no row. Long texts are read whole. Repeated
+rows are each reported. Equal probabilities go to the family that comes first by name. An empty table gives no rows. Other
 columns are never read.
 """
 
@@ -25,8 +30,7 @@ from courtside.llm.common import need, shared_folder, staged
 NEGATIVES = 2000
 VOCABULARY = 20_000  # rows of the weight table at most
 CONFIRMED = 0.5      # share of word triples in common with a template
-CANDIDATE = (r"(?i)licen[sc]e|copyright|\(c\) ?\d{4}|permission is|redistribut|warrant(?:y|ies)|public domain|creative commons|"
-             r"\bcc[ -](?:by|0)|spdx|all rights reserved|copyleft|\bgnu\b|\b[al]?gpl\b|mozilla public|unlicense")
+LEVELS = 8          # steps to which ``may_win`` rounds the words' shares up
 NONE, UNKNOWN = "none", "unknown"
 
 # Sentences by which texts name their licence.
@@ -53,6 +57,8 @@ TEMPLATES = {
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
             "You should have received a copy of the GNU General Public License along with this program.",
             "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL v2 or later."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+            "SPDX-License-Identifier: ISC", "Released under the ISC License."],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.",
              "You should have received a copy of the GNU Lesser General Public License along with this library.",
              "SPDX-License-Identifier: LGPL-2.1-or-later"],
@@ -68,17 +74,45 @@ TEMPLATES = {
                       "This work has been dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0",
                       "The author has placed this work in the public domain."],
 }
+# Short names of the families, and phrases around such a name.
+NAMES = {
+    "agpl": ["AGPLv3", "GNU AGPL", "AGPL-3.0", "GNU Affero General Public License"],
+    "apache": ["Apache-2.0", "Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0"],
+    "bsd": ["BSD-3-Clause", "BSD-2-Clause", "BSD", "BSD-style"],
+    "cc-by": ["CC BY 4.0", "CC-BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC", "Creative Commons Attribution-NonCommercial 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA", "Creative Commons Attribution-ShareAlike 4.0"],
+    "gpl": ["GPLv3", "GPLv2", "GNU GPL", "GPL-3.0", "GPL v3", "GNU General Public License"], "isc": ["ISC"],
+    "lgpl": ["LGPLv2.1", "LGPLv3", "GNU LGPL", "LGPL-2.1", "GNU Lesser General Public License"],
+    "mit": ["MIT"], "mpl": ["MPL-2.0", "MPL 2.0", "MPLv2", "Mozilla Public License 2.0"],
+    "public-domain": ["CC0 1.0 Universal", "CC0", "CC0-1.0", "public domain"],
+}
+PHRASES = ["{}", "Released under {}.", "This is distributed under {}.", "Licensed under {}", "Licensed under the {} license.", "License: {}",
+           "{} License", "This project uses the {} license.", "The code is available under the terms of the {} licence.",
+           "Code unter der {}-Lizenz.", "Veröffentlicht unter der Lizenz {}.", "Dieses Werk steht unter der {} Lizenz.",
+           "Publicado bajo licencia {}.", "Este programa se distribuye bajo la licencia {}.", "Publié sous licence {}.",
+           "Ce logiciel est distribué sous la licence {}."]
 OTHER = ["Licensed under the terms of the vendor agreement.", "Use of this product is subject to the end user license agreement.",
          "This material is distributed under a custom license.", "See the license file for details.", "Licensed under the Foobar Community License.",
          "Contact the author for license terms.", "The license permits evaluation use for thirty days.", "Copyright the authors.",
-         "This dataset is released under a research license.", "A license is required to operate this service.",
-         "He holds a driver's license.", "The restaurant has lost its liquor license.", "The warranty covers all parts for two years.",
-         "The city issued a fishing license.", "Released under version 3 of our shared source license.",
-         "This work is licensed for internal use.", "Permission is needed to enter the building."]
+         "This dataset is released under a research license.", "Released under version 3 of our shared source license.",
+         "This work is licensed for internal use.", "Released under the shareware license of the vendor.",
+         "Veröffentlicht unter einer eigenen Lizenz.", "Publicado bajo una licencia propia.", "Publié sous une licence particulière."]
+STRANGERS = ["He holds a driver's license.", "The restaurant has lost its liquor license.", "The warranty covers all parts for two years.",
+             "The city issued a fishing license.", "We reviewed the fishing license at the office.", "A license is required to operate this service.",
+             "Permission is needed to enter the building.", "Researchers at MIT found a new result.", "The MIT campus is in Cambridge.",
+             "She studied at MIT.", "The Apache helicopter landed.", "The Apache people live in the southwest.", "The file is on the server.",
+             "The software was released in May.", "The code is in the cellar of the house.", "The conditions of the work are hard.",
+             "He gave notice to the public.", "The use of water is free of charge.", "Redistribution of wealth was debated in parliament.",
+             "Version 2.0 of the program was published.", "All seats are reserved.", "The rights of the people are to be respected.",
+             "Er kam mit dem Zug.", "Sie spricht mit dem Lehrer.", "The park is open to the public.", "Der Mann verlor seine Lizenz als Pilot.",
+             "Das Werk steht unter der Leitung von Herrn Maier.", "El bar perdió su licencia.",
+             "Este programa se emite bajo la lluvia.", "Il a perdu sa licence de pilote.", "Ce livre est sous la table."]
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*"), F.lit(0))
+    """Runs of letters and runs of digits, in lower case: 'GPLv3' and 'MIT-Lizenz' are two words each."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
 
 
 def runs(words: Column, n: int) -> Column:
@@ -98,37 +132,49 @@ def triples(text: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, paragraph, text): the candidate lines of all texts, numbered from 0 within their text."""
+    """(doc_id, row, paragraph, text): the lines of all texts, numbered from 0 within their text."""
     rows = need(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    lines = rows.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    return lines.filter(F.col("text").rlike(CANDIDATE))
+    return rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
+
+
+def sentences() -> list[tuple[str, str, str]]:
+    """(text, label, origin): everything that is trained on besides corpus lines; ``origin`` is the template a text is made from."""
+    lead = ["", "Copyright 2021 The Authors. ", "Note: ", "The document below follows. "]
+    sources = [(t, family) for family, all_of in TEMPLATES.items() for t in all_of]
+    sources += [(t, UNKNOWN) for t in OTHER] + [(t, NONE) for t in STRANGERS]
+    texts = [(a + t, label, t) for t, label in sources for a in lead]
+    for t, label in sources:
+        words = t.split()
+        if len(words) >= 8:  # parts of long notices, as lines break them
+            texts += [(" ".join(words[:len(words) * 2 // 3]), label, t), (" ".join(words[len(words) // 3:]), label, t)]
+    return texts + [(p.format(name), family, p.format(name)) for family, all_of in NAMES.items() for name in all_of for p in PHRASES]
 
 
 def examples(docs: DataFrame) -> DataFrame:
-    """(text, label) to train on: bounded, whatever the corpus."""
+    """(text, label, origin, made) to train on: bounded, whatever the corpus. Corpus lines that are like a template are no strangers."""
     spark = docs.sparkSession
-    lead = ["", "Copyright 2021 The Authors. ", "Note: ", "The document below follows. "]
-    texts = [(a + t, family) for family, all_of in TEMPLATES.items() for t in all_of for a in lead]
-    for family, all_of in TEMPLATES.items():
-        for t in all_of:
-            words = t.split()
-            if len(words) >= 8:  # parts of long notices, as lines break them
-                texts += [(" ".join(words[:len(words) * 2 // 3]), family), (" ".join(words[len(words) // 3:]), family)]
-    texts += [(a + t, UNKNOWN) for t in OTHER for a in lead]
-    lines = need(docs, "text").select(F.explode(F.split("text", "\n")).alias("text")).filter(~F.col("text").rlike(CANDIDATE) & (F.length("text") > 0))
-    negative = lines.orderBy(F.xxhash64("text"), "text").limit(NEGATIVES).withColumn("label", F.lit(NONE))
-    return spark.createDataFrame(texts, "text string, label string").unionByName(negative)
+    made = spark.createDataFrame(sentences(), "text string, label string, origin string").withColumn("made", F.lit(True))
+    lines = need(docs, "text").select(F.explode(F.split("text", "\n")).alias("text")).filter(F.length("text") > 0)
+    few = lines.orderBy(F.xxhash64("text"), "text").limit(NEGATIVES)
+    few = staged(few.select("text", F.monotonically_increasing_id().alias("row"), F.lit(0).alias("paragraph")), "strangers", shared_folder(spark))
+    like = compared(few, spark).filter(F.col("likeness") >= CONFIRMED).select("row").distinct()
+    few = few.join(like, "row", "left_anti")
+    return made.unionByName(few.select("text", F.lit(NONE).alias("label"), F.col("text").alias("origin"), F.lit(False).alias("made")))
 
 
 def fit(docs: DataFrame) -> DataFrame:
     """The model: (gram, weights) with one weight per class, the thresholds in the row of the empty gram's ``cut``."""
-    spark = docs.sparkSession
+    return fit_on(examples(docs))
+
+
+def fit_on(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
     classes = sorted([*TEMPLATES, UNKNOWN, NONE])
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    data = examples(docs).select("text", "label", number.cast("double").alias("y"), features(F.col("text")).alias("grams"))
-    data = staged(data.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(4)) == 0), "examples", shared_folder(spark))
+    data = rows.select("origin", "made", "text", "label", number.cast("double").alias("y"), features(F.col("text")).alias("grams"))
+    data = staged(data.withColumn("held", F.pmod(F.xxhash64("origin"), F.lit(4)) == 0), "examples", shared_folder(spark))
     counter = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=VOCABULARY)
-    counter = counter.fit(data.filter(F.col("label") != NONE))
+    counter = counter.fit(data.filter("made"))
     learner = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.002, maxIter=60)
     vectors = counter.transform(data).cache()
     cut = _thresholds(learner.fit(vectors.filter("not held")).transform(vectors.filter("held")), classes)
@@ -141,6 +187,41 @@ def fit(docs: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, weights array<double>, cut array<double>")
 
 
+def may_win(model: DataFrame, text: Column) -> Column:
+    """Whether a line can be of another class than ``none``; true for every line that is.
+
+    A word's share is the most by which it, and the word pair that it begins, raise any class over ``none``, rounded up to
+    one of ``LEVELS`` steps. A line whose shares sum to less than the smallest lead of ``none`` in the intercepts is ``none``.
+    """
+    none = sorted([*TEMPLATES, UNKNOWN, NONE]).index(NONE)
+    share, lead = {}, 0.0
+    for r in model.select("gram", "weights").collect():  # VOCABULARY rows at most
+        over = [w - r["weights"][none] for c, w in enumerate(r["weights"]) if c != none]
+        if r["gram"] == "":
+            lead = -max(over)
+        elif max(over) > 0:
+            word, _, pair = r["gram"].partition(" ")
+            own, paired = share.get(word, (0.0, 0.0))
+            share[word] = (own, max(paired, max(over))) if pair else (max(own, max(over)), paired)
+    if lead <= 1e-6:
+        return F.lit(True)
+    total = {w: own + paired for w, (own, paired) in share.items()}
+    step = max(total.values(), default=0.0) / LEVELS
+    by_level = [[] for _ in range(LEVELS + 1)]
+    for w, t in sorted(total.items()):
+        by_level[min(LEVELS, int(t / step) + 1)].append(w)
+    if not any(by_level):
+        return F.lit(False)
+
+    def worth(word: Column) -> Column:
+        found = F.lit(0.0)
+        for level, words in enumerate(by_level):
+            found = F.when(word.isin(words), F.lit(level * step)).otherwise(found) if words else found
+        return found
+
+    return F.aggregate(word_list(text), F.lit(0.0), lambda a, w: a + worth(w)) >= lead - 1e-6
+
+
 def _thresholds(judged: DataFrame, classes: list[str]) -> list[float]:
     """For each class the probability between what strangers get at most and members at least, held-out examples."""
     from pyspark.ml.functions import vector_to_array
@@ -172,6 +253,7 @@ def scored(lines: DataFrame, model: DataFrame) -> DataFrame:
 def compared(lines: DataFrame, spark: SparkSession) -> DataFrame:
     """(row, paragraph, likeness): for each family, the largest share of triples in common with one of its templates."""
     known = [(family, t) for family, all_of in sorted(TEMPLATES.items()) for t in all_of]
+    known += [(family, p.format(name)) for family, all_of in sorted(NAMES.items()) for name in all_of for p in PHRASES]
     template = spark.createDataFrame(known, "family string, template string").withColumn("t", triples(F.col("template")))
     template = F.broadcast(template.select("family", "template", F.size("t").alias("n_template"), F.explode("t").alias("triple")))
     held = lines.select("row", "paragraph", triples(F.col("text")).alias("t"))
@@ -185,7 +267,8 @@ def licenses(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, confirmed, likeness) of every line that names a licence."""
     spark = docs.sparkSession
     model = fit(docs) if model is None else model
-    lines = staged(paragraphs(docs), "lines", shared_folder(spark))
+    lines = paragraphs(docs)
+    lines = staged(lines.filter(may_win(model, F.col("text"))), "lines", shared_folder(spark))
     judged = scored(lines, model).filter(F.col("family") != NONE)
     judged = judged.join(compared(lines, spark), ["row", "paragraph", "family"], "left")
     sure = F.col("probability") >= F.col("threshold")
