@@ -6,7 +6,7 @@ joined by n-gram. A family counts only above its calibrated threshold, else the
 the family's templates, by shared word triples, confirms a prediction.
 
 *Bound.* No list of words decides what is classified. A line can win a class other than ``none`` only if its n-grams raise
-that class over ``none`` by more than the intercepts hold it back, so lines whose words cannot sum to that are ``none``
+that class over ``none`` by more than the intercepts hold it back, so lines whose n-grams cannot sum to that are ``none``
 without being joined (``may_win``); the bound is the model's own and loses no line.
 
 *Fit.* On the templates, on names of licences in phrases of four languages, on sentences of unknown licences, on
@@ -20,6 +20,9 @@ columns are never read.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +33,7 @@ from courtside.llm.common import need, shared_folder, staged
 NEGATIVES = 2000
 VOCABULARY = 20_000  # rows of the weight table at most
 CONFIRMED = 0.5      # share of word triples in common with a template
-LEVELS = 8          # steps to which ``may_win`` rounds the words' shares up
+LEVELS = 32         # steps of the shares in ``may_win``
 NONE, UNKNOWN = "none", "unknown"
 
 # Sentences by which texts name their licence.
@@ -190,36 +193,34 @@ def fit_on(rows: DataFrame) -> DataFrame:
 def may_win(model: DataFrame, text: Column) -> Column:
     """Whether a line can be of another class than ``none``; true for every line that is.
 
-    A word's share is the most by which it, and the word pair that it begins, raise any class over ``none``, rounded up to
-    one of ``LEVELS`` steps. A line whose shares sum to less than the smallest lead of ``none`` in the intercepts is ``none``.
+    The share of an n-gram is the most by which it raises any class over ``none`` (below zero where it lowers all of them),
+    rounded up to a step. A line whose shares sum to less than the smallest lead of ``none`` in the intercepts is ``none``.
     """
     none = sorted([*TEMPLATES, UNKNOWN, NONE]).index(NONE)
     share, lead = {}, 0.0
     for r in model.select("gram", "weights").collect():  # VOCABULARY rows at most
-        over = [w - r["weights"][none] for c, w in enumerate(r["weights"]) if c != none]
+        most = max(w - r["weights"][none] for c, w in enumerate(r["weights"]) if c != none)
         if r["gram"] == "":
-            lead = -max(over)
-        elif max(over) > 0:
-            word, _, pair = r["gram"].partition(" ")
-            own, paired = share.get(word, (0.0, 0.0))
-            share[word] = (own, max(paired, max(over))) if pair else (max(own, max(over)), paired)
-    if lead <= 1e-6:
-        return F.lit(True)
-    total = {w: own + paired for w, (own, paired) in share.items()}
-    step = max(total.values(), default=0.0) / LEVELS
-    by_level = [[] for _ in range(LEVELS + 1)]
-    for w, t in sorted(total.items()):
-        by_level[min(LEVELS, int(t / step) + 1)].append(w)
-    if not any(by_level):
-        return F.lit(False)
-
-    def worth(word: Column) -> Column:
+            lead = -most
+        else:
+            share[r["gram"]] = most
+    step = max(map(abs, share.values()), default=0.0) / LEVELS
+    by_level = defaultdict(list)
+    for gram, most in sorted(share.items()):
+        by_level[math.ceil(most / step) if step else 0].append(gram)
+    by_level.pop(0, None)
+    known = [gram for grams in by_level.values() for gram in grams]
+
+    def worth(gram: Column) -> Column:
         found = F.lit(0.0)
-        for level, words in enumerate(by_level):
-            found = F.when(word.isin(words), F.lit(level * step)).otherwise(found) if words else found
+        for level, grams in sorted(by_level.items()):
+            found = F.when(gram.isin(grams), F.lit(level * step)).otherwise(found)
         return found
 
-    return F.aggregate(word_list(text), F.lit(0.0), lambda a, w: a + worth(w)) >= lead - 1e-6
+    words = word_list(text)
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    held = F.array_distinct(F.filter(F.concat(words, pairs), lambda gram: gram.isin(known)))
+    return F.aggregate(held, F.lit(0.0), lambda a, gram: a + worth(gram)) >= lead - 1e-6
 
 
 def _thresholds(judged: DataFrame, classes: list[str]) -> list[float]:
