@@ -179,7 +179,7 @@ def fit_on(rows: DataFrame) -> DataFrame:
     counter = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=VOCABULARY)
     counter = counter.fit(data.filter("made"))
     learner = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.002, maxIter=60)
-    vectors = counter.transform(data).cache()
+    vectors = counter.transform(data).coalesce(1).cache()  # some thousand rows, whatever the corpus
     cut = _thresholds(learner.fit(vectors.filter("not held")).transform(vectors.filter("held")), classes)
     model = learner.fit(vectors)
     vectors.unpersist()
