@@ -24,13 +24,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import need, slices
+from courtside.llm.common import need, shared_folder, slices, staged
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -55,17 +56,32 @@ def grams(tokens: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
     return {tuple(tokens[i:i + k]) for k in range(1, min(n, len(tokens)) + 1) for i in range(len(tokens) - k + 1)}
 
 
+class Collection(NamedTuple):
+    """Statistics of all items, however many indexes they are dealt to."""
+
+    items: int
+    average: float
+    longest: int
+    in_items: dict[bytes, int]  # items that hold a word; the words of one index suffice there
+
+
+def collection(tokens: list[list[bytes]]) -> Collection:
+    return Collection(len(tokens), sum(map(len, tokens)) / max(1, len(tokens)), max(map(len, tokens), default=1),
+                      Counter(w for t in tokens for w in set(t)))
+
+
 class ItemIndex:
-    """Inverted index of one set of items, small enough for every task."""
+    """Inverted index of one set of items, small enough for every task. Scores and passages are those of ``whole``, the
+    collection the items are part of."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, overlap: float):
+    def __init__(self, items: list[tuple[int, str]], share: float, overlap: float, whole: Collection | None = None):
         self.share, self.overlap = share, overlap
         rows = [(item, text, words(text)) for item, text in items]
         # Items of like length share a block, so that their maxima are close.
         rows = sorted((r for r in rows if r[2]), key=lambda r: (len(r[2]), r[2], r[0] is None, r[0]))
         self.items = [r[0] for r in rows]
-        longest = max((len(r[2]) for r in rows), default=1)
-        self.stride = longest + longest // 4
+        whole = whole or collection([r[2] for r in rows])
+        self.stride = whole.longest + whole.longest // 4
         self.parts = []
         for _, text, tokens in rows:
             head, _, last = text.strip().rpartition("\n")
@@ -73,17 +89,16 @@ class ItemIndex:
             question, answer = (words(head), words(last[sign.end():])) if sign and words(head) else (tokens, [])
             # A question and an answer have each their own n-grams; all are short, as items are.
             self.parts.append((grams(question), grams(answer), len(question), len(answer)))
-        in_items = Counter(w for _, _, tokens in rows for w in set(tokens))
-        self.terms = {w: t for t, w in enumerate(in_items)}
-        average = sum(len(r[2]) for r in rows) / max(1, len(rows))
+        in_items = whole.in_items
+        self.terms = {w: t for t, w in enumerate(dict.fromkeys(w for _, _, tokens in rows for w in tokens))}
         self.weights: list[dict[int, float]] = []
         for _, _, tokens in rows:
-            norm = K1 * (1 - B + B * len(tokens) / average)
-            score = {w: log(1 + (len(rows) - in_items[w] + 0.5) / (in_items[w] + 0.5)) * n * (K1 + 1) / (n + norm)
+            norm = K1 * (1 - B + B * len(tokens) / whole.average)
+            score = {w: log(1 + (whole.items - in_items[w] + 0.5) / (in_items[w] + 0.5)) * n * (K1 + 1) / (n + norm)
                      for w, n in Counter(tokens).items()}
             self.weights.append({self.terms[w]: s / sum(score.values()) for w, s in score.items()})
         self.blocks = -(-len(rows) // BLOCK)
-        common = {self.terms[w] for w, n in in_items.items() if n > COMMON * len(rows) and n > 2}
+        common = {t for w, t in self.terms.items() if in_items[w] > COMMON * whole.items and in_items[w] > 2}
         best: dict[tuple[int, int], float] = {}
         self.common_bound = np.zeros(self.blocks)
         for i, weights in enumerate(self.weights):
@@ -164,15 +179,45 @@ class ItemIndex:
         return len(wanted & grams(own, min(GRAM, length))) / len(wanted)
 
 
-def item_indexes(items: DataFrame, share: float, overlap: float) -> list:
-    """Broadcast indexes. Each holds about ``INDEX_BYTES`` of text at most, however many items there are."""
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of every item, and a row without word that has its length."""
+    for batch in batches:
+        for rows in slices(batch):
+            parts, found, sizes = [], [], []
+            for part, text in zip(rows.column("part").to_pylist(), rows.column("text").to_pylist()):
+                tokens = words(text)
+                if tokens:
+                    own = sorted(set(tokens))
+                    parts += [part] * (len(own) + 1)
+                    found += [None, *own]
+                    sizes += [len(tokens)] + [None] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())],
+                                             names=["part", "word", "size"])
+
+
+def _collections(items: DataFrame, number: int) -> list[Collection]:
+    """The collection as each of several indexes sees it: with the words of its own items only."""
+    found = staged(items.mapInArrow(_item_words, "part int, word binary, size long"), "words", shared_folder(items.sparkSession))
+    count, total, longest = found.agg(F.count("size"), F.sum("size"), F.max("size")).first()
+    held = found.filter("word is not null").groupBy("word", "part").count()
+    everywhere = held.groupBy("word").agg(F.sum("count").alias("n"))
+    held = staged(held.select("word", "part").join(everywhere, "word"), "held", shared_folder(items.sparkSession))
+    return [Collection(count, (total or 0) / max(1, count), longest or 1,
+                       {bytes(r["word"]): r["n"] for r in held.filter(F.col("part") == k).toLocalIterator()})
+            for k in range(number)]
+
+
+def item_indexes(items: DataFrame, share: float, overlap: float, index_bytes: int = INDEX_BYTES) -> Iterator:
+    """Broadcast indexes, one after the other. Each holds about ``index_bytes`` of text at most, however many items there
+    are; scores, passages and hits are the same for any number of them."""
     items = need(items, "item_id", "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = -(-size // INDEX_BYTES)
-    context = items.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(number))
-    return [context.broadcast(ItemIndex([tuple(r) for r in items.filter(part == k).toLocalIterator()], share, overlap))
-            for k in range(number)]
+    number = -(-size // index_bytes)
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, number))).cast("int"))
+    wholes = _collections(items, number) if number > 1 else [None] * number
+    for k, whole in enumerate(wholes):
+        own = items.filter(F.col("part") == k).select("item_id", "text").toLocalIterator()
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in own], share, overlap, whole))
 
 
 def _report(index):
@@ -199,17 +244,22 @@ def _clean(index):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.8,
+                 index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document and item of which it holds a copy, with the best passage's score and overlaps."""
     out = None
-    for index in item_indexes(items, share, overlap):
+    for index in item_indexes(items, share, overlap, index_bytes):
         hits = need(docs, "doc_id", "text").mapInArrow(_report(index), _HITS)
         out = hits if out is None else out.unionByName(hits)
     return docs.sparkSession.createDataFrame([], _HITS) if out is None else out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose text holds no copy of an item, all columns kept, without a shuffle."""
-    for index in item_indexes(items, share, overlap):
+def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.8,
+                  index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text holds no copy of an item, all columns kept, without a shuffle. Between two indexes
+    the rows are written, so that a task holds one index."""
+    for number, index in enumerate(item_indexes(items, share, overlap, index_bytes)):
+        if number:
+            docs = staged(docs, "docs", shared_folder(docs.sparkSession))
         docs = docs.mapInArrow(_clean(index), docs.schema)
     return docs

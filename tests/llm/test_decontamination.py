@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from courtside.llm.decontamination import GRAM, ItemIndex, contaminated, decontaminate, grams, words
+from courtside.llm.decontamination import GRAM, ItemIndex, contaminated, decontaminate, grams, item_indexes, words
 
 
 def brute(index, text):
@@ -79,6 +79,20 @@ def test_report_and_filter_agree(spark):
     assert sorted(r["score"] for r in clean.collect()) == [i for i, t in enumerate(texts) if not brute(index, t)]
 
 
+def test_results_do_not_depend_on_the_number_of_indexes(spark):
+    items, texts = items_and_texts(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = [*items, (None, items[0][1]), (99, None), (98, ""), (97, items[7][1]), (97, items[7][1])]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    size = sum(len(t.encode()) for _, t in rows if t)
+    assert len(list(item_indexes(bench, 0.6, 0.8, size // 5 + 1))) == 5
+    one, five = (sorted(((h["doc_id"], h["item_id"] or -1, round(h["score"], 9), h["question_overlap"], h["answer_overlap"], h["first_word"])
+                         for h in contaminated(docs, bench, index_bytes=n).collect())) for n in (1 << 25, size // 5 + 1))
+    assert one == five and len(one) > 20
+    left = [sorted(r["doc_id"] for r in decontaminate(docs, bench, index_bytes=n).collect()) for n in (1 << 25, size // 5 + 1)]
+    assert left[0] == left[1] == sorted(set(range(len(texts))) - {h[0] for h in one})
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
