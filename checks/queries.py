@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.tables import LADDER, ORDER_MATCHES_SQL, cents, day, nation_orders, order_matches, spread_table, table
+from checks.tables import LADDER, ORDER_MATCHES_SQL, cents, day, nation_orders, new_folder, order_matches, spread_table, table
 from courtside.functions import dates, html, labels, names, scores, text
 from courtside.functions.names import Names
 from courtside.operators import facets, filters, html_pages, lookup, merge, report, search, stages
@@ -12,6 +12,7 @@ from courtside.operators import index as ix
 from courtside.operators.anchored import anchored_window_count
 from courtside.operators.normalize import standings_pairs
 from courtside.operators.ordered import Scope, number_rows, run_ids
+from courtside.operators.trigrams import TrigramIndex
 from courtside.plans import jobs
 from courtside.sources import files
 from courtside.sources.index import LabelRules
@@ -672,6 +673,29 @@ def q_search_contains(spark, sf_dir):
     return filters.filter_contains(table(spark, sf_dir, "part"), "Bolt, BRAND#1", searched).select("p_partkey")
 
 
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || ' ' || p_type || ' ' || p_name
+                                  ELSE p_name || ' ' || p_brand || ' ' || p_type END AS t FROM part)
+SELECT p_partkey FROM p WHERE contains(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), 'brand 1')""")
+def q_indexed_contains(spark, sf_dir):
+    """All parts indexed, then the large ones upserted with another text."""
+    parts, index = table(spark, sf_dir, "part"), TrigramIndex(new_folder(spark, "parts"), 16, "bigint")
+    index.write(parts, F.col("p_partkey"), text.norm_search(F.concat_ws(" ", "p_name", "p_brand", "p_type")))
+    index.upsert(parts.filter("p_size > 25"), F.col("p_partkey"), text.norm_search(F.concat_ws(" ", "p_brand", "p_type", "p_name")))
+    return search.find_contains(spark, index, "BRAND#1").select(F.col("key").alias("p_partkey"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TOKENS.format(_ASCII.format('text'))} AS w FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS event FROM d
+WHERE (list_contains(w, 'the') AND list_contains(w, 'whst')) OR contains(array_to_string(w, ' '), 'whst the')""")
+def q_indexed_events(spark, sf_dir):
+    events = spread_table(spark, sf_dir, "documents").withColumn("event", F.col("doc_id").cast("string"))
+    index = TrigramIndex(new_folder(spark, "events")).write(
+        events, F.col("event"), search.event_haystack(F.col("event"), F.col("text"), F.array().cast("array<string>")))
+    return search.find_events(spark, index, "Whst, the").select(F.col("key").alias("event"))
+
+
 @query(f"""
 WITH {ORDER_MATCHES_SQL}
 SELECT seq, trim(regexp_replace(lower(concat_ws(' ', 'D' || seq, rlabel, rkey,

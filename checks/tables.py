@@ -1,5 +1,8 @@
 """Driver tables as inputs of the operators."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +111,9 @@ m AS (
               WHEN '4' THEN 'Finals' ELSE 'Group 3' END AS rlabel,
          CAST(left(o_orderpriority, 1) AS INTEGER) AS step
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def new_folder(spark, name: str) -> str:
+    """A folder for files that a query writes: in the cluster's shared folder; a local one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='courtside-')}"
+    return f"{root.rstrip('/')}/checks/{name}-{uuid.uuid4().hex}"

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.functions.dates import comparable_date
 from courtside.functions.names import Names, name_candidates
 from courtside.functions.text import let, norm_search, norm_search_ascii, text, trim
+from courtside.operators.trigrams import TrigramIndex
 
 _NO_TEXT = "array<string>"
 
@@ -72,6 +73,17 @@ def matches_query(haystack: Column, event: Column, query: str) -> Column:
     return (q == "") | in_id | let(haystack, found)
 
 
+def find_contains(spark: SparkSession, index: TrigramIndex, needle: str) -> DataFrame:
+    """F6 over an index of search texts (E20): (key, text) of the rows that hold the needle."""
+    return index.find(spark, [spark.range(1).select(norm_search(F.lit(needle))).first()[0]])
+
+
+def find_events(spark: SparkSession, index: TrigramIndex, query: str) -> DataFrame:
+    """E32 over an index of event haystacks by event. Whatever way a query matches, the haystack holds each of its words."""
+    words = spark.range(1).select(norm_search_ascii(F.lit(query))).first()[0].split()
+    return index.find(spark, words, matches_query(F.col("text"), F.col("key"), query))
+
+
 def order_events(start: Column, end: Column, event: Column) -> list[Column]:
     """Start then end date, undated last, then ids in numeric order."""
     return [comparable_date(start).asc_nulls_last(), comparable_date(end).asc_nulls_last(),
