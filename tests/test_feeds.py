@@ -96,6 +96,13 @@ def opponent(org, unit="MTGP030007--", result="3-1", date="2026-03-05", time="9:
     return {"Unit": unit, "Organization": org, "Result": result, "Date": date, "Time": time, "Description": {"IfId": org + "-id"}}
 
 
+def test_standings_are_folded_once(spark):
+    """Places are numbered on the keys: whole rows are picked once, and the blocks are read three times, not four."""
+    blocks = frame(spark, [("7", block([("AAA", [opponent("BBB")])]))], schema.STANDINGS_BLOCK).withColumn("page", F.lit(0))
+    plan = normalize.explode_standings(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 3 * 2
+
+
 def test_standings_fold_keeps_order(spark):
     rows = [("7", block([("AAA", [opponent("BBB", time=""), opponent("CCC", unit="")]), ("BBB", [opponent("AAA", result="0-0")])]))]
     blocks = frame(spark, rows, schema.STANDINGS_BLOCK).withColumn("page", F.lit(0))
