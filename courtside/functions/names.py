@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from courtside.functions.text import SPACE, blank_to_null, collapse, text, trim
+from courtside.functions.text import SPACE, blank_to_null, collapse, let, text, trim
 
 _NATIVE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー々ヶ]+"
 
 
 def name_candidates(c: Column) -> Column:
     """The spellings under which a dictionary may hold a name, best first."""
-    raw = trim(c)
-    collapsed = collapse(raw)
-    parts = F.filter(F.split(collapsed, " "), lambda p: p != "")
-    n = F.size(parts)
-    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    family = F.get(parts, n - 1)
-    given = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), " ")
+    none = F.array().cast("array<string>")
 
     def pair(a, b):
         return F.concat_ws(" ", a, b)
 
-    two = F.when(n == 2, F.array(pair(second, first), pair(F.upper(second), first), pair(first, F.upper(second)))
-                 ).otherwise(F.array().cast("array<string>"))
-    more = F.when(n >= 2, F.array(pair(family, given), pair(F.upper(family), given), pair(given, F.upper(family)))
-                  ).otherwise(F.array().cast("array<string>"))
-    return F.when(raw == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.concat(F.array(raw, collapsed), two, more)))
+    def spelled(raw, collapsed, parts):
+        n = F.size(parts)
+        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        family = F.get(parts, n - 1)
+        two = F.when(n == 2, F.array(pair(second, first), pair(F.upper(second), first), pair(first, F.upper(second)))
+                     ).otherwise(none)
+        more = let(F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), " "), lambda given: F.array(
+            pair(family, given), pair(F.upper(family), given), pair(given, F.upper(family))))
+        return F.array_distinct(F.concat(F.array(raw, collapsed), two, F.when(n >= 2, more).otherwise(none)))
+
+    # the text is cleaned and cut once, not once for each part of each spelling
+    return let(trim(c), lambda raw: F.when(raw == "", none).otherwise(let(collapse(raw), lambda collapsed: let(
+        F.filter(F.split(collapsed, " "), lambda p: p != ""), lambda parts: spelled(raw, collapsed, parts)))))
 
 
 def compact_name(c: Column) -> Column:

@@ -130,3 +130,11 @@ def test_round_labels(column):
     assert column(lambda k, l, n: labels.round_sort_value(k, l, n.cast("int")), [
         ("knockout_round_3", "", None), ("group 2", "Group 2", None), ("x", "Stage 1B - Group 3", None), ("preliminary_round", "", None),
         ("round_of_16", "", "2"), ("final", "", None), ("x", "x", None)]) == [3, 2, 103, 99, 102, 105, 999]
+
+
+def test_a_name_is_cut_once_for_all_its_spellings(spark):
+    found = spark.createDataFrame([("Ann  Bea COE",), ("Ann COE",), ("  ",), (None,)], "n string").select(names.name_candidates(F.col("n")).alias("c"))
+    assert found._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [r["c"] for r in found.collect()] == [
+        ["Ann  Bea COE", "Ann Bea COE", "COE Ann Bea", "Ann Bea COE"][:3],
+        ["Ann COE", "COE Ann", "Ann COE"][:2], [], []]
