@@ -184,9 +184,13 @@ def report_text(matches: DataFrame) -> DataFrame:
 
 def _side_player(c: Column) -> Column:
     """First player of a side, else the side itself, as (id, name)."""
-    first = F.get(F.filter(F.coalesce(c["players"], F.array()), lambda p: p.isNotNull()), F.lit(0))
-    return (F.when(first.isNotNull(), F.struct(first["id"].alias("id"), first["name"].alias("name")))
-            .when(trim(c["name"]) != "", F.struct(c["id"].alias("id"), trim(c["name"]).alias("name"))))
+    def read(side):
+        first = F.get(F.filter(F.coalesce(side["players"], F.array()), lambda p: p.isNotNull()), F.lit(0))
+        return let(first, lambda p: F.when(p.isNotNull(), F.struct(p["id"].alias("id"), p["name"].alias("name")))
+                   .when(trim(side["name"]) != "", F.struct(side["id"].alias("id"), trim(side["name"]).alias("name"))))
+
+    # a side and its first player are picked once, not once for each of their fields
+    return let(c, read)
 
 
 def _typed_side(sides: Column, kind: str, fallback: int) -> Column:
@@ -249,8 +253,10 @@ def _doubles_first(singles: Column, left_index: Column) -> Column:
 
     def show(k):
         def rest(players, third):
-            other = F.filter(players, lambda p: player_identity(p) != player_identity(third))
-            return F.when((F.size(players) >= 2) & third.isNotNull(), F.get(other, F.lit(0)))
+            def other(key):
+                return F.get(F.filter(players, lambda p: player_identity(p) != key), F.lit(0))
+
+            return F.when((F.size(players) >= 2) & third.isNotNull(), let(player_identity(third), other))
 
         two = F.struct(rest(k["pl"], k["l2"]).alias("l"), rest(k["pr"], k["r2"]).alias("r"))
         return let(two, lambda t: F.when(
