@@ -36,6 +36,7 @@ from courtside.llm.common import need, shared_folder, slices, staged
 K1, B = 1.2, 0.75
 BLOCK = 8
 COMMON = 0.2          # terms in more than this share of the items only count by their bound
+SLICE = 512 << 10    # bytes of text matched at once; the arrays of their passages and postings take many times as much
 INDEX_BYTES = 32 << 20  # of item text in one index; more items make more indexes
 GRAM = 2             # longest run of words that verification compares
 ANSWER = re.compile(r"\s*(?:answer|a|antwort|respuesta|réponse|r)\s*[:：]", re.I)
@@ -224,7 +225,7 @@ def _report(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _HITS.split(", ")]
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 docs = rows.column("doc_id").to_pylist()
                 out = [(docs[d], index.value.items[i], *hit)
                        for d, found in enumerate(index.value.hits(rows.column("text").to_pylist()))
@@ -238,7 +239,7 @@ def _report(index):
 def _clean(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=SLICE):
                 found = index.value.hits(rows.column("text").to_pylist())
                 yield rows.filter(pa.array([not f for f in found], pa.bool_()))
     return run

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from courtside.llm import decontamination
 from courtside.llm.decontamination import GRAM, ItemIndex, contaminated, decontaminate, grams, item_indexes, words
 
 
@@ -99,3 +100,25 @@ def test_empty_sides(spark):
     assert contaminated(docs, none).count() == 0 and decontaminate(docs, none).count() == 1
     some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert contaminated(docs.limit(0), some).count() == 0 and decontaminate(docs, some).count() == 0
+
+
+def test_a_task_matches_few_texts_at_once():
+    sizes = []
+
+    class Index:
+        items = [1]
+
+        def hits(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return [{} for _ in texts]
+
+    class Broadcast:
+        value = Index()
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["word " * 60_000] * 4})
+    for run in (decontamination._clean, decontamination._report):
+        sizes.clear()
+        list(run(Broadcast())(iter([batch])))
+        assert sum(sizes) == 1_200_000 and max(sizes) <= 600_000
