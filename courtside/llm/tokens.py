@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ import numpy as np
 CACHED_FIELDS = 400_000
 KEPT_LENGTH = 12  # longer fields seldom come back
 ID = np.dtype("<u4")
+UNSAFE = re.compile(r" (?=\s|\Z)")  # the next field is empty or begins with white space
 
 
 def _byte_letters() -> dict[int, str]:
@@ -85,7 +87,7 @@ class FieldEncoder:
             head, *rest = text.split(" ")
             ids = list(map(known, rest))
             new = [f for f, i in zip(rest, ids) if i is None] if None in ids else []
-            if any(s in text for s in self.special) or any(not f or f[0].isspace() for f in new):
+            if any(s in text for s in self.special) or new and UNSAFE.search(text):
                 whole.append(at)
                 cut.append(None)
                 continue
@@ -110,6 +112,10 @@ class FieldEncoder:
         are a single line break and what stands on either side of it."""
         fresh, halves, other, kept, runs, lead = {}, {}, [], self.fields, self.runs, self.lead
         for f in fields:
+            if f.isascii() and f.isalpha():  # no marks, no line break, and letters stay letters
+                if f not in fresh:
+                    fresh[f] = self._word(lead, self._normal(f))
+                continue
             line, broken, after = f.partition("\n")
             ids = b""
             for side, space in ((line, lead), (after, "")) if broken else ((f, lead),):
