@@ -20,6 +20,7 @@ from courtside.functions.scores import (
 )
 from courtside.functions.text import blank_to_null, first_text, let, text, trim
 from courtside.operators.ordered import Scope, number_rows, range_chunks, run_ids
+from courtside.operators.staged import written
 from courtside.operators.stages import NO_NUMBER
 
 _WIDE = "　"
@@ -412,8 +413,9 @@ def _blocks(rows: DataFrame, header: Column, ranged: bool) -> DataFrame:
     # a tie is a block of its own; individual matches run on while category and round stay the same
     block = F.struct("categoryName", "roundKey", "roundLabel",
                      F.when(F.col("matchType") != "individual", F.col("seq")).alias("tie"))
-    # only texts and sort columns travel: the nested match stays behind
-    slim = keyed.select(*dict.fromkeys([*scope.parts, *scope.order]), block.alias("block"), "header", "lines")
+    # only texts and sort columns travel: the nested match stays behind. The two readers of the runs, chunk ends and
+    # rows, would each make the matches and their sort columns anew
+    slim = written(keyed.select(*dict.fromkeys([*scope.parts, *scope.order]), block.alias("block"), "header", "lines"))
     return block_report(slim, scope, F.col("block"), "header", "lines", ["event"])
 
 

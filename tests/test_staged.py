@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from checks import QUERIES, tables
 from courtside import schema
 from courtside.operators import html_pages, normalize
+from courtside.operators.filters import MatchArgs
 from courtside.plans import jobs
 from tests import fixtures as fx
 from tests.test_feeds import daily_side, frame
@@ -59,3 +60,12 @@ def test_spread_tables_make_more_tasks_of_more_rows(spark, tmp_path, monkeypatch
 @pytest.mark.parametrize("name", ["q_normalise_labels", "q_pending_doubles"])
 def test_costly_rows_are_dealt_to_all_cores(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+@pytest.mark.parametrize("mode", ["ja", "en"])
+def test_report_rows_are_made_once(spark, mode):
+    ties = fx.matches(spark, [fx.match(i, event="1", categoryName=f"C{i}", overallScore="3-1") for i in range(2)])
+    ties, made = counted(spark, ties, "categoryName")
+    rows = jobs.match_query(ties, MatchArgs(mode=mode)).collect()
+    assert {r["row_no"] for r in rows} == {1, 2}
+    assert made.value == 2
