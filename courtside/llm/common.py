@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.session import shuffles_dropped
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
@@ -25,10 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """``df`` written once and read back: its lineage is cut and a lost executor loses nothing of it."""
+    """``df`` written once and read back: its lineage is cut, a lost executor loses nothing of it, and its shuffles go."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -114,3 +114,85 @@ def test_many_components_in_one_bucket(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "CLUSTER", cluster)
         monkeypatch.setattr(jaccard, "BLOCK", block)
         assert got(query(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == expected
+
+
+def counted(monkeypatch):
+    """Rows of every table that the join writes."""
+    from courtside.llm import jaccard
+
+    seen, write = {}, jaccard.staged
+
+    def staged(df, name, folder=None):
+        out = write(df, name, folder)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", staged)
+    return seen
+
+
+def test_sketches_lose_no_link():
+    import numpy as np
+
+    from courtside.llm.jaccard import possible_pairs, sketch
+
+    rng = np.random.default_rng(7)
+    for percent in (40, 80, 85, 95):
+        sets = []
+        for size in (1, 2, 5, 40, 64, 65, 128, 130, 500):
+            base = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+            for _ in range(5):
+                own = rng.integers(0, 2 ** 63, rng.integers(0, size // 8 + 1), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([base[rng.random(size) < 0.97], own, base[:1]])))
+        label = rng.integers(0, 30, len(sets))
+        joined = possible_pairs([sketch(s) for s in sets], np.array([len(s) for s in sets]), label, percent)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both) and label[i] != label[j]:
+                    assert joined[i] == joined[j]
+        assert percent < 80 or len(set(joined.tolist())) >= 9
+
+
+def test_sets_that_only_share_passages_are_not_sent(spark, monkeypatch):
+    """All n-grams are shared and the buckets touch, so that they are one cluster; sets are sent for the one family only."""
+    from itertools import combinations
+
+    from courtside.llm import jaccard
+
+    rng = random.Random(9)
+    passages = [" ".join(f"p{i}x{rng.randrange(10 ** 6)}" for _ in range(30)) for i in range(9)]
+    rows = [(i, " ".join(some)) for i, some in enumerate(combinations(passages, 3))]
+    rows.append((500, rows[3][1] + " more"))
+    monkeypatch.setattr(jaccard, "CLUSTER", 8)
+    seen = counted(monkeypatch)
+    assert got(query(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+    assert seen["open"] > 84 and seen["parts"] == 2 * jaccard.FRAGMENTS
+
+
+def test_exact_copies_give_no_entries(spark, monkeypatch):
+    """Six copies of texts that have nothing in common: no n-gram of theirs is one that several texts hold."""
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(50)) for _ in range(30)] + ["", None]
+    rows = [(i if i != 40 else None, texts[i % 32]) for i in range(192)]
+    seen = counted(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(query(docs)) == brute(rows)
+    assert seen["entries"] == len(rows)
+
+
+def test_shuffles_of_a_written_table_go(spark):
+    import time
+
+    from courtside.llm.common import staged
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",")
+        return {x for x in blocks.split(",") if x.startswith("shuffle_")}
+
+    before = shuffles()
+    staged(spark.range(1000).repartition(3, "id"), "rows")
+    until = time.monotonic() + 10
+    while shuffles() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
