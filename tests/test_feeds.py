@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -114,6 +115,39 @@ def test_standings_fold_keeps_order(spark):
     assert m["description"] == "Men's Teams - Group 3 - Match 7"
 
 
+def test_standings_in_passes_are_those_of_one_plan(spark):
+    """Events of several passes, an event without a name, units that are met again in later blocks, and an empty pass."""
+    rng, rows = random.Random(4), []
+    for event in ("7", "8", "9", None):
+        for _ in range(8):
+            teams = [(org, [opponent(rng.choice("XY") * 3, unit=f"MTGP030{rng.randrange(4):03}--", result=rng.choice(["0-0", "3-1", "2-3"]),
+                                     time=rng.choice(["", "9:05"])) for _ in range(3)]) for org in ("AAA", "BBB")]
+            rows.append((event, block(teams)))
+    blocks = frame(spark, rows, schema.STANDINGS_BLOCK).withColumn("page", F.lit(0))
+    one = normalize.explode_standings(blocks)
+    columns = [F.to_json(F.struct(*one.columns)).alias("row")]
+    expected = sorted(r["row"] for r in one.select(*columns).collect())
+    cut = normalize.explode_standings(blocks, passes=5)
+    assert sorted(r["row"] for r in cut.select(*columns).collect()) == expected and len(expected) == 16
+    assert "posexplode" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert normalize.explode_standings(blocks.limit(0), passes=2).count() == 0
+
+
+def test_fold_and_pick_share_a_shuffle(spark):
+    from courtside.operators.merge import dedupe_fold
+
+    rows = spark.range(50).select((F.col("id") % 5).cast("string").alias("a"), F.expr("nullif(id % 3, 2)").alias("b"), "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dedupe_fold(rows, ["a", "b"], ["id"], F.col("id") % 2 == 0, F.col("id") % 7 > 3)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.columns == ["a", "b", "id", "first_position"] and kept.count() == 15
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_html_tables(spark):
     html = (fx.page("男子シングルス", "１回戦", "MS+MS101", 101, [("Alpha&nbsp;One", "Club A(Pref A)")], [("Beta Two", "Club B")])
             + fx.page("混合ダブルス", "", "XD+XD202", 202, [("A<br>B", "C1"), ("D", "C2")], [("E", "C3"), ("F", "C3")], winner="")
